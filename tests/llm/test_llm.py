@@ -180,7 +180,7 @@ def test_op6(spark, docs):
 
 def test_op7(spark, docs):
     good, bad = "The cat and the dog went to a house by the sea.", "Buy*** now### cheap$$$ THE&&& BEST!!"
-    rows = [(i, " ".join(random.sample((good if i % 4 else bad).split() * 6, 40)), int(bool(i % 4))) for i in range(400)]
+    rows = [(i, " ".join(random.choices((good if i % 4 else bad).split(), k=40)), int(bool(i % 4))) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
     got = pu_quality.classify(df.select("doc_id", "text"), df.select("doc_id", "quality")).collect()
     held = [r for r in got if r.held_out]
