@@ -37,7 +37,7 @@ from reelspan.llm.components import components
 from reelspan.llm.rolling import hashes, running
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-SKETCH_BITS, SLICES = 18, 64
+SKETCH_BITS, SLICES, SEEDS = 18, 64, 4
 
 
 def shingles(raw: bytes, size: int) -> np.ndarray:
@@ -189,19 +189,41 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: str = "0.8") -
     links = check(pairs)
     joined = common.staged(components(links), "join-components")
     # Lists of up to three classes are checked in full by their two pivots.
-    rest = posts.join(ends.where("c > 3").select("token"), "token").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    rest = rest.withColumn("component", F.coalesce("component", "rep"))
-    rest = common.staged(rest.join(rest.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token"), "token"), "join-rest")
+    several = posts.join(ends.where("c > 3").select("token"), "token")
+
+    def spanning() -> DataFrame:
+        """The lists that hold more than one component."""
+        marked = several.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        spans = marked.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+        return common.staged(marked.join(spans, "token"), "join-rest")
+
+    # More pivots for these lists, the first by each of a few orders of the classes: classes of one group meet the
+    # same ones in most of their lists, so pairs grow with the classes.
+    rest = spanning()
+    tops = [F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(seed))).alias(f"p{seed}") for seed in range(SEEDS)]
+    heads = rest.groupBy("token").agg(*tops)
+    met = rest.join(heads, "token").select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), F.explode(F.array(*[f"p{seed}" for seed in range(SEEDS)])).alias("p"))
+    met = met.select("a", "an", "ac", F.col("p.rep").alias("b"), F.col("p.n").alias("bn"), F.col("p.component").alias("bc")).where(fits & (F.col("ac") != F.col("bc"))).select("a", "b").distinct()
+    checked = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    met = common.staged(met.join(checked, ["a", "b"], "left_anti"), "join-met")
+    if not met.isEmpty():
+        links = links.unionByName(check(met))
+        joined = common.staged(components(links), "join-components")
+        checked = checked.unionByName(met).unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rest = spanning()
     step = math.log(t.denominator / t.numerator) if t < 1 else 1.0
     block = F.floor(F.log(F.col("n").cast("double")) / F.lit(step))
     left = rest.select("token", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("component").alias("ac"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
     right = rest.select("token", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("component").alias("bc"), block.alias("block"))
-    # Two sets of the threshold overlap by t / (1 + t) * (an + bn); shingles before the first common one don't count.
+    # Sets of the threshold overlap by at least t / (1 + t) * (an + bn). Of the shorter prefix's set, in the common order,
+    # only shared prefix tokens and what follows its prefix can be common, so few shared tokens rule a pair out.
     first = F.least(F.col("ap"), F.col("bp"))
     room = F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) + first
-    need = (F.col("an") + F.col("bn")) * t.numerator <= room * (t.numerator + t.denominator)
-    more = left.join(right, ["token", "block"]).where((F.col("ac") < F.col("bc")) & fits & need).select("a", "b").distinct()
-    checked = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    enough = lambda most: (F.col("an") + F.col("bn")) * t.numerator <= most * (t.numerator + t.denominator)
+    met = left.join(right, ["token", "block"]).where((F.col("ac") < F.col("bc")) & fits & enough(room))
+    tail = lambda n: F.ceil(n * t.numerator / t.denominator) - 1
+    more = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("an").alias("an"), F.max("bn").alias("bn"))
+    more = more.where(enough(F.col("c") + F.greatest(tail(F.col("an")), tail(F.col("bn"))))).select("a", "b")
     more = common.staged(more.join(checked, ["a", "b"], "left_anti"), "join-more")
     if not more.isEmpty():
         joined = common.staged(components(links.unionByName(check(more))), "join-components")
