@@ -10,7 +10,9 @@ and every other class is checked against them; a class that is linked to a pivot
 component. Then blocks: only lists that still span several components are read again, cut into blocks by size; blocks
 that the length rules out are skipped, and so are entries whose positions bound the overlap below the need. Pairs of
 one component, and pairs that were checked, are never formed. What remains is checked exactly, so no link that
-joins two components is lost.
+joins two components is lost. Long lists, which a group near the threshold leaves, are not read entry by entry: each
+class keeps its differences from the list's pivot, and two classes meet only where they have enough of these in
+common (``_differences``), so a set's answers come from those of the pivot.
 
 Checks compare whole sets of 64-bit shingle hashes. A pivot's set is sent once for each 500 classes checked against
 it and held by the task; a large group is therefore spread over tasks.
@@ -29,6 +31,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,8 @@ from reelspan.llm.components import components
 from reelspan.llm.rolling import hashes, running
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-SKETCH_BITS, SLICES, SEEDS = 18, 64, 4
+#: Lists of more than LONG entries are compared by differences from a pivot, shorter ones entry by entry.
+SKETCH_BITS, SLICES, SEEDS, LONG = 18, 64, 4, 32
 
 
 def shingles(raw: bytes, size: int) -> np.ndarray:
@@ -90,11 +94,8 @@ def shingle_sketch(docs: DataFrame, size: int) -> np.ndarray:
     return out.ravel()
 
 
-def document_sets(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
+def document_sets(docs: DataFrame, size: int, threshold: Fraction, sketch: Broadcast) -> DataFrame:
     """doc_id, k1, k2 (the set's key), n, prefix (its rarest shingles, rarest first) of every row, staged."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    sketch = spark.sparkContext.broadcast(shingle_sketch(docs, size))
     schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,15 +114,18 @@ def document_sets(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
     return common.staged(_texts(docs).mapInArrow(make, "doc_id long, k1 long, k2 long, n long, prefix array<long>"), "join-sets")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction, group: int = 500) -> DataFrame:
-    """The pairs(a, b) whose sets reach the threshold. b is the pivot: its set opens each of its groups, and the
-    sets of its partners stream past."""
-    spark = pairs.sparkSession
+def _dealt(pairs: DataFrame, sets: DataFrame, group: int = 500) -> DataFrame:
+    """b, salt, a, shingles of pairs(a, b), dealt to tasks. b is the pivot: its set opens each of its groups, with a
+    null a, and the sets of its partners stream past."""
     sizes = pairs.groupBy("b").agg(F.count("*").alias("c"))
     salted = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("c") / group)).alias("salt"))
     sent = salted.join(sets.select(F.col("doc_id").alias("a"), "shingles"), "a").select("b", "salt", "a", "shingles")
     opens = salted.select("b", "salt").distinct().join(sets.select(F.col("doc_id").alias("b"), "shingles"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "shingles")
-    dealt = sent.unionByName(opens).repartition(common.partitions(spark), "b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+    return sent.unionByName(opens).repartition(common.partitions(pairs.sparkSession), "b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs(a, b) whose sets reach the threshold."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     num, den = threshold.numerator, threshold.denominator
 
@@ -141,7 +145,45 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction, group: int =
 
         yield from common.in_slices(rows(), schema)
 
-    return dealt.mapInArrow(check, "a long, b long")
+    return _dealt(pairs, sets).mapInArrow(check, "a long, b long")
+
+
+def _differences(pairs: DataFrame, sets: DataFrame, threshold: Fraction, sketch: Broadcast) -> DataFrame:
+    """a, b, n, h, linked, prefix of pairs(a, b): the size of a's set, the number h of shingles that it and its pivot b do
+    not share, whether the two link, and the rarest of the h.
+
+    With c = (1 - t) / (1 + t), two sets link when at most c * (sum of sizes) shingles are in one of them only; for
+    partners of one pivot these are h + h' - 2 * o, where o counts the differences from the pivot that they have in
+    common. Where both link to the pivot they need no check. Otherwise o exceeds (h + c * (p - n)) / 2 for the one that
+    links to it, and is at least (h - c * (p + n)) / 2 for one that doesn't, and never 0. The prefix is what that leaves.
+    A shingle's order depends on it and on the pivot alone."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("linked", pa.bool_()), ("prefix", pa.list_(pa.int64()))])
+    num, den = threshold.numerator, threshold.denominator
+    less, more = den - num, den + num
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sketch.value
+        count = lambda s: often[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
+
+        def rows() -> Iterator[tuple]:
+            pivot, usual = np.zeros(0, np.uint64), 0
+            for batch in batches:
+                for a, b, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shingles")), strict=True):
+                    s = np.frombuffer(raw, np.uint64)
+                    if a is None:
+                        pivot, usual = s, int(np.median(count(s)))
+                        continue
+                    added, gone = np.setdiff1d(s, pivot, True), np.setdiff1d(pivot, s, True)
+                    h, n, p = len(added) + len(gone), len(s), len(pivot)
+                    linked = h * more <= less * (n + p)
+                    need = (h * more + less * (p - n)) // (2 * more) + 1 if linked else -((less * (p + n) - h * more) // (2 * more))
+                    both = np.concatenate([added, gone])
+                    order = np.lexsort((both, np.concatenate([count(added), np.maximum(0, usual - count(gone))])))
+                    yield a, b, n, h, linked, both[order[: max(0, h - max(1, need) + 1)]].view(np.int64)
+
+        yield from common.in_slices(rows(), schema, 1024)
+
+    return _dealt(pairs, sets).mapInArrow(make, "a long, b long, n long, h long, linked boolean, prefix array<long>")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -162,10 +204,29 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return common.staged(made.join(wanted, ["doc_id", "k1", "k2"], "left_semi").select("doc_id", "shingles"), "join-whole")
 
 
+def _common_differences(near: DataFrame, joined: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs(a, b) of different components that may link by what ``_differences`` gave them."""
+    less, more = t.denominator - t.numerator, t.denominator + t.numerator
+    marked = near.where(F.size("prefix") > 0).join(joined.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    marked = marked.select("b", "a", "n", "h", "linked", "component", (F.col("h") - F.size("prefix")).alias("rest"), F.posexplode("prefix").alias("pos", "token"))
+    # A difference that one class alone has meets none.
+    shared = marked.groupBy("b", "token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("b", "token")
+    marked = common.staged(marked.join(shared, ["b", "token"]), "join-marked")
+    one, two = (marked.select("b", "token", *[F.col(c).alias(f"{c}{k}") for c in ("a", "n", "h", "linked", "component", "rest", "pos")]) for k in "12")
+    fits = (F.col("n1") * t.denominator >= F.col("n2") * t.numerator) & (F.col("n2") * t.denominator >= F.col("n1") * t.numerator)
+    enough = lambda most: 2 * more * most >= more * (F.col("h1") + F.col("h2")) - less * (F.col("n1") + F.col("n2"))
+    room = F.least(F.col("h1") - F.col("pos1"), F.col("h2") - F.col("pos2")) + F.least("pos1", "pos2")
+    met = one.join(two, ["b", "token"]).where((F.col("component1") < F.col("component2")) & fits & enough(room) & ~(F.col("linked1") & F.col("linked2")))
+    met = met.groupBy("b", "a1", "a2").agg(F.count("*").alias("c"), *[F.max(x).alias(x) for x in ("n1", "n2", "h1", "h2", "rest1", "rest2")])
+    return met.where(enough(F.col("c") + F.greatest("rest1", "rest2"))).select(F.col("a1").alias("a"), F.col("a2").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: str = "0.8") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs(doc_id, text)``."""
     t = Fraction(threshold)
-    sets = document_sets(docs, size, t)
+    common.small_batches(docs.sparkSession)
+    sketch = docs.sparkSession.sparkContext.broadcast(shingle_sketch(docs, size))
+    sets = document_sets(docs, size, t, sketch)
     # One set stands for a doc_id, one doc_id for a set.
     named = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("doc_id", "k.k1", "k.k2")
     classes = common.staged(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "join-classes")
@@ -182,9 +243,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: str = "0.8") -
     pairs = pairs.join(mirrored, ["a", "b"], "left_anti")
     rep_keys = classes.select(F.col("rep").alias("doc_id"), "k1", "k2")
 
-    def check(found: DataFrame) -> DataFrame:
+    def wholes(found: DataFrame) -> DataFrame:
         ids = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        return common.staged(_linked(found, _whole_sets(docs, rep_keys.join(ids, "doc_id", "left_semi"), size), t), "join-links")
+        return _whole_sets(docs, rep_keys.join(ids, "doc_id", "left_semi"), size)
+
+    def check(found: DataFrame) -> DataFrame:
+        return common.staged(_linked(found, wholes(found), t), "join-links")
 
     links = check(pairs)
     joined = common.staged(components(links), "join-components")
@@ -194,7 +258,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: str = "0.8") -
     def spanning() -> DataFrame:
         """The lists that hold more than one component."""
         marked = several.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        spans = marked.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+        spans = marked.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x <> y").select("token", "c")
         return common.staged(marked.join(spans, "token"), "join-rest")
 
     # More pivots for these lists, the first by each of a few orders of the classes: classes of one group meet the
@@ -211,6 +275,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: str = "0.8") -
         joined = common.staged(components(links), "join-components")
         checked = checked.unionByName(met).unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rest = spanning()
+    # Long lists: one pivot each, the class with the most links, and the differences from it in place of the sets.
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+    far = rest.where(F.col("c") > LONG).select("token", "rep").join(degree, "rep", "left")
+    heads = far.groupBy("token").agg(F.max_by("rep", F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("rep"), "rep")).alias("b"))
+    far = common.staged(far.join(heads, "token").select(F.col("rep").alias("a"), "b").distinct(), "join-far")
+    if not far.isEmpty():
+        near = common.staged(_differences(far, wholes(far), t, sketch), "join-differences")
+        links = links.unionByName(near.where("linked AND a <> b").select("a", "b"))
+        joined = common.staged(components(links), "join-components")
+        found = _common_differences(near, joined, t).join(checked, ["a", "b"], "left_anti")
+        found = common.staged(found, "join-more")
+        if not found.isEmpty():
+            links = links.unionByName(check(found))
+            joined = common.staged(components(links), "join-components")
+    rest = rest.where(F.col("c") <= LONG)
     step = math.log(t.denominator / t.numerator) if t < 1 else 1.0
     block = F.floor(F.log(F.col("n").cast("double")) / F.lit(step))
     left = rest.select("token", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("component").alias("ac"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))

@@ -278,7 +278,7 @@ def _components(rows, size, num, den):
     return {i: (len(s), root(i)) for i, s in sets}
 
 
-def test_op10(spark, docs):
+def test_op10(spark, docs, monkeypatch):
     names = ("n_shingles", "component_id")
     assert by_id(ngram_join.jaccard_components(docs, 4, "0.85"), *names) == _components(list(enumerate(ODD)), 4, 85, 100)
     base = [f"w{k}" for k in range(60)]
@@ -290,6 +290,18 @@ def test_op10(spark, docs):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert by_id(ngram_join.jaccard_components(df, 4, "0.85"), *names) == _components(rows, 4, 85, 100)
+    # Lists long enough for the index of differences, near the threshold: several texts, each with up to nine edits.
+    monkeypatch.setattr(ngram_join, "LONG", 3)
+    rows = []
+    for i in range(240):
+        w = [f"g{i % 3}w{k}" for k in range(40 + 20 * (i % 3))]
+        for _ in range(random.randint(0, 6)):
+            at = random.randrange(len(w))
+            w[at : at + random.randint(0, 1)] = [f"x{random.randrange(4)}"] * random.randint(0, 2)
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(ngram_join.jaccard_components(df, 4, "0.85"), *names) == _components(rows, 4, 85, 100)
+    assert by_id(ngram_join.jaccard_components(df, 5, "0.6"), *names) == _components(rows, 5, 6, 10)
     kept = ngram_join.keep_one(docs)
     want = {i for i, (_, c) in _components(list(enumerate(ODD)), 5, 8, 10).items() if i == c}
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want and 9 not in want
