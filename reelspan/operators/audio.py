@@ -38,18 +38,29 @@ def silence_gaps(frames: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return found.select("video_id", "gap_start", "gap_end", ((F.col("gap_start") + F.col("gap_end")) / 2).alias("mid"))
 
 
-def window_features(windows: DataFrame, frames: DataFrame, gaps: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def mids_by_part(gaps: DataFrame, step: float) -> DataFrame:
+    """video_id, part, mids: the midpoints of each stretch [part * step, (part + 1) * step) and of the one before it."""
+    part = F.floor(F.col("mid") / step)
+    rows = gaps.select("video_id", "mid", F.explode(F.array(part, part + 1)).alias("part"))
+    return rows.groupBy("video_id", "part").agg(F.array_sort(F.collect_list("mid")).alias("mids"))
+
+
+def window_features(windows: DataFrame, frames: DataFrame, gaps: DataFrame, settings: Settings = DEFAULTS, step: float | None = None) -> DataFrame:
     """windows(video_id, start_s, end_s, ...) with audio_energy, audio_laughter, audio_pause; frames count in
-    [start, end), pauses whose midpoint lies in [start - pause_min_s, end). A video's frames travel as one array."""
-    rows = normalised(frames).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("t", "energy", "zcr"))).alias("frames"))
-    mids = gaps.groupBy("video_id").agg(F.array_sort(F.collect_list("mid")).alias("mids"))
-    both = windows.join(rows, "video_id", "left").join(mids, "video_id", "left")
+    [start, end), pauses whose midpoint lies in [start - pause_min_s, end). A video's frames travel as one array; with
+    ``step``, where no window crosses a multiple of it, as one for each stretch of that length."""
+    rows, keys = normalised(frames), ["video_id"]
+    if step:
+        windows, rows, keys = windows.withColumn("part", F.floor(F.col("start_s") / step)), rows.withColumn("part", F.floor(F.col("t") / step)), ["video_id", "part"]
+    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "energy", "zcr"))).alias("frames"))
+    mids = mids_by_part(gaps, step) if step else gaps.groupBy("video_id").agg(F.array_sort(F.collect_list("mid")).alias("mids"))
+    both = windows.join(rows, keys, "left").join(mids, keys, "left")
     inside = F.filter(F.coalesce("frames", F.array().cast("array<struct<t:double,energy:double,zcr:double>>")), lambda f: (f["t"] >= F.col("start_s")) & (f["t"] < F.col("end_s")))
     mean = lambda f: F.coalesce(F.try_divide(F.aggregate(F.col("inside"), F.lit(0.0), lambda acc, x: acc + f(x)), F.size("inside")), F.lit(0.0))
     pauses = F.size(F.filter(F.coalesce("mids", F.array().cast("array<double>")), lambda m: (m >= F.col("start_s") - settings.pause_min_s) & (m < F.col("end_s"))))
     out = both.withColumn("inside", inside)
     out = out.withColumn("audio_energy", clamp(mean(lambda x: x["energy"]))).withColumn("audio_laughter", clamp(mean(lambda x: x["energy"] * x["zcr"]))).withColumn("audio_pause", F.least(F.lit(1.0), pauses / F.lit(3.0)))
-    return out.drop("frames", "mids", "inside")
+    return out.drop("frames", "mids", "inside", *(["part"] if step else []))
 
 
 def per_second(frames: DataFrame) -> DataFrame:

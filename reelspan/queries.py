@@ -229,16 +229,21 @@ def span_scores(spark, sf_dir):
 # Audio
 
 
+GRID_S = 40.0
+
+
 def _audio_grid(frames: DataFrame) -> DataFrame:
+    """Windows of GRID_S end to end that begin before the video's last frame."""
     ends = frames.groupBy("video_id").agg(F.max("t").alias("last_t"))
-    rows = ends.select("video_id", "last_t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: k * 40.0)).alias("start_s")).where("start_s < last_t")
-    return rows.select("video_id", "start_s", (F.col("start_s") + 40.0).alias("end_s"))
+    starts = F.transform(F.sequence(F.lit(0), F.floor(F.col("last_t") / GRID_S).cast("int")), lambda k: k * GRID_S)
+    rows = ends.select("video_id", "last_t", F.explode(starts).alias("start_s")).where("start_s < last_t")
+    return rows.select("video_id", "start_s", (F.col("start_s") + GRID_S).alias("end_s"))
 
 
 @query(O.sql(O.AUDIO_GRID, "SELECT g.video_id, g.start_s, round(greatest(0, least(1, coalesce(avg(f.energy), 0))), 6) AS audio_energy, round(greatest(0, least(1, coalesce(avg(f.energy * f.zcr), 0))), 6) AS audio_laughter, round(least(1.0::DOUBLE, (SELECT count(*) FROM gap p WHERE p.video_id = g.video_id AND p.mid >= g.start_s - 0.6 AND p.mid < g.end_s) / 3.0::DOUBLE), 6) AS audio_pause FROM agrid g LEFT JOIN fr f ON f.video_id = g.video_id AND f.t >= g.start_s AND f.t < g.end_s GROUP BY g.video_id, g.start_s, g.end_s"))
 def audio_by_window(spark, sf_dir):
     frames = X.event_frames(spark, sf_dir)
-    rows = A.window_features(_audio_grid(frames), frames, A.silence_gaps(frames))
+    rows = A.window_features(_audio_grid(frames), frames, A.silence_gaps(frames), step=GRID_S)
     return rows.select("video_id", "start_s", r6("audio_energy").alias("audio_energy"), r6("audio_laughter").alias("audio_laughter"), r6("audio_pause").alias("audio_pause"))
 
 
@@ -250,8 +255,8 @@ def silence_gaps(spark, sf_dir):
 @query(O.sql(O.AUDIO_GRID, "SELECT g.video_id, g.start_s, coalesce(min_by(p.mid, {'d': abs(p.mid - g.start_s), 'm': p.mid}), g.start_s) AS silence FROM agrid g LEFT JOIN gap p ON p.video_id = g.video_id AND p.mid >= greatest(0, g.start_s - 10) AND p.mid < g.start_s + 10 GROUP BY g.video_id, g.start_s"))
 def nearest_silence(spark, sf_dir):
     frames = X.event_frames(spark, sf_dir)
-    mids = A.silence_gaps(frames).groupBy("video_id").agg(F.array_sort(F.collect_list("mid")).alias("mids"))
-    rows = _audio_grid(frames).join(mids, "video_id", "left")
+    grid = _audio_grid(frames).withColumn("part", F.floor(F.col("start_s") / GRID_S))
+    rows = grid.join(A.mids_by_part(A.silence_gaps(frames), GRID_S), ["video_id", "part"], "left")
     return rows.select("video_id", "start_s", R.nearest_silence(F.coalesce("mids", F.array().cast("array<double>")), F.col("start_s"), 10.0).alias("silence"))
 
 
