@@ -7,7 +7,8 @@ The plan is one exchange of the texts, into blocks by a hash of the id, and four
 
 1. Each block cuts its texts into runs of neighbouring windows (strings of ``length`` bytes) that share their
    minimiser, the least ``seed``-gram. Equal windows have equal minimisers, so only runs of one minimiser can match. The
-   block sends (minimiser, run, smallest doc_id), each distinct run once, to the minimiser's bucket.
+   block sends (minimiser, run, smallest doc_id), each distinct run once, to the minimiser's bucket. Runs beside a passage that
+   many documents share have one minimiser, so the run's hash goes whole (64 bits); 40 bits of the minimiser do.
 2. A bucket answers, for each run, whether an equal run is in a smaller document (then all its windows go), and
    whether this block holds the run's first document while the minimiser has other runs, too.
 3. Only for runs of the latter kind the block compares window by window: it sorts these windows' suffixes
@@ -115,7 +116,7 @@ class Texts:
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First run of each distinct (seed, run) by bucket order; for each run the number of its distinct one; the
         smallest doc_id and the distinct seeds. Texts stand in the order of their ids, so the first is the smallest."""
-        s, r = self.seed >> np.uint64(24), self.run >> np.uint64(24)
+        s, r = self.seed >> np.uint64(24), self.run
         order = np.lexsort((np.arange(len(s)), r, s))
         new = np.empty(len(s), bool)
         if len(s):
@@ -190,7 +191,7 @@ def _least(order_keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndar
 def _answer_runs(table: pa.Table) -> pa.Table:
     """Two bits for each run: an equal run is in a smaller document; this block has the run's first document and the
     seed has runs of another first document."""
-    spans, (seed, run, doc) = _gathered(table, [5, 5, 8])
+    spans, (seed, run, doc) = _gathered(table, [5, 8, 8])
     doc = doc.astype(np.int64)
     number, least = _least((run, seed), doc)
     smaller = least[number] < doc
@@ -278,7 +279,7 @@ def dedup(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 22, texts:
     def runs(table: pa.Table) -> pa.Table:
         t, block = load(table), table.column("block")[0].as_py()
         first, _, least, seeds = t.distinct()
-        rows = list(_send(block, 0, seeds, [(seeds, 5), (t.run[first] >> np.uint64(24), 5), (least, 8)], buckets))
+        rows = list(_send(block, 0, seeds, [(seeds, 5), (t.run[first], 8), (least, 8)], buckets))
         return pa.Table.from_batches([common.rows_batch(rows, _MESSAGE)])
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
