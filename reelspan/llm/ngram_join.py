@@ -311,9 +311,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: str = "0.8") -
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(by_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number for each row in the order of doc_id, nulls last, staged."""
+    key = F.col("doc_id").cast("long").asc_nulls_last()
+    order = [key, F.xxhash64("text").asc(), F.col(name).asc()]
+    dealt = docs.withColumn(name, F.monotonically_increasing_id()).repartitionByRange(common.partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return common.staged(dealt.withColumn(name, F.monotonically_increasing_id()), "join-rows")
+
+
 def keep_one(docs: DataFrame, size: int = 5, threshold: str = "0.8") -> DataFrame:
-    """``docs`` with the smallest doc_id of each component alone; rows without a doc_id stay."""
+    """``docs`` with one row of each component alone, that of the smallest doc_id. Where ids are null or repeated, rows
+    are numbered and compared by their number: each row counts by its own text, a null id is after all others."""
     name = "_component_doc"
-    chosen = jaccard_components(docs, size, threshold).where("component_id = doc_id").select(F.col("doc_id").alias(name)).distinct()
-    whole = docs.join(chosen, docs["doc_id"].cast("long") == chosen[name], "left_semi")
-    return whole.unionByName(docs.where(F.col("doc_id").isNull()))
+    key = F.col("doc_id").cast("long")
+    if docs.groupBy(key.alias("k")).agg(F.count("*").alias("c")).where("k IS NULL OR c > 1").isEmpty():
+        chosen = jaccard_components(docs, size, threshold).where("component_id = doc_id").select(F.col("doc_id").alias(name))
+        return docs.join(chosen, docs["doc_id"].cast("long") == chosen[name], "left_semi")
+    rows = _numbered(docs, name)
+    chosen = jaccard_components(rows.select(F.col(name).alias("doc_id"), "text"), size, threshold).where("component_id = doc_id").select(F.col("doc_id").alias(name))
+    return rows.join(chosen, name, "left_semi").select(*docs.columns)

@@ -2,7 +2,7 @@
 
 import hashlib
 
-from reelspan.llm import substring_dedup
+from reelspan.llm import ngram_join, substring_dedup
 
 
 def test_op4_runs_of_one_minimiser_that_agree_in_40_bits_of_their_hash(spark):
@@ -14,3 +14,11 @@ def test_op4_runs_of_one_minimiser_that_agree_in_40_bits_of_their_hash(spark):
     for block_bytes in (1 << 22, 60):  # all in one block, and apart
         got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(df, block_bytes=block_bytes).collect()}
         assert got == {i: (0, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows} | {9: (50, hashlib.sha256(b"").hexdigest())}
+
+
+def test_keep_one_judges_rows_not_ids(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    rows = [(5, one, "r"), (5, one, "r"), (5, two, "s"), (7, two, "t"), (None, one, "u"), (None, three, "v"), (None, three, "v"), (8, None, "w"), (8, "", "x")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n string").repartition(3))
+    assert kept.columns == ["doc_id", "text", "n"]
+    assert sorted((r.n, r.doc_id) for r in kept.collect()) == [("r", 5), ("s", 5), ("v", None), ("w", 8), ("x", 8)]
