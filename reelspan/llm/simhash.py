@@ -10,8 +10,8 @@ they agree on some choice of ``blocks - radius`` others. Each choice is a table
 of the fingerprint begins with them). Equal fingerprints are one entry, so a group of copies never makes pairs.
 
 Everything is built-in expressions. Nulls: a null text is the empty text, whose fingerprint is 0; a null doc_id sorts
-first. Rows that share a doc_id count as one, with the smallest text. An empty table gives no rows. Other columns are
-ignored.
+first and has no ``near_classes``. Rows that share a doc_id give a row each, in the order of their texts. An empty table
+gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,14 +88,26 @@ def next_ids(docs: DataFrame) -> DataFrame:
     return inner.join(F.broadcast(edges), "part").select("doc_id", "n_chars", F.coalesce("within", "edge").alias("next_id"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """row, id, text of ``rows(doc_id, text)``, numbered in the order of doc_id and text, staged."""
+    spark = rows.sparkSession
+    order = ["doc_id", "text", "tie"]
+    dealt = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order)
+    return common.staged(dealt.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"), "text"), "simhash-rows")
+
+
 def fingerprint_documents(docs: DataFrame, radius: int = 3, query_step: int = 20) -> DataFrame:
     """Fingerprints of ``docs(doc_id, text)`` and of each text edited with the next document's beginning.
 
     Texts are dealt by doc_id once; of the next document only the characters that replace the tail travel.
     ``class_id`` is the smallest doc_id with the same fingerprint; ``near_classes`` counts the other fingerprints
     within ``radius``, for rows whose id is divisible by ``query_step`` (else null)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("doc_id is not null")
-    own = own.groupBy("doc_id").agg(F.min("text").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    # Where ids are null or repeated, a row's number takes the place of its id until the end.
+    named = None
+    if not own.groupBy("doc_id").agg(F.count("*").alias("c")).where("doc_id IS NULL OR c > 1").isEmpty():
+        named = numbered(own)
+        own, named = named.select(F.col("row").alias("doc_id"), "text"), named.select(F.col("row").alias("doc_id"), "id")
     ids = common.staged(next_ids(own.select("doc_id", F.char_length("text").cast("long").alias("n_chars"))), "simhash-next")
     tails = own.join(ids.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), F.floor(F.col("n_chars") / 4).alias("need")), "doc_id")
     tails = tails.select(F.col("for_id").alias("doc_id"), F.expr("substring(text, 1, cast(need as int))").alias("tail"))
@@ -107,13 +119,14 @@ def fingerprint_documents(docs: DataFrame, radius: int = 3, query_step: int = 20
     found = fps.groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"), F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("edited_fp"))
     found = common.staged(found, "simhash-prints")
     follow = ids.select("doc_id", "next_id").join(found.select(F.col("doc_id").alias("next_id"), F.col("fp").alias("next_fp")), "next_id").select("doc_id", "next_fp")
-    classes = found.groupBy("fp").agg(F.min("doc_id").alias("class_id"))
-    queries = found.where(F.col("doc_id") % query_step == 0).select("fp").distinct()
+    found = found.join(named, "doc_id") if named else found.withColumn("id", F.col("doc_id"))
+    classes = found.groupBy("fp").agg((F.min_by("id", "doc_id") if named else F.min("doc_id")).alias("class_id"))
+    queries = found.where(F.col("id") % query_step == 0).select("fp").distinct()
     near = within_radius(queries, classes, radius).groupBy(F.col("query_fp").alias("fp")).agg(F.count("*").alias("near"))
     extra = classes.join(near, "fp", "left")
     out = found.join(follow, "doc_id").join(extra, "fp")
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.lower(F.lpad(F.hex("edited_fp"), 16, "0")).alias("edited_fingerprint"),
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.lower(F.lpad(F.hex("edited_fp"), 16, "0")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "class_id",
-        F.when(F.col("doc_id") % query_step == 0, F.coalesce("near", F.lit(0))).alias("near_classes"),
+        F.when(F.col("id") % query_step == 0, F.coalesce("near", F.lit(0))).alias("near_classes"),
     )

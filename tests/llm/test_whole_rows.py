@@ -2,7 +2,7 @@
 
 import hashlib
 
-from reelspan.llm import ngram_join, substring_dedup
+from reelspan.llm import ngram_join, simhash, substring_dedup
 
 
 def test_op4_runs_of_one_minimiser_that_agree_in_40_bits_of_their_hash(spark):
@@ -22,3 +22,18 @@ def test_keep_one_judges_rows_not_ids(spark):
     kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n string").repartition(3))
     assert kept.columns == ["doc_id", "text", "n"]
     assert sorted((r.n, r.doc_id) for r in kept.collect()) == [("r", 5), ("s", 5), ("v", None), ("w", 8), ("x", 8)]
+
+
+def test_op3_has_a_row_for_each_input_row(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    rows = [(None, two), (None, one), (20, one), (20, two), (20, two), (21, "x" + two), (22, None)]
+    got = simhash.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    order = sorted(rows, key=lambda r: (r[0] or 0, r[1] or ""))
+    want = []
+    for k, (i, t) in enumerate(order):
+        t, follow = t or "", order[(k + 1) % len(order)][1] or ""
+        cut = len(t) // 4
+        want.append((i or 0, len(t), hashlib.sha256((t[: len(t) - cut] + follow[:cut]).encode()).hexdigest()))
+    assert sorted((r.doc_id or 0, r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+    assert all((r.near_classes is not None) == (r.doc_id == 20) for r in got)
+    assert [r.class_id for r in got if r.doc_id == 20] == [None] * 3 and {r.class_id for r in got if r.doc_id in (21, 22)} == {21, 22}
