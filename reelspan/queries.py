@@ -300,7 +300,7 @@ def segment_srt(spark, sf_dir):
 
 @query("SELECT event_id, " + O.srt_time("value") + " AS srt, printf('%02d:%02d', CAST(trunc(value) AS BIGINT) // 60, CAST(trunc(value) AS BIGINT) % 60) AS clock FROM events WHERE value >= 0")
 def srt_timestamp(spark, sf_dir):
-    return X.table(spark, sf_dir, "events").where("value >= 0").select("event_id", T.srt_time(F.col("value")).alias("srt"), T.clock(F.col("value")).alias("clock"))
+    return X.table(spark, sf_dir, "events").select("event_id", T.srt_time(F.col("value")).alias("srt"), T.clock(F.greatest("value", F.lit(0.0))).alias("clock"))
 
 
 # Jobs
@@ -386,7 +386,7 @@ def clip_iou(spark, sf_dir):
 
 @query(O.sql(O.SEGMENTS, f"""SELECT s.video_id, count(*) AS segments, sum(len({O.tokens('s.text')}))::BIGINT AS words, max_by(s."end", s.seg_idx) AS last_end, round(coalesce(max_by(s."end", s.seg_idx) / any_value(n_chars / 12.0::DOUBLE), 0), 6) AS coverage, CASE WHEN coalesce(max_by(s."end", s.seg_idx) / any_value(n_chars / 12.0::DOUBLE), 0) < 0.7 THEN 'WARN' ELSE 'PASS' END AS verdict FROM seg s JOIN documents d ON d.doc_id = s.video_id WHERE n_chars > 0 GROUP BY s.video_id"""))
 def transcript_coverage(spark, sf_dir):
-    durations = X.table(spark, sf_dir, "documents").where("n_chars > 0").select(F.col("doc_id").alias("video_id"), (F.col("n_chars") / 12.0).alias("duration"))
+    durations = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), (F.col("n_chars") / 12.0).alias("duration"))
     return Q.coverage(X.document_segments(spark, sf_dir), durations).select("video_id", "segments", "words", "last_end", r6("coverage").alias("coverage"), "verdict")
 
 

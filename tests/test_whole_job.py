@@ -1,4 +1,4 @@
-"""Queries over rows that the given tables don't have: long videos."""
+"""Queries over rows that the given tables don't have: long videos, times below 0, texts without a length."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,3 +17,14 @@ def test_audio_windows_of_a_long_video(spark, tmp_path):
     near = {(r.video_id, r.start_s): r.silence for r in QUERIES["nearest_silence"](spark, str(tmp_path)).collect()}
     assert set(near) == set(got)
     assert all(near[1, k * 40.0] == (k * 40.0 - 4 if k else 0.0) for k in range(120))
+
+
+def test_rows_without_a_time_or_length(spark, tmp_path):
+    from reelspan.queries import QUERIES
+
+    spark.createDataFrame([(1, -5.0), (2, None), (3, 61.5)], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: (r.srt, r.clock) for r in QUERIES["srt_timestamp"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("00:00:00,000", "00:00"), 2: ("00:00:00,000", "00:00"), 3: ("00:01:01,500", "01:01")}
+    spark.createDataFrame([(1, "One two.", 0), (2, "One two.", None), (3, "One two.", 8)], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.video_id: (r.coverage, r.verdict) for r in QUERIES["transcript_coverage"](spark, str(tmp_path)).collect()}
+    assert got == {1: (0.0, "WARN"), 2: (0.0, "WARN"), 3: (1.5, "PASS")}
