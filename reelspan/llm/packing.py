@@ -84,7 +84,6 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int) -> DataFrame:
-    common.small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
     end = np.array([end_id], "<u4").tobytes()
 
@@ -92,7 +91,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int) ->
         tool = encoder(vocabulary_path)
 
         def rows() -> Iterator[tuple]:
-            for batch in batches:
+            for batch in common.sliced(batches):
                 ids = batch.column("doc_id").to_pylist()
                 for doc, raw in zip(ids, tool.ids(batch.column("text").to_pylist()), strict=True):
                     raw += end
@@ -125,7 +124,7 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int = 1, capacity: int =
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (place["length"] << np.int64(44)) + place["first"]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-        for b in batches:
+        for b in common.sliced(batches):
             length, rank = (b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("length", "rank"))
             at = np.searchsorted(key, (length << np.int64(44)) + rank, "right") - 1
             k = rank - place["first"][at]

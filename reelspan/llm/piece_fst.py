@@ -207,12 +207,11 @@ def transducer(path: str) -> PieceTransducer:
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit) for each row of ``docs(doc_id, text)``."""
-    common.small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = transducer(model_path)
-        for b in batches:
+        for b in common.sliced(batches):
             rows = ((d, len(raw) // 4, raw) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for raw in [tool.encode_raw(t)])
             yield from common.in_slices(rows, schema, 256)
 
@@ -225,7 +224,7 @@ def decode_documents(ids: DataFrame, model_path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = transducer(model_path)
-        for b in batches:
+        for b in common.sliced(batches):
             rows = ((d, tool.decode(np.frombuffer(raw, "<u4").tolist())) for d, raw in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True))
             yield from common.in_slices(rows, schema, 256)
 
@@ -234,14 +233,13 @@ def decode_documents(ids: DataFrame, model_path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     """Encode and decode every row in one pass: doc_id, n_tokens, ids_crc32, decoded_sha256, same_text."""
-    common.small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("same_text", pa.bool_())])
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = transducer(model_path)
 
         def rows() -> Iterator[tuple]:
-            for b in batches:
+            for b in common.sliced(batches):
                 for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     raw = tool.encode_raw(t)
                     back = tool.decode(np.frombuffer(raw, "<u4").tolist())

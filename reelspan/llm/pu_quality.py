@@ -79,7 +79,7 @@ def matrix(texts: DataFrame, picked: DataFrame) -> tuple[np.ndarray, np.ndarray]
     schema = pa.schema([("x", pa.binary()), ("label", pa.int32())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.sliced(batches):
             x = [features(raw).astype(np.float16).tobytes() for raw in common.utf8(b, "text")]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column("label").cast(pa.int32())], schema=schema)
 
@@ -150,14 +150,13 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_un
 
 def score(docs: DataFrame, model: Model, name: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (doc_id by default) of every row of ``docs`` and the text's score (0 to 1) as ``name``."""
-    common.small_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     own = docs.select(*[F.col(c) for c in keep], *([] if "text" in keep else ["text"]))
     weights = model.weights / model.scale
     base = model.bias - float(model.mean @ weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.sliced(batches):
             z = np.array([features(raw) @ weights + base for raw in common.utf8(b, "text")])
             held = [b.column(b.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*held, pa.array(_sigmoid(model.slope * z + model.shift), pa.float64())], names=[*keep, name])

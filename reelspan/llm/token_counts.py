@@ -111,12 +111,11 @@ def counter(path: str) -> Counter:
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs(doc_id, text)``; no shuffle."""
-    common.small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = counter(model_path)
-        for batch in batches:
+        for batch in common.sliced(batches):
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
                 n = tool.counts(part.column("text").to_pylist())

@@ -138,7 +138,6 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, end_id
     for each file. A range partition gives each task a run of ids; a task that is run again writes other files, and
     only those that the manifest names count."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
     ordered = ordered.repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("first_start", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
@@ -155,7 +154,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, end_id
             out.close()
             done.append((part, name, len(done), len(writer.docs), writer.n_tokens, fs.get_file_info(name).size))
 
-        for batch in batches:
+        for batch in common.sliced(batches):
             ids = batch.column("doc_id").to_pylist()
             texts = batch.column("text").to_pylist()
             for doc, raw in zip(ids, tool.ids(texts), strict=True):
@@ -189,7 +188,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = common.store(folder)
-        for batch in batches:
+        for batch in common.sliced(batches):
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 with fs.open_input_file(path) as source:
                     found = Reader(source, source.size()).documents()

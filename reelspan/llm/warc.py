@@ -100,7 +100,6 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, origin: i
 def write_archives(pages: DataFrame, folder: str, segment_bytes: int = 32_768, roll_bytes: int = 1 << 28) -> DataFrame:
     """Write ``pages(page_id, url, html)``; returns the manifest, a row for each archive that counts."""
     spark = pages.sparkSession
-    common.small_batches(spark)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), common.text_of("html").alias("html"))
     keyed = own.withColumn("key", F.sha2("html", 256))
     first = keyed.groupBy("key").agg(F.min("page_id").alias("origin"))
@@ -115,7 +114,7 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = 32_768, r
             out.close()
             done.append((name, n, size))
 
-        for b in batches:
+        for b in common.sliced(batches):
             for page, url, payload, origin in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "origin")), strict=True):
                 for raw in page_records(page, url, payload, origin, origin is not None and page != origin, segment_bytes):
                     if out is not None and size + len(raw) > roll_bytes:
@@ -186,7 +185,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         fs, _ = common.store(folder)
 
         def rows() -> Iterator[tuple]:
-            for b in batches:
+            for b in common.sliced(batches):
                 for path in b.column("path").to_pylist():
                     with fs.open_input_file(path) as source:
                         for member in members(source):
@@ -223,7 +222,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 payload = http_payload(block)
                 return held[0][3], len(payload), _checked(held[0][4], payload), "response", None
 
-            for b in batches:
+            for b in common.sliced(batches):
                 for row in zip(*(b.column(c).to_pylist() for c in ("origin", "segment", "total", "page_id", "payload_digest", "block")), strict=True):
                     if held and held[0][0] != row[0]:
                         yield whole()

@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -290,8 +291,8 @@ def test_op10(spark, docs, monkeypatch):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert by_id(ngram_join.jaccard_components(df, 4, "0.85"), *names) == _components(rows, 4, 85, 100)
-    # Lists long enough for the index of differences, near the threshold: several texts, each with up to nine edits.
-    monkeypatch.setattr(ngram_join, "LONG", 3)
+    # Groups of many chunks, near the threshold: several texts, each with up to nine edits.
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", 12)
     rows = []
     for i in range(240):
         w = [f"g{i % 3}w{k}" for k in range(40 + 20 * (i % 3))]
@@ -308,6 +309,43 @@ def test_op10(spark, docs, monkeypatch):
     assert ngram_join.jaccard_components(docs.where("doc_id < 0")).count() == 0
 
 
+def test_op10_repeated_and_null_ids(spark):
+    """Documents are linked through each of their texts; a null id has sizes but no component."""
+    one, two, three, four = (" ".join(f"{x}{k}" for k in range(50)) for x in "abcd")
+    rows = [(1, one), (2, one + " end"), (2, two), (3, "start " + two), (4, three), (5, three), (None, four), (None, four), (6, four), (7, ""), (7, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.jaccard_components(df, 4, "0.85").collect())
+    assert got == [(0, 47, 0), (0, 47, 0), (1, 47, 1), (2, 47, 1), (2, 48, 1), (3, 48, 1), (4, 47, 4), (5, 47, 4), (6, 47, 6), (7, 0, 7), (7, 0, 7)]
+
+
+@pytest.mark.parametrize("num,den", [(85, 100), (8, 10), (1, 2), (1, 1)])
+def test_op10_prefixes(num, den):
+    """Two sets at the threshold have, in any order, L shingles common to both long prefixes, L being either's."""
+    t = Fraction(num, den)
+    extra = lambda n: ngram_join.long_prefix(n, t) - ngram_join.prefix_length(n, t) + 1
+    for n in range(1, 140):
+        for m in range(n, min(140, int(n / t) + 1)):
+            common = -(-num * (n + m) // (num + den))
+            # Common ones in the prefix at least, by how many lie behind it at most.
+            both = min(common - (x - ngram_join.long_prefix(x, t)) for x in (n, m))
+            assert common > min(n, m) or both >= max(extra(n), extra(m))
+
+
+def test_op10_index():
+    """Overlaps derived from another set's are those counted, and no link of sets is lost by skipped blocks."""
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 62, 120, dtype=np.uint64))
+    sets = [np.unique(np.append(rng.choice(base, rng.integers(70, 120), False), rng.integers(0, 9, rng.integers(0, 9)).astype(np.uint64))) for _ in range(80)]
+    sets.sort(key=len)
+    index = ngram_join.SetIndex(sets, Fraction(4, 5))
+    for k, s in enumerate(sets):
+        want = [len(np.intersect1d(s, x, True)) for x in sets]
+        near = {j for j, x in enumerate(sets) if j != k and 5 * want[j] >= 4 * (len(s) + len(x) - want[j])}
+        listed = index.overlaps(k)
+        assert all(listed[j] == want[j] for j in range(80) if j != k) and near <= set(index.candidates(k).tolist())
+        assert set(index.links(k, index.candidates(k)).tolist()) - {k} == near
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
