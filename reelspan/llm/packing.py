@@ -2,8 +2,8 @@
 
 Documents are encoded once, where they are read; each is cut at multiples of the capacity, and a rest of more than
 half of that once more. The histogram of piece lengths has at most ``capacity`` entries, whatever the corpus. On the
-driver, lengths are placed longest first, each into the pack with the least room left that still holds it
-(shortest-pack-first), for all packs of a pattern at once, and pattern counts are updated. Pieces then find their
+driver, lengths are placed longest first, each into the shortest pack, the one filled least (shortest-pack-first),
+or a new one where it doesn't fit there, for all packs of a pattern at once, and pattern counts are updated. Pieces then find their
 place by their rank among those of their length: ranks are counted within (length, salt), so that a length that a
 third of all pieces have is spread over many tasks.
 
@@ -31,26 +31,29 @@ PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Patterns ``((length, repeats), ...)`` with their counts. A count of packs shares a pattern and is split only
     where fewer pieces than packs are left, so that at most one pattern is added for each placement."""
-    room: dict[int, dict[tuple, int]] = defaultdict(lambda: defaultdict(int))
+    room: dict[int, dict[tuple, int]] = defaultdict(lambda: defaultdict(int))  # by what is left of a pack
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            fit = min((r for r in room if r >= length), default=None)
-            if fit is None:
-                each = 1
-                packs, pattern, fit = left, (), capacity
-                if length * 2 <= capacity and left > 1:  # new packs take as many of this length as they hold
+            fit = max(room, default=0)
+            if fit < length:
+                packs, pattern, fit, each = left, (), capacity, 1
+                if length * 2 <= capacity and left > 1:  # a new pack stays the shortest until it holds no more of this length
                     each = min(left, capacity // length)
                     packs = left // each
             else:
                 pattern, count = next(iter(room[fit].items()))
-                each = min(fit // length, max(1, left // count))
-                packs = min(count, left // each)
+                each, packs = 1, min(count, left)
                 room[fit][pattern] -= packs
                 if not room[fit][pattern]:
                     del room[fit][pattern]
                 if not room[fit]:
                     del room[fit]
+                if pattern[-1][0] == length:  # one more of the same length
+                    pattern, each = pattern[:-1], pattern[-1][1] + 1
+                    room[fit - length][(*pattern, (length, each))] += packs
+                    left -= packs
+                    continue
             room[fit - each * length][(*pattern, (length, each))] += packs
             left -= packs * each
     return [(p, c) for _, found in sorted(room.items()) for p, c in found.items()]

@@ -3,7 +3,7 @@
 Every document is a byte string. A byte goes if it lies in a string of ``length`` bytes that also starts in a
 document with a smaller id; strings are judged on the input, and matches never cross documents.
 
-The plan is one exchange of the texts, into blocks by a hash of the id, and four of short messages:
+The plan is one exchange of the texts, into blocks by a hash of the row, and four of short messages:
 
 1. Each block cuts its texts into runs of neighbouring windows (strings of ``length`` bytes) that share their
    minimiser, the least ``seed``-gram. Equal windows have equal minimisers, so only runs of one minimiser can match. The
@@ -13,11 +13,13 @@ The plan is one exchange of the texts, into blocks by a hash of the id, and four
    whether this block holds the run's first document while the minimiser has other runs, too.
 3. Only for runs of the latter kind the block compares window by window: it sorts these windows' suffixes
    by deep-shallow sorting, finds the runs of equal ones and their smallest doc_id, and sends each distinct window once
-   to its bucket, which answers whether a smaller document has it.
+   to its bucket, which answers whether a smaller document has it. Between blocks windows are told apart by 80 bits: 64 of
+   their own and 16 of their minimiser.
 4. The block marks what goes and measures what is left.
 
 A block sends a string at most once however often it occurs, so a passage of a third of all documents is a row for
-each block, not one for each document. Messages are packed arrays; the number of blocks and buckets follows the bytes.
+each block, not one for each document. Messages are packed arrays. The bytes of a block and of a bucket are bounded, so
+their numbers follow the input; a text of more than a block's bytes is a block of its own and is read in tiles.
 
 Nulls: a null text is the empty text; a null doc_id is after all others. Rows that share a doc_id never remove
 from one another. An empty table gives no rows. Other columns are ignored, unless named to be kept.
@@ -39,6 +41,7 @@ from reelspan.llm.suffix_sort import sort_suffixes, symbols
 
 SEED = 20
 LAST = (1 << 63) - 1
+BUCKET_BYTES = 1 << 25
 MESSAGE = "bucket int, block int, kind int, body binary"
 _MESSAGE = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
 
@@ -204,9 +207,9 @@ def _answer_runs(table: pa.Table) -> pa.Table:
 
 def _answer_windows(table: pa.Table) -> pa.Table:
     """A bit for each window: a smaller document has it."""
-    spans, (window, doc) = _gathered(table, [8, 8])
+    spans, (window, seed, doc) = _gathered(table, [8, 2, 8])
     doc = doc.astype(np.int64)
-    number, least = _least((window,), doc)
+    number, least = _least((seed, window), doc)
     return _replies(table.column("bucket")[0].as_py(), 1, spans, (least[number] < doc)[:, None])
 
 
@@ -240,7 +243,7 @@ class _Marks:
         least = np.minimum.reduceat(doc, np.flatnonzero(new)) if len(doc) else doc
         total = running(t.raw)
         heads = placed[new]
-        return placed, run, number, hashes(total, heads, heads + t.length), least
+        return placed, run, number, hashes(total, heads, heads + t.length), t.seed[run[new]] >> np.uint64(48), least
 
 
 def removed_spans(texts: Texts, replies: list[tuple[int, int, bytes]], buckets: int) -> np.ndarray:
@@ -251,7 +254,7 @@ def removed_spans(texts: Texts, replies: list[tuple[int, int, bytes]], buckets:
     np.add.at(edge, texts.begin[gone], 1)
     np.add.at(edge, texts.stop[gone] + texts.length - 1, -1)
     if len(marks.edges):
-        at, run, number, window, least = marks.sorted_windows()
+        at, run, number, window, _, least = marks.sorted_windows()
         smaller = _bits([(b, raw) for b, kind, raw in replies if kind == 1], window, buckets, 1)[:, 0]
         out = smaller[number] | (least[number] < texts.doc[texts.of[run]])
         np.add.at(edge, at[out], 1)
@@ -266,9 +269,11 @@ def dedup(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 22, texts:
     spark = docs.sparkSession
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes), 4 * common.partitions(spark) if size > block_bytes else 1)
-    buckets = max(1, min(blocks, 4 * common.partitions(spark), -(-size // (1 << 20))))
-    key = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int")
-    base = docs.select(key.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), common.text_of().cast("binary").alias("text"), *([F.struct(*keep).alias("row")] if keep else []))
+    # A bucket's messages are about as many bytes as the texts that they come from.
+    buckets = max(min(4 * common.partitions(spark), -(-size // (1 << 20))), -(-size // BUCKET_BYTES), 1)
+    key = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(blocks)).cast("int")
+    own = docs.select(key.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), common.text_of().cast("binary").alias("text"), *([F.struct(*keep).alias("row")] if keep else []))
+    base = own.drop("row")
 
     def load(table: pa.Table) -> Texts:
         return Texts(table.column("doc_id").to_pylist(), [x or b"" for x in table.column("text").to_pylist()], length)
@@ -287,11 +292,11 @@ def dedup(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 22, texts:
         if left.num_rows and right.num_rows:
             marks = _Marks(load(left), told(right), buckets)
             if len(marks.edges):
-                *_, window, least = marks.sorted_windows()
-                rows = list(_send(left.column("block")[0].as_py(), 1, window, [(window, 8), (least, 8)], buckets))
+                *_, window, seed, least = marks.sorted_windows()
+                rows = list(_send(left.column("block")[0].as_py(), 1, window, [(window, 8), (seed, 2), (least, 8)], buckets))
         return pa.Table.from_batches([common.rows_batch(rows, _MESSAGE)])
 
-    shape = base.drop("block", "text").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    shape = own.drop("block", "text").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     shape = shape.add("kept_text", "string") if texts else shape
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -315,15 +320,17 @@ def dedup(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 22, texts:
     first = common.staged(first, "dedup-runs")
     second = base.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(windows, MESSAGE).groupBy("bucket").applyInArrow(_answer_windows, MESSAGE)
     replies = first.unionByName(second)
-    return base.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, shape)
+    return own.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, shape)
 
 
 def keep_first(docs: DataFrame, length: int = 50) -> DataFrame:
     """``docs`` without the bytes that ``dedup`` removes, n_chars set anew where it is a column; rows that removal
     leaves blank go."""
     names = docs.columns
-    found = dedup(docs, length, texts=True, keep=names).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))}
+    # The text comes back as what is left of it; only whether it was null travels beside it.
+    flagged = docs.withColumn("_null_text", F.col("text").isNull())
+    found = dedup(flagged, length, texts=True, keep=[n for n in flagged.columns if n != "text"]).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.when(~F.col("row._null_text"), F.col("kept_text"))}
     if "n_chars" in names:
         new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
     return found.select(*[new.get(n, F.col(f"row.`{n}`")).alias(n) for n in names])
