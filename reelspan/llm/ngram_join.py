@@ -338,12 +338,14 @@ def _unit_pairs(lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFra
     off = F.col("label") != F.col("pivot")
     part = F.when(off, F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts"))).otherwise(F.col("salt"))
     unit = F.struct("leader", F.when(off, 1).otherwise(0).alias("far"), part.alias("part")).alias("unit")
-    marked = lists.select("token", "rep").join(labels.join(far, "leader", "left").select("rep", "label", unit), "rep")
+    place = F.struct("leader", "salt").alias("place")
+    marked = lists.select("token", "rep").join(labels.join(far, "leader", "left").select("rep", "label", unit, place), "rep")
     spans = marked.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     marked = common.staged(marked.join(spans, "token"), "join-spans")
-    held = marked.groupBy("token", "unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    one, two = (held.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("unit", "lo", "hi")]) for k in "12")
-    met = one.join(two, "token").where("unit1 <= unit2 AND least(lo1, lo2) <> greatest(hi1, hi2)")
+    held = marked.groupBy("token", "unit").agg(*[f(c).alias(n) for c, lo, hi in (("label", "lo", "hi"), ("place", "near", "off")) for f, n in ((F.min, lo), (F.max, hi))])
+    one, two = (held.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("unit", "lo", "hi", "near", "off")]) for k in "12")
+    # Sets of one chunk have been compared.
+    met = one.join(two, "token").where("unit1 <= unit2 AND least(lo1, lo2) <> greatest(hi1, hi2) AND least(near1, near2) <> greatest(off1, off2)")
     return met.select(F.col("unit1").alias("u"), F.col("unit2").alias("v")).distinct(), marked.select("unit", "rep").distinct()
 
 
