@@ -62,14 +62,34 @@ def coherence(sentence: Column) -> Column:
     return let(F.lower(strip(sentence)), score)
 
 
-def sentiment(text: Column, lexicon: Iterable[str] = S.EMOTION_WORDS) -> Column:
+#: What a text adds to signals by counts; those of texts joined by a blank add up.
+COUNTS = ("words", "hits", "figures", "marks", "reactions")
+
+
+def text_counts(text: Column, lexicon: Iterable[str] = S.EMOTION_WORDS) -> Column:
+    """Words, words of the lexicon, figures (amounts, percentages, integers), question marks and reaction tags."""
     words = list(lexicon)
+    figures = F.regexp_count(text, F.lit(S.AMOUNT_PATTERN)) + F.regexp_count(text, F.lit(S.PERCENT_PATTERN)) + F.regexp_count(text, F.lit(S.INTEGER_PATTERN))
+    marks = F.char_length(text) - F.char_length(F.replace(text, F.lit("?"), F.lit("")))
+    hits = lambda found: F.size(F.filter(found, lambda w: w.isin(words)))
+    return let(
+        F.regexp_extract_all(F.lower(text), F.lit(S.WORD_PATTERN), 0),
+        lambda found: F.struct(F.size(found).alias("words"), hits(found).alias("hits"), figures.alias("figures"), marks.alias("marks"), reaction_count(text).alias("reactions")),
+    )
+
 
-    def score(found: Column) -> Column:
-        hits = F.size(F.filter(found, lambda w: w.isin(words)))
-        return F.when(F.size(found) == 0, 0.0).otherwise(F.least(F.lit(1.0), hits / F.greatest(F.lit(1.0), F.size(found) / F.lit(8.0))))
+def summed_counts(counts: Column) -> Column:
+    """The sum of an array of ``text_counts``."""
+    none = F.struct(*[F.lit(0).alias(n) for n in COUNTS])
+    return F.aggregate(counts, none, lambda acc, c: F.struct(*[(acc[n] + c[n]).alias(n) for n in COUNTS]))
 
-    return let(F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), 0), score)
+
+def sentiment_of(c: Column) -> Column:
+    return F.when(c["words"] == 0, 0.0).otherwise(F.least(F.lit(1.0), c["hits"] / F.greatest(F.lit(1.0), c["words"] / F.lit(8.0))))
+
+
+def sentiment(text: Column, lexicon: Iterable[str] = S.EMOTION_WORDS) -> Column:
+    return let(text_counts(text, lexicon), sentiment_of)
 
 
 def capitalised_terms(text: Column) -> Column:
@@ -79,25 +99,35 @@ def capitalised_terms(text: Column) -> Column:
     return let(starters, lambda s: F.filter(found, lambda x: ~F.array_contains(s, x)))
 
 
+def specificity_of(c: Column, text: Column) -> Column:
+    return F.least(F.lit(1.0), (c["figures"] + F.size(capitalised_terms(text))) / F.lit(3.0))
+
+
 def specificity(text: Column) -> Column:
-    hits = F.regexp_count(text, F.lit(r"\$[\d,]+(?:\.\d+)?")) + F.regexp_count(text, F.lit(r"\d+(?:\.\d+)?%")) + F.regexp_count(text, F.lit(r"\b\d+\b")) + F.size(capitalised_terms(text))
-    return F.least(F.lit(1.0), hits / F.lit(3.0))
+    return let(text_counts(text), lambda c: specificity_of(c, text))
 
 
-def curiosity(text: Column, phrases: Iterable[str] = S.HOOK_PHRASES, openers: Iterable[str] = S.QUESTION_OPENERS) -> Column:
-    marks = F.char_length(text) - F.char_length(F.replace(text, F.lit("?"), F.lit("")))
+def curiosity_of(c: Column, text: Column, phrases: Iterable[str] = S.HOOK_PHRASES, openers: Iterable[str] = S.QUESTION_OPENERS) -> Column:
     low = F.lower(text)
     opened = F.regexp_count(low, F.lit(rf"(?:^|[.?!]\s+|\n)\s*(?:{'|'.join(openers)})"))
     hits = let(low, lambda x: sum((F.when(x.contains(p), 1).otherwise(0) for p in phrases), F.lit(0)))
-    return clamp((F.least(F.lit(1.0), (marks + opened) / F.lit(3.0)) + F.least(F.lit(1.0), hits / F.lit(2.0))) / 2)
+    return clamp((F.least(F.lit(1.0), (c["marks"] + opened) / F.lit(3.0)) + F.least(F.lit(1.0), hits / F.lit(2.0))) / 2)
+
+
+def curiosity(text: Column, phrases: Iterable[str] = S.HOOK_PHRASES, openers: Iterable[str] = S.QUESTION_OPENERS) -> Column:
+    return let(text_counts(text), lambda c: curiosity_of(c, text, phrases, openers))
 
 
 def reaction_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(S.REACTION_PATTERN))
 
 
+def laughter_of(c: Column) -> Column:
+    return F.least(F.lit(1.0), c["reactions"] / F.lit(2.0))
+
+
 def text_laughter(text: Column) -> Column:
-    return F.least(F.lit(1.0), reaction_count(text) / F.lit(2.0))
+    return let(text_counts(text), laughter_of)
 
 
 def ends_sentence(text: Column) -> Column:
@@ -106,7 +136,7 @@ def ends_sentence(text: Column) -> Column:
 
 def parse_timestamps(text: Column) -> Column:
     """Seconds of every m:ss or h:mm:ss in order of appearance."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b(?:\d{1,2}:)?[0-5]?\d:[0-5]\d\b"), 0)
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(S.TIMESTAMP_PATTERN), 0)
     return F.transform(found, lambda m: F.aggregate(F.transform(F.split(m, ":"), lambda p: p.cast("int")), F.lit(0), lambda acc, p: acc * 60 + p))
 
 
@@ -153,8 +183,8 @@ def is_video_url(url: Column) -> Column:
 
 
 def is_web_url(url: Column) -> Column:
-    return F.coalesce(strip(url).rlike(r"(?i)^https?://[^\s/]+"), F.lit(False))
+    return F.coalesce(strip(url).rlike(S.WEB_PATTERN), F.lit(False))
 
 
 def video_id(url: Column) -> Column:
-    return F.nullif(F.regexp_extract(url, r"(?:v=|youtu\.be/|shorts/)([A-Za-z0-9_-]{11})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(url, S.VIDEO_ID_PATTERN, 1), F.lit(""))

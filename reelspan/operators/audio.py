@@ -45,22 +45,29 @@ def mids_by_part(gaps: DataFrame, step: float) -> DataFrame:
     return rows.groupBy("video_id", "part").agg(F.array_sort(F.collect_list("mid")).alias("mids"))
 
 
-def window_features(windows: DataFrame, frames: DataFrame, gaps: DataFrame, settings: Settings = DEFAULTS, step: float | None = None) -> DataFrame:
+def window_features(windows: DataFrame, frames: DataFrame, gaps: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """windows(video_id, start_s, end_s, ...) with audio_energy, audio_laughter, audio_pause; frames count in
-    [start, end), pauses whose midpoint lies in [start - pause_min_s, end). A video's frames travel as one array; with
-    ``step``, where no window crosses a multiple of it, as one for each stretch of that length."""
-    rows, keys = normalised(frames), ["video_id"]
-    if step:
-        windows, rows, keys = windows.withColumn("part", F.floor(F.col("start_s") / step)), rows.withColumn("part", F.floor(F.col("t") / step)), ["video_id", "part"]
-    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "energy", "zcr"))).alias("frames"))
-    mids = mids_by_part(gaps, step) if step else gaps.groupBy("video_id").agg(F.array_sort(F.collect_list("mid")).alias("mids"))
-    both = windows.join(rows, keys, "left").join(mids, keys, "left")
-    inside = F.filter(F.coalesce("frames", F.array().cast("array<struct<t:double,energy:double,zcr:double>>")), lambda f: (f["t"] >= F.col("start_s")) & (f["t"] < F.col("end_s")))
-    mean = lambda f: F.coalesce(F.try_divide(F.aggregate(F.col("inside"), F.lit(0.0), lambda acc, x: acc + f(x)), F.size("inside")), F.lit(0.0))
-    pauses = F.size(F.filter(F.coalesce("mids", F.array().cast("array<double>")), lambda m: (m >= F.col("start_s") - settings.pause_min_s) & (m < F.col("end_s"))))
-    out = both.withColumn("inside", inside)
-    out = out.withColumn("audio_energy", clamp(mean(lambda x: x["energy"]))).withColumn("audio_laughter", clamp(mean(lambda x: x["energy"] * x["zcr"]))).withColumn("audio_pause", F.least(F.lit(1.0), pauses / F.lit(3.0)))
-    return out.drop("frames", "mids", "inside", *(["part"] if step else []))
+    [start, end), pauses whose midpoint lies in [start - pause_min_s, end). Window edges are sorted among a video's frames
+    and pauses, and running sums up to the two edges are subtracted: a window costs three rows, however many frames it
+    holds. Windows that agree in all columns are one."""
+    zero, none = F.lit(0.0), F.lit(0)
+    keys = windows.columns
+    sums = {"energy": zero, "laughter": zero, "n": none, "pauses": none}
+    edge = F.struct(*keys).alias("w")
+    edges = F.explode(F.array(*[F.struct(at.alias("t"), F.lit(k).alias("edge")) for k, at in enumerate((F.col("start_s") - settings.pause_min_s, F.col("start_s"), F.col("end_s")))])).alias("e")
+    rows = windows.select("video_id", edge, edges).select("video_id", "w", "e.t", "e.edge", *[v.alias(k) for k, v in sums.items()])
+    blank = [F.lit(None).cast(rows.schema["w"].dataType).alias("w"), "t", F.lit(3).alias("edge")]
+    heard = normalised(frames).select("video_id", *blank, "energy", (F.col("energy") * F.col("zcr")).alias("laughter"), F.lit(1).alias("n"), none.alias("pauses"))
+    mids = gaps.withColumn("t", F.col("mid")).select("video_id", *blank, zero.alias("energy"), zero.alias("laughter"), none.alias("n"), F.lit(1).alias("pauses"))
+    # An edge stands before what begins at its time, which is outside of a window that ends there.
+    before = Window.partitionBy("video_id").orderBy("t", "edge").rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.unionByName(heard).unionByName(mids).select("video_id", "w", "edge", *[F.sum(k).over(before).alias(k) for k in sums]).where("edge < 3")
+    at = lambda name, k: F.max(F.when(F.col("edge") == k, F.col(name)))
+    inside = [(at(k, 2) - at(k, 0 if k == "pauses" else 1)).alias(f"_{k}") for k in sums]
+    found = summed.groupBy("video_id", "w").agg(*inside)
+    mean = lambda c: clamp(F.when(F.col("_n") > 0, F.round(F.col(c) / F.col("_n"), 12)).otherwise(0.0))
+    out = found.withColumns({"audio_energy": mean("_energy"), "audio_laughter": mean("_laughter"), "audio_pause": F.least(F.lit(1.0), F.col("_pauses") / F.lit(3.0))})
+    return out.select(*[F.col(f"w.`{k}`").alias(k) for k in keys], "audio_energy", "audio_laughter", "audio_pause")
 
 
 def per_second(frames: DataFrame) -> DataFrame:

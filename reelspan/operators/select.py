@@ -1,11 +1,11 @@
-"""Greedy selection of intervals that don't overlap: best score first, then earliest, then generation order."""
+"""Greedy selection of intervals that don't overlap: best score first, then earliest, then the order that the caller names."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ITEM = "struct<neg:double,start_s:double,anchor:int,len_idx:int,end_s:double>"
+ITEM = "struct<neg:double,start_s:double,turn:int,anchor:int,len_idx:int,end_s:double>"
 
 
 def greedy(candidates: Column, k: int) -> Column:
@@ -19,9 +19,11 @@ def greedy(candidates: Column, k: int) -> Column:
     return F.aggregate(candidates, none, step)
 
 
-def select_moments(windows: DataFrame, k: int) -> DataFrame:
-    """video_id, rank, start_s, end_s, score, anchor, len_idx of the windows kept per video."""
-    item = F.struct((-F.col("score")).alias("neg"), F.col("start_s"), F.col("anchor").cast("int").alias("anchor"), F.col("len_idx").cast("int").alias("len_idx"), F.col("end_s"))
+def select_moments(windows: DataFrame, k: int, turn: str | None = None) -> DataFrame:
+    """video_id, rank, start_s, end_s, score, anchor, len_idx of the windows kept per video. Windows of one score and
+    start keep the order of column ``turn``, or else that in which they were made."""
+    first = (F.col(turn) if turn else F.lit(0)).cast("int").alias("turn")
+    item = F.struct((-F.col("score")).alias("neg"), F.col("start_s"), first, F.col("anchor").cast("int").alias("anchor"), F.col("len_idx").cast("int").alias("len_idx"), F.col("end_s"))
     ranked = windows.groupBy("video_id").agg(F.array_sort(F.collect_list(item.cast(ITEM))).alias("c"))
     kept = ranked.select("video_id", F.posexplode(greedy(F.col("c"), k)).alias("rank", "m"))
     return kept.select("video_id", (F.col("rank") + 1).alias("rank"), F.col("m.start_s").alias("start_s"), F.col("m.end_s").alias("end_s"), (-F.col("m.neg")).alias("score"), F.col("m.anchor").alias("anchor"), F.col("m.len_idx").alias("len_idx"))

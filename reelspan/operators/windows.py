@@ -1,24 +1,43 @@
 """Candidate windows, their text and content scores, from one row per video.
 
-A video's segments are one array (``timeline``), gathered by one exchange on video_id; windows are exploded from it
-and read their segments out of it, so overlap joins never shuffle again.
+A video's segments are one array (``timeline``), gathered by one exchange on video_id. Each segment knows by position
+where the segments of the windows that begin at it lie, and counts of what its own text adds to a signal, so a window takes a slice
+of the array and sums; nothing in it grows with the number of segments of the video.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.functions import text as T
 from reelspan.settings import DEFAULTS, EMOTION_WORDS, Settings
 
+#: How far back the segments are looked for that still run when another begins: the first step where none does.
+LOOKBACK = (1, 4, 16, 64, 256, 1024)
+
 
 def timeline(segments: DataFrame) -> DataFrame:
     """video_id, segs (ordered by start, then seg_idx), timeline_end; null times count as 0."""
     zero = F.lit(0.0)
     item = F.struct(F.coalesce("start", zero).alias("start"), F.col("seg_idx"), F.coalesce("end", zero).alias("end"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = segments.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("segs"), F.coalesce(F.max(F.coalesce("end", zero)), zero).alias("timeline_end"))
-    return grouped
+    return segments.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("segs"), F.coalesce(F.max(F.coalesce("end", zero)), zero).alias("timeline_end"))
+
+
+def positions(segments: DataFrame, settings: Settings = DEFAULTS, lexicon: tuple[str, ...] = EMOTION_WORDS) -> DataFrame:
+    """segments with times that aren't null, pos (in the order of start, seg_idx, from 0), lo (all earlier segments have ended
+    when this one begins), his (for each length how many segments begin up to its end) and the text's counts."""
+    zero = F.lit(0.0)
+    rows = segments.select("video_id", "seg_idx", F.coalesce("start", zero).alias("start"), F.coalesce("end", zero).alias("end"), F.coalesce("text", F.lit("")).alias("text"))
+    # Windows multiply a video's text about forty times, so partitions aren't merged by the bytes of the segments alone.
+    rows = rows.repartition(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id")
+    order = Window.partitionBy("video_id").orderBy("start", "seg_idx")
+    rows = rows.withColumn("pos", F.row_number().over(order) - 1).withColumn("ended", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lo = F.lit(0)
+    for k in reversed(LOOKBACK):
+        lo = F.when(F.coalesce(F.lag("ended", k).over(order) <= F.col("start"), F.lit(True)), F.col("pos") - (k - 1)).otherwise(lo)
+    his = F.array(*[F.expr(f"count(*) OVER (PARTITION BY video_id ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND {x!r}D FOLLOWING)") for x in settings.lengths()])
+    return rows.select("video_id", "seg_idx", "start", "end", "text", "pos", F.greatest(lo, F.lit(0)).alias("lo"), his.cast("array<int>").alias("his"), T.text_counts(F.col("text"), lexicon).alias("counts"))
 
 
 def overlapping(segs: Column, start: Column, end: Column) -> Column:
@@ -30,30 +49,52 @@ def joined_text(segs: Column) -> Column:
     return F.array_join(F.transform(segs, lambda s: s["text"]), " ")
 
 
-def candidate_windows(lines: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Every segment start with every length, if it fits the timeline."""
-    lengths = F.array(*[F.lit(x) for x in settings.lengths()])
-    anchors = lines.select("video_id", "segs", "timeline_end", F.posexplode("segs").alias("anchor", "s"))
-    found = anchors.select("video_id", "segs", "timeline_end", "anchor", F.col("s.start").alias("start_s"), F.posexplode(lengths).alias("len_idx", "length"))
-    found = found.withColumn("end_s", F.col("start_s") + F.col("length"))
-    return found.where(F.col("end_s") <= F.col("timeline_end") + 1e-9)
+def candidate_windows(segments: DataFrame, settings: Settings = DEFAULTS, lexicon: tuple[str, ...] = EMOTION_WORDS) -> DataFrame:
+    """Every segment start with every length, if it fits the timeline, with the segments that it overlaps (``segs``)."""
+    item = F.struct("start", "seg_idx", "end", "text", "lo", "his", "counts")
+    lines = positions(segments, settings, lexicon).groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("segs"), F.max("end").alias("timeline_end"))
+    brief = lambda s: F.struct(s["text"].alias("text"), s["counts"].alias("counts"))
+    spans = F.transform(F.array(*[F.lit(x) for x in settings.lengths()]), lambda x, k: F.struct(k.alias("len_idx"), x.alias("length")))
+
+    def of_anchor(s: Column, i: Column) -> Column:
+        fits = F.filter(spans, lambda x: s["start"] + x["length"] <= F.col("timeline_end") + 1e-9)
+
+        def one(x: Column) -> Column:
+            end = s["start"] + x["length"]
+            near = F.slice(F.col("segs"), s["lo"] + 1, F.get(s["his"], x["len_idx"]) - s["lo"])
+            inside = F.transform(overlapping(near, s["start"], end), brief)
+            return F.struct(i.alias("anchor"), s["start"].alias("start_s"), x["len_idx"].alias("len_idx"), x["length"].alias("length"), end.alias("end_s"), inside.alias("segs"))
+
+        return F.transform(fits, one)
+
+    found = lines.select("video_id", "timeline_end", F.explode(F.flatten(F.transform("segs", of_anchor))).alias("w"))
+    return found.select("video_id", "timeline_end", "w.*")
 
 
 def window_text(windows: DataFrame) -> DataFrame:
-    return windows.withColumn("text", joined_text(overlapping(F.col("segs"), F.col("start_s"), F.col("end_s"))))
+    """windows with the text of ``segs``."""
+    return windows.withColumn("text", joined_text(F.col("segs")))
+
+
+def texts_inside(windows: DataFrame) -> DataFrame:
+    """windows(start_s, end_s, segs) with ``segs`` cut to those that the window overlaps, and their text."""
+    return window_text(windows.withColumn("segs", overlapping(F.col("segs"), F.col("start_s"), F.col("end_s"))))
 
 
 SIGNALS = ("hook", "coherence", "sentiment", "specificity", "curiosity", "laughter")
 
 
-def signals(rows: DataFrame, lexicon: tuple[str, ...] = EMOTION_WORDS) -> DataFrame:
-    """The text signals of column ``text``."""
+def signals(rows: DataFrame, lexicon: tuple[str, ...] = EMOTION_WORDS, counted: bool = False) -> DataFrame:
+    """The text signals of column ``text``. Where the rows are ``counted``, their ``segs`` have counts that are summed instead of
+    searching the text again."""
     text = F.col("text")
     # The first sentence is computed once and read by two signals.
     head = T.let(T.first_sentence(text), lambda f: F.struct(T.hook_quality(f).alias("hook"), T.coherence(f).alias("coherence")))
-    made = (F.col("_head.hook"), F.col("_head.coherence"), T.sentiment(text, lexicon), T.specificity(text), T.curiosity(text), T.text_laughter(text))
-    found = rows.withColumn("_head", head)
-    return found.select("*", *[c.alias(n) for n, c in zip(SIGNALS, made, strict=True)]).drop("_head")
+    counts = T.summed_counts(F.transform("segs", lambda s: s["counts"])) if counted else T.text_counts(text, lexicon)
+    found = rows.withColumn("_head", head).withColumn("_counts", counts)
+    c = F.col("_counts")
+    made = (F.col("_head.hook"), F.col("_head.coherence"), T.sentiment_of(c), T.specificity_of(c, text), T.curiosity_of(c, text), T.laughter_of(c))
+    return found.select("*", *[x.alias(n) for n, x in zip(SIGNALS, made, strict=True)]).drop("_head", "_counts")
 
 
 def content_score(settings: Settings = DEFAULTS, audio: bool = False) -> Column:
@@ -71,7 +112,7 @@ def audio_score(settings: Settings = DEFAULTS) -> Column:
     return T.clamp(F.col("audio_energy") * w.audio_energy + F.col("audio_laughter") * w.laughter + F.col("audio_pause") * w.dramatic_pause)
 
 
-def scored_windows(lines: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def scored_windows(segments: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """video_id, anchor, len_idx, start_s, end_s, score by the transcript alone."""
-    found = signals(window_text(candidate_windows(lines, settings)).drop("segs"))
+    found = signals(window_text(candidate_windows(segments, settings)), counted=True)
     return found.select("video_id", "anchor", "len_idx", "start_s", "end_s", "timeline_end", F.round(content_score(settings), 9).alias("score"))

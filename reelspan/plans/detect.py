@@ -26,31 +26,39 @@ def _fused(rows: DataFrame, comments: DataFrame | None, settings: Settings) -> D
     return joined.withColumn("score", F.round(C.fused(F.col("content"), share, conf, times), 9)).drop("packed", "max_count", "mentions", "confidence", "said")
 
 
-def _content(rows: DataFrame, frames: DataFrame | None, gaps: DataFrame | None, settings: Settings) -> DataFrame:
-    """rows(video_id, start_s, end_s, segs) with content by the text in the window, and audio where given."""
-    found = W.signals(W.window_text(rows).drop("segs"))
+def _content(rows: DataFrame, frames: DataFrame | None, gaps: DataFrame | None, settings: Settings, counted: bool = False) -> DataFrame:
+    """rows(video_id, start_s, end_s, text) with content by the text, and audio where given."""
+    found = W.signals(rows, counted=counted).drop("segs", "text")
     if frames is not None:
         found = A.window_features(found, frames, gaps, settings)
     return found.withColumn("content", W.content_score(settings, frames is not None))
 
 
-def detect(segments: DataFrame, comments: DataFrame | None = None, frames: DataFrame | None = None, settings: Settings = DEFAULTS, max_clips: int | None = None) -> DataFrame:
-    """video_id, rank, start_s, end_s, score: at most ``max_clips`` disjoint moments of each video, best first."""
+def detect(segments: DataFrame, comments: DataFrame | None = None, frames: DataFrame | None = None, settings: Settings = DEFAULTS, max_clips: int | None = None, durations: DataFrame | None = None) -> DataFrame:
+    """video_id, rank, start_s, end_s, score: at most ``max_clips`` disjoint moments of each video, best first. Videos with
+    audio but no segment are found by their audio (``detect_audio``)."""
     k = settings.max_clips if max_clips is None else max_clips
     lines = W.timeline(segments)
     gaps = A.silence_gaps(frames, settings) if frames is not None else None
-    first = _fused(_content(W.candidate_windows(lines, settings), frames, gaps, settings), comments, settings)
+    first = _fused(_content(W.window_text(W.candidate_windows(segments, settings)), frames, gaps, settings, True), comments, settings)
     chosen = select_moments(first.where(F.col("score") >= settings.min_clip_score), settings.top_k)
-    refined = R.refine(chosen.drop("score", "rank"), lines, settings)
+    refined = W.texts_inside(R.refine(chosen.drop("score").withColumnRenamed("rank", "turn"), lines, settings))
     again = _fused(_content(refined, frames, gaps, settings), comments, settings)
-    return select_moments(again, max(0, k)).select("video_id", "rank", "start_s", "end_s", "score")
+    found = select_moments(again, max(0, k), "turn").select("video_id", "rank", "start_s", "end_s", "score")
+    if frames is None:
+        return found
+    silent = frames.join(segments.select("video_id").distinct(), "video_id", "left_anti")
+    return found.unionByName(detect_audio(silent, comments, settings, max_clips, durations))
 
 
-def detect_audio(frames: DataFrame, comments: DataFrame | None = None, settings: Settings = DEFAULTS, max_clips: int | None = None) -> DataFrame:
-    """The same without transcripts: windows every ``anchor_step_s``, audio scores, edges moved to silences."""
+def detect_audio(frames: DataFrame, comments: DataFrame | None = None, settings: Settings = DEFAULTS, max_clips: int | None = None, durations: DataFrame | None = None) -> DataFrame:
+    """The same without transcripts: windows every ``anchor_step_s``, audio scores, edges moved to silences. The timeline
+    ends with the media, by durations(video_id, duration); where that is unknown, at the last frame's time."""
     k = settings.max_clips if max_clips is None else max_clips
     gaps = A.silence_gaps(frames, settings)
     ends = frames.groupBy("video_id").agg(F.max("t").alias("timeline_end"))
+    if durations is not None:
+        ends = ends.join(durations.select("video_id", "duration"), "video_id", "left").select("video_id", F.coalesce("duration", "timeline_end").alias("timeline_end"))
     step = settings.anchor_step_s
     anchors = ends.select("video_id", "timeline_end", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.col("timeline_end") / step).cast("int")), lambda i: i * step)).alias("anchor", "start_s"))
     lengths = F.array(*[F.lit(x) for x in settings.lengths()])
@@ -60,21 +68,21 @@ def detect_audio(frames: DataFrame, comments: DataFrame | None = None, settings:
         found = A.window_features(windows, frames, gaps, settings).withColumn("content", W.audio_score(settings))
         return _fused(found, comments, settings)
 
-    chosen = select_moments(scored(rows).where(F.col("score") >= settings.min_clip_score), settings.top_k).drop("score", "rank")
+    chosen = select_moments(scored(rows).where(F.col("score") >= settings.min_clip_score), settings.top_k).drop("score").withColumnRenamed("rank", "turn")
     mids = gaps.groupBy("video_id").agg(F.array_sort(F.collect_list("mid")).alias("mids"))
     near = chosen.join(ends, "video_id").join(mids, "video_id", "left").withColumnsRenamed({"start_s": "raw_start_s", "end_s": "raw_end_s"})
     own = F.coalesce("mids", F.array().cast("array<double>"))
     near = near.withColumn("a", R.nearest_silence(own, F.col("raw_start_s"), settings.search_s)).withColumn("e", R.nearest_silence(own, F.col("raw_end_s"), settings.search_s))
     a, b = R.clamped(F.col("a"), F.col("e"), F.col("raw_start_s"), F.col("raw_end_s"), F.col("timeline_end"), settings)
     again = scored(near.withColumn("start_s", a).withColumn("end_s", b).drop("mids", "a", "e"))
-    return select_moments(again, max(0, k)).select("video_id", "rank", "start_s", "end_s", "score")
+    return select_moments(again, max(0, k), "turn").select("video_id", "rank", "start_s", "end_s", "score")
 
 
 def score_window(segments: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """video_id, start_s, end_s, score of each video's whole span: from its first segment's start to its last one's end."""
     lines = W.timeline(segments).where(F.size("segs") > 0)
     rows = lines.withColumns({"start_s": F.col("segs")[0]["start"], "end_s": F.element_at("segs", -1)["end"]})
-    return _content(rows, None, None, settings).select("video_id", "start_s", "end_s", F.round("content", 9).alias("score"))
+    return _content(W.texts_inside(rows), None, None, settings).select("video_id", "start_s", "end_s", F.round("content", 9).alias("score"))
 
 
 def snippets(clips: DataFrame, segments: DataFrame, most: int = 200) -> DataFrame:

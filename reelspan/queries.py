@@ -135,24 +135,24 @@ def transcript_segments(spark, sf_dir):
 
 @query(O.sql(O.WINDOWS, "SELECT video_id, anchor, len_idx, start_s, end_s FROM win"))
 def candidate_windows(spark, sf_dir):
-    return W.candidate_windows(W.timeline(X.document_segments(spark, sf_dir))).select("video_id", "anchor", "len_idx", "start_s", "end_s")
+    return W.candidate_windows(X.document_segments(spark, sf_dir)).select("video_id", "anchor", "len_idx", "start_s", "end_s")
 
 
 @query(O.sql(O.WINDOW_TEXT, "SELECT video_id, anchor, len_idx, md5(text) AS text_md5 FROM wt"))
 def window_text(spark, sf_dir):
-    rows = W.window_text(W.candidate_windows(W.timeline(X.document_segments(spark, sf_dir))))
+    rows = W.window_text(W.candidate_windows(X.document_segments(spark, sf_dir)))
     return rows.select("video_id", "anchor", "len_idx", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(O.sql(O.SCORED, "SELECT video_id, anchor, len_idx, round(hook, 6) AS hook, round(coherence, 6) AS coherence, round(sentiment, 6) AS sentiment, round(specificity, 6) AS specificity, round(curiosity, 6) AS curiosity, round(laughter, 6) AS laughter FROM ws"))
 def window_signals(spark, sf_dir):
-    rows = W.signals(W.window_text(W.candidate_windows(W.timeline(X.document_segments(spark, sf_dir)))).drop("segs"))
+    rows = W.signals(W.window_text(W.candidate_windows(X.document_segments(spark, sf_dir))), counted=True)
     return rows.select("video_id", "anchor", "len_idx", *[r6(n).alias(n) for n in W.SIGNALS])
 
 
 @query(O.sql(O.SCORED, "SELECT video_id, anchor, len_idx, start_s, end_s, round(score, 6) AS score FROM sc"))
 def content_scores(spark, sf_dir):
-    rows = W.scored_windows(W.timeline(X.document_segments(spark, sf_dir)))
+    rows = W.scored_windows(X.document_segments(spark, sf_dir))
     return rows.select("video_id", "anchor", "len_idx", "start_s", "end_s", r6("score").alias("score"))
 
 
@@ -163,7 +163,7 @@ src AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC,
 @query(O.sql(_PICKED + "," + O.greedy("src", 6, "nms"), "SELECT s.video_id, row_number() OVER (PARTITION BY s.video_id ORDER BY s.n)::INTEGER AS rank, s.start_s, s.end_s, round(s.score, 6) AS score FROM nms JOIN src s USING (video_id, n)", True))
 def top_moments(spark, sf_dir):
     """The best six disjoint windows of each document by its transcript."""
-    rows = W.scored_windows(W.timeline(X.document_segments(spark, sf_dir)), CORPUS).where(F.col("score") >= CORPUS.min_clip_score)
+    rows = W.scored_windows(X.document_segments(spark, sf_dir), CORPUS).where(F.col("score") >= CORPUS.min_clip_score)
     return select_moments(rows, CORPUS.top_k).select("video_id", "rank", "start_s", "end_s", r6("score").alias("score"))
 
 
@@ -180,8 +180,9 @@ ref AS (SELECT video_id, n, anchor, len_idx, start_s AS raw_start_s, end_s AS ra
 
 
 def _refined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = W.timeline(X.document_segments(spark, sf_dir))
-    rows = W.scored_windows(lines, CORPUS).where(F.col("score") >= CORPUS.min_clip_score)
+    segments = X.document_segments(spark, sf_dir)
+    lines = W.timeline(segments)
+    rows = W.scored_windows(segments, CORPUS).where(F.col("score") >= CORPUS.min_clip_score)
     return R.refine(select_moments(rows, CORPUS.top_k), lines, CORPUS)
 
 
@@ -194,8 +195,8 @@ _FINAL = _REFINED + f""",
 rt AS (SELECT r.video_id, r.n AS n0, any_value(r.anchor) AS anchor, any_value(r.len_idx) AS len_idx, any_value(r.start_s) AS start_s, any_value(r.end_s) AS end_s, coalesce(string_agg(s.text, ' ' ORDER BY s.start, s.seg_idx), '') AS text FROM ref r LEFT JOIN seg s ON s.video_id = r.video_id AND s.start < r.end_s AND s."end" > r.start_s GROUP BY r.video_id, r.n),
 rf AS (SELECT *, {O.first_sentence('text')} AS f FROM rt),
 rs AS (SELECT *, {O.signal_columns('text', 'f')} FROM rf),
-fin0 AS (SELECT video_id, anchor, len_idx, start_s, end_s, round({O.content()}, 9) AS score FROM rs),
-fin AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, start_s, anchor, len_idx) AS n FROM fin0),""" + O.greedy("fin", 3, "last_")
+fin0 AS (SELECT video_id, n0, anchor, len_idx, start_s, end_s, round({O.content()}, 9) AS score FROM rs),
+fin AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, start_s, n0) AS n FROM fin0),""" + O.greedy("fin", 3, "last_")
 
 
 @query(O.sql(_FINAL, "SELECT f.video_id, row_number() OVER (PARTITION BY f.video_id ORDER BY f.n)::INTEGER AS rank, f.start_s, f.end_s, round(f.score, 6) AS score FROM last_ JOIN fin f USING (video_id, n)", True))
@@ -243,7 +244,7 @@ def _audio_grid(frames: DataFrame) -> DataFrame:
 @query(O.sql(O.AUDIO_GRID, "SELECT g.video_id, g.start_s, round(greatest(0, least(1, coalesce(avg(f.energy), 0))), 6) AS audio_energy, round(greatest(0, least(1, coalesce(avg(f.energy * f.zcr), 0))), 6) AS audio_laughter, round(least(1.0::DOUBLE, (SELECT count(*) FROM gap p WHERE p.video_id = g.video_id AND p.mid >= g.start_s - 0.6 AND p.mid < g.end_s) / 3.0::DOUBLE), 6) AS audio_pause FROM agrid g LEFT JOIN fr f ON f.video_id = g.video_id AND f.t >= g.start_s AND f.t < g.end_s GROUP BY g.video_id, g.start_s, g.end_s"))
 def audio_by_window(spark, sf_dir):
     frames = X.event_frames(spark, sf_dir)
-    rows = A.window_features(_audio_grid(frames), frames, A.silence_gaps(frames), step=GRID_S)
+    rows = A.window_features(_audio_grid(frames), frames, A.silence_gaps(frames))
     return rows.select("video_id", "start_s", r6("audio_energy").alias("audio_energy"), r6("audio_laughter").alias("audio_laughter"), r6("audio_pause").alias("audio_pause"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
-# Word lists and constants that results depend on.
+# Word lists, constants and patterns that results depend on. Where order has no meaning, words are sorted.
 EMOTION_WORDS = (
     "amazing", "betrayed", "brutal", "crazy", "devastated", "disaster", "disgusting", "ecstatic", "explosive", "exposed", "fantastic",
     "furious", "hate", "heartbroken", "horrible", "humiliated", "incredible", "insane", "love", "miracle", "nightmare", "outraged",
@@ -28,6 +28,13 @@ HOOK_PATTERN = (
     r"|\bhere'?s\s+(why|what|how)\b|\b(most|everyone)\s+(people|thinks)\b"
 )
 URL_PATTERN = r"(?i)^https?://(www\.|m\.)?(youtube\.com/(watch\?v=|shorts/|embed/)|youtu\.be/)"
+WEB_PATTERN = r"(?i)^https?://[^\s/]+"
+VIDEO_ID_PATTERN = r"(?:v=|youtu\.be/|shorts/)([A-Za-z0-9_-]{11})"
+TIMESTAMP_PATTERN = r"\b(?:\d{1,2}:)?[0-5]?\d:[0-5]\d\b"
+AMOUNT_PATTERN = r"\$[\d,]+(?:\.\d+)?"
+PERCENT_PATTERN = r"\d+(?:\.\d+)?%"
+INTEGER_PATTERN = r"\b\d+\b"
+WORD_PATTERN = r"[a-z']+"
 STAGES = ("downloading", "detecting", "editing", "captioning", "formatting")
 TRANSITIONS = {
     "queued": ("downloading", "failed", "cancelled"), "downloading": ("detecting", "failed", "cancelled"), "detecting": ("editing", "failed", "cancelled"),

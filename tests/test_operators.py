@@ -36,7 +36,7 @@ def test_touching_moments_are_both_kept(spark):
 
 
 def test_short_timeline_has_no_window(spark):
-    assert windows.candidate_windows(windows.timeline(segments(spark, [(0, 19.9, "x")]))).count() == 0
+    assert windows.candidate_windows(segments(spark, [(0, 19.9, "x")])).count() == 0
 
 
 def test_strict_overlap(spark):
