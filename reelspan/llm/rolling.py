@@ -18,7 +18,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Q**j and Q**-j for j up to ``n`` at least."""
     if not _powers or len(_powers["q"]) <= n:
-        size = 1 << max(16, int(n).bit_length())
+        size = max(1 << 16, n + n // 8)
         for name, base in (("q", _Q), ("i", _QINV)):
             out, have = np.empty(size + 1, np.uint64), 1
             out[0] = 1

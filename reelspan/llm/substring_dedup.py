@@ -60,7 +60,7 @@ def unplanes(raw: bytes, n: int, width: int, at: int = 0) -> np.ndarray:
 class Texts:
     """The texts of a block end to end, and its runs of windows that share a minimiser."""
 
-    def __init__(self, ids: list[int | None], texts: list[bytes], length: int, tile: int = 1 << 22):
+    def __init__(self, ids: list[int | None], texts: list[bytes], length: int, tile: int = 1 << 18):
         keep = sorted(range(len(ids)), key=lambda k: LAST if ids[k] is None else ids[k])
         self.rows = keep
         self.doc = np.array([LAST if ids[k] is None else ids[k] for k in keep], np.int64)
