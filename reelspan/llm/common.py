@@ -19,11 +19,13 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """A new folder's URI below ``spark.checkpoint.dir``. Only a local master, whose tasks share the driver's disk, may do without."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="reelspan-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -58,6 +60,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
     for b in batches:
         for a in range(0, b.num_rows, rows):
             yield b.slice(a, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -65,7 +68,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI (local, HDFS, S3, GCS) and the path there; works on any executor."""
+    """The file system of a URI (local, HDFS, S3, GCS) and the path there; works on any executor. Hadoop's names of S3
+    (s3a, s3n) are Arrow's s3."""
+    for name in ("s3a://", "s3n://"):
+        uri = uri.replace(name, "s3://", 1) if uri.startswith(name) else uri
     return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "", 1) if uri.startswith("file:") else os.path.abspath(uri))
 
 
