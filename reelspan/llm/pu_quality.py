@@ -1,15 +1,16 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk.
 
 Trusted positives are rows labelled 1, the unlabelled are any rows; the class prior is estimated. A linear model on
-text features minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss. Fitting takes a
-bounded sample, chosen by a hash of the id (``most_positive``, ``most_unlabelled``), and sends feature vectors of
-fixed length to the driver, never texts. Scoring reads every row whole, without a shuffle.
+text features minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss. Rows labelled 0 are read
+neither for the prior nor for the weights; with the logistic loss the margin is the score's log odds. Fitting takes a bounded sample, chosen by a hash of the
+id (``most_positive``, ``most_unlabelled``), and sends feature vectors of fixed length to the driver, never texts. Scoring reads every row whole, without a shuffle.
 
 Features come from the text alone: shares of character-class trigrams (hashed; letters of every script are one
 class), and ratios of words and lines. Label, language, source and id are no inputs.
 
 Nulls: a null text is the empty text, which has a score too; a null label is no label. Of rows that share a doc_id each
-gets a score. Without a positive label every score is the prior 0.5. Other columns are ignored.
+gets a score; a document labelled both 0 and 1 is no positive. Without a positive label every score is 0.5. An empty
+table of documents gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +38,6 @@ class Model:
     scale: np.ndarray
     weights: np.ndarray
     bias: float
-    slope: float
-    shift: float
     prior: float
 
 
@@ -111,41 +110,49 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return w[:-1], float(w[-1]), risks
 
 
-def calibrate(z: np.ndarray, label: np.ndarray, rounds: int = 200) -> tuple[float, float]:
-    """Slope and shift of the logistic that maps margins to shares of label 1; the classes weigh the same."""
-    a, b = 1.0, 0.0
-    if len(set(label.tolist())) < 2:
-        return a, b
-    weight = np.where(label == 1, 0.5 / (label == 1).mean(), 0.5 / (label == 0).mean())
-    for _ in range(rounds):  # Newton's method, damped
-        q = _sigmoid(a * z + b)
-        r, s = weight * (q - label), weight * np.maximum(q * (1 - q), 1e-6)
-        h = np.array([[(s * z * z).mean() + 1e-3, (s * z).mean()], [(s * z).mean(), s.mean() + 1e-3]])
-        step = np.linalg.solve(h, np.array([(r * z).mean() + 1e-3 * a, r.mean() + 1e-3 * b]))
-        a, b = a - 0.5 * step[0], b - 0.5 * step[1]
-    return float(a), float(b)
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: int = 50) -> float:
+    """The share of positives among the unlabelled, from the margins of both: above any threshold the unlabelled have at
+    least the prior times the positives' share, so the least quotient of both shares bounds it (best bin). Each share
+    has its deviation of 1 / sqrt(rows) added, and a bin holds some positives."""
+    p, u = np.sort(positive), np.sort(unlabelled)
+    if len(p) < least:
+        return 0.5
+    at = p[: len(p) - least + 1]
+    above_p = 1 - np.arange(len(at)) / len(p)
+    above_u = 1 - np.searchsorted(u, at, "left") / len(u)
+    slack = 1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u))
+    best = int(np.argmin((above_u + slack) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.05, 0.95))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_unlabelled: int = 6000, held_out: int = 2) -> Model:
-    """Fit on rows whose fold is not ``held_out``. The prior is the share of label 1 among a bounded sample of
-    labelled rows there; the same rows calibrate the scores."""
+    """Fit on rows whose fold is not ``held_out``: rows labelled 1 there and unlabelled rows there, both samples of bounded
+    size. Other labels aren't read. Half of the positives fit a first model, the others' margins estimate the prior with
+    those of the unlabelled; the second model is fitted with that prior."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").where(fold(F.col("doc_id")) != held_out)
-    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(fold(F.col("doc_id")) != held_out).where("label is not null")
+    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
+    # A document that is labelled both ways is no trusted positive.
+    named = named.where(fold(F.col("doc_id")) != held_out).groupBy("doc_id").agg(F.min("label").alias("label")).where("label = 1")
 
     def sample(rows: DataFrame, label: Column, most: int, seed: str) -> DataFrame:
         return rows.select("doc_id", label.alias("label"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("o")).orderBy("o", "doc_id").limit(most).select("doc_id", "label")
 
-    known, label = matrix(texts, sample(named, F.col("label"), most_positive * 3 // 2, "labelled"))
+    positive, _ = matrix(texts, sample(named, F.col("label"), most_positive, "labelled"))
     free, _ = matrix(texts, sample(texts, F.lit(-1), most_unlabelled, "unlabelled"))
     width = HASHED + DENSE
-    if not len(known) or not (label == 1).any() or not len(free):
-        return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0, 0.0, 0.5)
-    prior = float(np.clip((label == 1).mean(), 0.05, 0.95))
+    if not len(positive) or not len(free):
+        return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.5)
+    return fit(positive, free)
+
+
+def fit(positive: np.ndarray, free: np.ndarray) -> Model:
+    """The model of features of positives and of unlabelled rows."""
     mean, scale = free.mean(0), free.std(0) + 1e-2
-    positive = ((known[label == 1] - mean) / scale)[:most_positive]
-    w, bias, _ = minimise(positive, (free - mean) / scale, prior)
-    slope, shift = calibrate((known - mean) / scale @ w + bias, (label == 1).astype(float))
-    return Model(mean, scale, w, bias, slope, shift, prior)
+    positive, free = (positive - mean) / scale, (free - mean) / scale
+    w, bias, _ = minimise(positive[::2], free, 0.5)
+    prior = estimate_prior(positive[1::2] @ w + bias, free @ w + bias)
+    w, bias, _ = minimise(positive, free, prior)
+    return Model(mean, scale, w, bias, prior)
 
 
 def score(docs: DataFrame, model: Model, name: str = "score", keep: list[str] | None = None) -> DataFrame:
@@ -159,7 +166,7 @@ def score(docs: DataFrame, model: Model, name: str = "score", keep: list[str] |
         for b in common.sliced(batches):
             z = np.array([features(raw) @ weights + base for raw in common.utf8(b, "text")])
             held = [b.column(b.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*held, pa.array(_sigmoid(model.slope * z + model.shift), pa.float64())], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([*held, pa.array(_sigmoid(z), pa.float64())], names=[*keep, name])
 
     return own.mapInArrow(run, own.select(*keep).withColumn(name, F.lit(0.0)).schema)
 
