@@ -76,15 +76,15 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return squeeze.compress(head.encode() + block + EOL + EOL) + squeeze.flush()
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, origin: int | None, revisit: bool, segment_bytes: int) -> Iterator[bytes]:
+def page_records(page_id: int | None, url: str | None, payload: bytes, origin: int | None, origin_url: str | None, revisit: bool, segment_bytes: int) -> Iterator[bytes]:
     """The records of a page, one after another."""
     ident, name = f"<urn:uuid:{uuid.uuid4()}>", digest(payload)
     kind = "revisit" if revisit else "response"
-    target = None if url is None else "".join(c for c in url if c not in "\r\n")
+    target, other = (None if x is None else "".join(c for c in x if c not in "\r\n") for x in (url, origin_url))
     common_fields = [("WARC-Type", kind), ("WARC-Record-ID", ident), ("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{name}"), ("X-Page-ID", page_id), ("X-Payload-Length", len(payload))]
     if revisit:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield record([*common_fields, ("WARC-Profile", profile), ("X-Refers-To-Page", origin)], b"HTTP/1.1 200 OK\r\n\r\n")
+        yield record([*common_fields, ("WARC-Profile", profile), ("WARC-Refers-To-Target-URI", other), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page", origin)], b"HTTP/1.1 200 OK\r\n\r\n")
         return
     block = http_block(payload, len(payload) > segment_bytes)
     if len(block) <= segment_bytes:
@@ -101,9 +101,11 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = 32_768, r
     """Write ``pages(page_id, url, html)``; returns the manifest, a row for each archive that counts."""
     spark = pages.sparkSession
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), common.text_of("html").alias("html"))
-    keyed = own.withColumn("key", F.sha2("html", 256))
-    first = keyed.groupBy("key").agg(F.min("page_id").alias("origin"))
-    roles = keyed.join(first, "key").select("page_id", "url", F.col("html").cast("binary").alias("payload"), "origin")
+    keyed = own.withColumn("key", F.unhex(F.sha2("html", 256)))
+    # The roles are found without the payloads, which then meet them by page and key: a payload of many pages is no hot key.
+    first = keyed.where("page_id is not null").groupBy("key").agg(F.min(F.struct("page_id", "url")).alias("o")).select("key", F.col("o.page_id").alias("origin"), F.col("o.url").alias("origin_url"))
+    roles = keyed.select("page_id", "key").distinct().join(first, "key", "left").withColumnsRenamed({"page_id": "p", "key": "k"})
+    roles = keyed.join(roles, (F.col("key") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("p")), "left").select("page_id", "url", F.col("html").cast("binary").alias("payload"), "origin", "origin_url")
     schema = pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +117,8 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = 32_768, r
             done.append((name, n, size))
 
         for b in common.sliced(batches):
-            for page, url, payload, origin in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "origin")), strict=True):
-                for raw in page_records(page, url, payload, origin, origin is not None and page != origin, segment_bytes):
+            for page, url, payload, origin, other in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "origin", "origin_url")), strict=True):
+                for raw in page_records(page, url, payload, origin, other, origin is not None and page != origin, segment_bytes):
                     if out is not None and size + len(raw) > roll_bytes:
                         shut()
                         out = None
@@ -190,11 +192,13 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     with fs.open_input_file(path) as source:
                         for member in members(source):
                             f, block = parse(member)
+                            if f["warc-type"] not in ("response", "revisit", "continuation"):
+                                continue  # warcinfo, requests and metadata are no pages
                             named = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
                             kind, page = f["warc-type"], _number(f.get("x-page-id"))
                             segment = _number(f.get("warc-segment-number"))
                             if kind == "revisit":
-                                yield None, None, None, page, kind, _number(f.get("x-refers-to-page")), int(f["x-payload-length"]), named, None
+                                yield None, None, None, page, kind, _number(f.get("x-refers-to-page")), _number(f.get("x-payload-length")), named, None
                             elif segment is None:
                                 payload = http_payload(block)
                                 yield None, None, None, page, kind, None, len(payload), _checked(named, payload), None
