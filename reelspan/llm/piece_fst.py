@@ -11,7 +11,8 @@ path. ``decode`` runs the transducer backwards.
 Where no piece holds the mark after another character, paths meet before each run of marks, so the text is cut there
 and each distinct part is composed once.
 
-Nulls: a null text is the empty text: no ids. Rows that share a doc_id each give a row. Other columns are ignored.
+Nulls: a null text is the empty text: no ids. Rows that share a doc_id, or have none, each give a row. An empty table
+gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,8 +89,14 @@ class PieceTransducer:
         if not self.bpe and trainer.get(3, 1) != 1:
             raise ValueError("only unigram and BPE models are compiled")
         self.dummy_prefix, self.squeeze = bool(normal.get(3, 1)), bool(normal.get(4, 1))
-        self.ids = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER, UNUSED)}
+        kinds = (NORMAL, USER, UNUSED) if self.bpe else (NORMAL, USER)  # merging may pass through unused pieces
+        self.ids = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in kinds}
         self.weight = {p: -self.pieces[i][1] for p, i in self.ids.items()}
+        users = sorted((p for p, _, kind in self.pieces if kind == USER), key=lambda p: (-len(p), p))
+        # User-defined pieces are taken before all others: BPE cuts the text at them, a unigram path is paid for them.
+        self.users = re.compile("(" + "|".join(map(re.escape, users)) + ")") if users and self.bpe else None
+        best = max([0.0, *(score for _, score, kind in self.pieces if kind == NORMAL)])
+        self.weight |= {} if self.bpe else {p: 0.1 - len(p.encode()) * best for p in users}
         self.byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.unknown = next(i for i, x in enumerate(self.pieces) if x[2] == UNKNOWN)
         self.longest = max(map(len, self.ids))
@@ -101,10 +108,10 @@ class PieceTransducer:
         self.text_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.pieces]
 
     # Compilation of the BPE arcs, as they are asked for.
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short text by merging the best adjacent pair, leftmost first, until none is a piece."""
+    def merged(self, text: str, most: int = 1) -> list[str]:
+        """The pieces of a short text by merging the best adjacent pair, leftmost first, until none is a piece or ``most`` are left."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > most:
             best, at = math.inf, -1
             for k in range(len(parts) - 1):
                 w = self.weight.get(parts[k] + parts[k + 1], math.inf)
@@ -164,9 +171,18 @@ class PieceTransducer:
             at -= len(back[at])
         return out[::-1]
 
+    def used(self, piece: str) -> list[str]:
+        """The piece, or where it is unused the two that it was merged from, and so on."""
+        at = self.ids.get(piece)
+        if at is None or len(piece) == 1 or self.pieces[at][2] != UNUSED:
+            return [piece]
+        return [x for half in self.merged(piece, 2) for x in self.used(half)]
+
     def _part(self, part: str) -> bytes:
         ids: list[int] = []
-        for piece in self.shortest_path(part):
+        cut = self.users.split(part) if self.users else [part]
+        found = (p for k, x in enumerate(cut) if x for p in ([x] if k % 2 else self.shortest_path(x)))
+        for piece in (x for p in found for x in self.used(p)):
             if piece in self.ids:
                 ids.append(self.ids[piece])
             elif self.byte:

@@ -4,8 +4,8 @@ Words are runs of characters other than U+0020 and U+0009 to U+000D. ``measures`
 its word and line arrays within the row: no explode, no shuffle, no user function. Words in repeated 3-word windows
 are found by sorting (window hash, position) pairs, so a long text costs n log n.
 
-Nulls: a null text has no words and fails the base rule. Rows that share a doc_id give a row each. Other columns are
-ignored.
+Nulls: a null text has no words and fails the base rule. Rows that share a doc_id, or have none, give a row each.
+An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

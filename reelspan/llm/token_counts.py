@@ -8,7 +8,8 @@ begin in the other. Where no token is shared the overlap is doubled, at last to
 Shorter documents: no piece of such a model holds a space mark after another character (checked when it is loaded),
 so the runs of spaces with the word after them are encoded independently, each distinct one once.
 
-Nulls: a null text counts as empty, 0 tokens. Rows that share a doc_id each give a row. Other columns are ignored.
+Nulls: a null text counts as empty, 0 tokens. Rows that share a doc_id, or have none, each give a row. An empty table
+gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ class Counter:
         plain = self.model.encode("a  b ", out_type=str) == [f"{MARK}a", MARK, f"{MARK}b", MARK] or "".join(self.model.encode("a  b ", out_type=str)) == f"{MARK}a{MARK}{MARK}b{MARK}"
         #: Whether texts may be cut before runs of spaces.
         self.by_word = plain and not odd
+        #: Whether spaces are kept, so that offsets of a chunk are those of the text.
+        self.plain = plain
         self.chunk, self.overlap, self.most = chunk, overlap, most
         self.memo: dict[str, int] = {}
 
@@ -81,7 +84,7 @@ class Counter:
     def counts(self, texts: list[str]) -> list[int]:
         out, cut = [], []
         for t in texts:
-            if len(t) > 2 * self.chunk and self.by_word and MARK not in t:
+            if len(t) > 2 * self.chunk and self.plain:
                 out.append(len(self.long_ids(t)))
                 cut.append(None)
             elif not self.by_word or MARK in t:
