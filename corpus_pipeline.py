@@ -15,7 +15,10 @@ from reelspan.llm.queries import vocabulary
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts. The stages send whole texts to Python, so this program lowers the rows
+    of an Arrow batch for its session."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, str(min(1000, int(spark.conf.get(batch)) or 1000)))
     return pu_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
