@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelspan.settings import STAGES, TRANSITIONS
 
+# States that end a job, progress in per cent, labels.
 TERMINAL = ("complete", "failed", "cancelled")
 PROGRESS = {"queued": 5, "downloading": 33, "detecting": 66, "complete": 100}
 LABELS = {"queued": "Queued…", "downloading": "Downloading video…", "detecting": "Detecting clips…", "complete": "Done!", "failed": "Failed.", "cancelled": "Cancelled."}
@@ -25,13 +26,15 @@ def next_job(jobs: DataFrame) -> DataFrame:
     return queued(jobs).orderBy("submitted_at", "id").limit(1)
 
 
-def queue_positions(jobs: DataFrame, buckets: int = 64) -> DataFrame:
-    """Each queued job's place. Days are ranked in parallel and moved by the jobs of the days before."""
+def queue_positions(jobs: DataFrame) -> DataFrame:
+    """Each queued job's place. Days are ranked in parallel and moved by the jobs of the days before; jobs without a time of
+    submission are first, as in ``next_job``."""
     own = queued(jobs).withColumn("day", F.to_date("submitted_at"))
     days = own.groupBy("day").agg(F.count("*").alias("n"))
-    ahead = days.select("day", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    before = Window.orderBy(F.col("day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = days.select(F.col("day").alias("d"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     local = F.row_number().over(Window.partitionBy("day").orderBy("submitted_at", "id"))
-    return own.withColumn("local", local).join(ahead, "day").select("id", "submitted_at", (F.col("local") + F.col("ahead")).alias("position"))
+    return own.withColumn("local", local).join(ahead, F.col("day").eqNullSafe(F.col("d"))).select("id", "submitted_at", (F.col("local") + F.col("ahead")).alias("position"))
 
 
 def resumable(jobs: DataFrame) -> DataFrame:
@@ -63,12 +66,14 @@ def legal(from_state: Column, to_state: Column) -> Column:
     return F.coalesce(F.array_contains(F.try_element_at(table, from_state), to_state), F.lit(False))
 
 
-def updated(rows: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """``rows`` with the non-null columns of ``changes`` by key; other rows as they are."""
+def updated(rows: DataFrame, changes: DataFrame, key: str = "id", clear: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with the columns of ``changes`` by key; other rows as they are. A null leaves a value, but in the columns ``clear``
+    it takes it away. Of several changes of a key the largest by their columns in order counts."""
     names = [c for c in changes.columns if c != key]
-    marked = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in names])
-    joined = rows.join(marked, key, "left")
-    return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in names else F.col(c) for c in rows.columns])
+    one = changes.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*names)).alias("_new"))
+    joined = rows.join(one, rows[key] == F.col("_key"), "left")
+    new = lambda c: F.when(F.col("_key").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) if c in clear else F.coalesce(f"_new.{c}", c)
+    return joined.select(*[new(c).alias(c) if c in names else F.col(c) for c in rows.columns])
 
 
 def enqueued(jobs: DataFrame, new: DataFrame) -> DataFrame:
@@ -83,6 +88,23 @@ def with_clip_defaults(clips: DataFrame, created_at: Column) -> DataFrame:
     return clips.withColumns({"id": F.coalesce("id", key), "status": F.coalesce("status", F.lit("ready")), "created_at": F.coalesce("created_at", created_at)})
 
 
+def created_posts(clips: DataFrame, platforms: tuple[str, ...]) -> DataFrame:
+    """A pending post for each clip and platform; its id is a hash of both, so that making it again is the same post."""
+    rows = clips.select(F.col("id").alias("clip_id"), F.explode(F.array(*[F.lit(p) for p in platforms])).alias("platform"))
+    none = {"posted_at": "timestamp_ntz", "post_url": "string", "error": "string"}
+    return rows.select(F.sha2(F.concat_ws("/", "clip_id", "platform"), 256).alias("id"), "clip_id", "platform", F.lit("pending").alias("status"), *[F.lit(None).cast(k).alias(n) for n, k in none.items()], F.lit(0).alias("retry_count"))
+
+
+def with_job(posts: DataFrame, clips: DataFrame) -> DataFrame:
+    """posts(clip_id, ...) with their clip's job_id; posts without a clip have none."""
+    return posts.join(clips.select(F.col("id").alias("clip_id"), "job_id"), "clip_id", "left")
+
+
+def eligible(clips: DataFrame, downloads: DataFrame) -> DataFrame:
+    """Clips that can be posted: those that have a file, of jobs that aren't only downloads (downloads(job_id))."""
+    return clips.where("file_path IS NOT NULL AND file_path <> ''").join(downloads.select("job_id"), "job_id", "left_anti")
+
+
 def post_outcomes(posts: DataFrame, outcomes: DataFrame) -> DataFrame:
     """posts after outcomes(id, post_url, error, at): success with the URL and time, or failed with the error."""
     changes = outcomes.select("id", F.when(F.col("error").isNull(), "success").otherwise("failed").alias("status"), F.when(F.col("error").isNull(), F.col("at")).alias("posted_at"), "post_url", "error")

@@ -14,6 +14,10 @@ CROP_BIAS = {"left": "0", "center": "(iw-ow)/2", "right": "iw-ow"}
 FACECAM = {"w": 0.25, "h": 0.35, "x": 0.75, "y": 0.65}
 SCALE = "scale=608:1080"
 BACKDROP = "[0:v]scale=608:1080:force_original_aspect_ratio=increase,crop=608:1080,gblur=sigma=20[bg];[0:v]scale=608:-2[fg];[bg][fg]overlay=(W-w)/2:(H-h)/2[base];"
+FACECAM_LAYER = "[0:v]crop=iw*{w}:ih*{h}:iw*{x}:ih*{y},scale=182:-2[cam];[base][cam]overlay=W-w-20:H-h-20[vout]"
+IRL_COLOUR = "eq=contrast=1.05:saturation=1.15"
+ENCODE = "-c:v h264_videotoolbox -b:v 8M"
+MIX = "[m];[0:a][m]amix=inputs=2:duration=first:dropout_transition=0[aout]"
 VOLUMES = {"podcast": 0.12, "irl": 0.15}
 PROFILES = ("podcast", "interview", "gaming", "irl", "default")
 SILENT_CAPTIONS = ("gaming", "irl")
@@ -36,15 +40,18 @@ def filter_args(name: Column, bias: Column) -> Column:
     """The video filter of a clip as one argument text."""
     p, f = profile(name), FACECAM
     x = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in CROP_BIAS.items() for v in kv]), F.coalesce(bias, F.lit("center"))), F.lit(CROP_BIAS["center"]))
-    cam = f"[0:v]crop=iw*{f['w']}:ih*{f['h']}:iw*{f['x']}:ih*{f['y']},scale=182:-2[cam];[base][cam]overlay=W-w-20:H-h-20[vout]"
-    layered = f"-filter_complex {BACKDROP}{cam} -map [vout] -map 0:a?"
+    layered = f"-filter_complex {BACKDROP}{FACECAM_LAYER.format(**f)} -map [vout] -map 0:a?"
     out = F.when(p == "gaming", layered).when(p == "interview", F.concat(F.lit(f"-vf {ZOOM}:"), x, F.lit(f":0,{SCALE}")))
-    return out.when(p == "irl", f"-vf {ZOOM},{SCALE},eq=contrast=1.05:saturation=1.15").otherwise(f"-vf {ZOOM},{SCALE}")
+    return out.when(p == "irl", f"-vf {ZOOM},{SCALE},{IRL_COLOUR}").otherwise(f"-vf {ZOOM},{SCALE}")
 
 
-def trim_command(source: Column, start: Column, end: Column, out: Column) -> Column:
-    """Null where the end is not after the start."""
-    text = F.concat(F.lit("ffmpeg -y -ss "), F.format_string("%.3f", start), F.lit(" -i "), source, F.lit(" -t "), F.format_string("%.3f", end - start), F.lit(" "), out)
+def _command(*parts: Column | str) -> Column:
+    return F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p for p in ("ffmpeg -y", *parts)])
+
+
+def trim_command(source: Column, start: Column, end: Column, out: Column, name: Column, bias: Column) -> Column:
+    """Cut, crop to the profile and encode; null where the end is not after the start."""
+    text = _command("-ss", F.format_string("%.3f", start), "-i", source, "-t", F.format_string("%.3f", end - start), filter_args(name, bias), ENCODE, "-c:a aac", out)
     return F.when(end > start, text)
 
 
@@ -52,17 +59,37 @@ def burn_filter(srt_path: Column, style: Column) -> Column:
     return F.concat(F.lit("subtitles="), escape_filter_path(srt_path), F.lit(":force_style="), F.replace(style, F.lit(","), F.lit("\\,")))
 
 
+def burn_command(source: Column, srt_path: Column, style: Column, out: Column) -> Column:
+    return _command("-i", source, "-vf", burn_filter(srt_path, style), ENCODE, "-c:a copy", out)
+
+
 def music_filter(duration: Column, volume: Column) -> Column:
-    return F.concat(F.lit("[1:a]atrim=end="), F.format_string("%.3f", duration), F.lit(",volume="), volume.cast("string"), F.lit("[m];[0:a][m]amix=inputs=2:duration=first:dropout_transition=0[aout]"))
+    return F.concat(F.lit("[1:a]atrim=end="), F.format_string("%.3f", duration), F.lit(",volume="), volume.cast("string"), F.lit(MIX))
+
+
+def music_command(source: Column, track: Column, duration: Column, volume: Column, out: Column) -> Column:
+    """Loop a track under the clip's sound; null where the profile has no music."""
+    text = _command("-i", source, "-stream_loop -1 -i", track, "-filter_complex", music_filter(duration, volume), "-map 0:v -c:v copy -map [aout] -c:a aac", out)
+    return F.when(volume.isNotNull(), text)
+
+
+def trim_length(duration: Column, most: float = 60.0) -> Column:
+    """The length that is encoded, null for a source without one."""
+    return F.when(duration > 0, F.least(duration, F.lit(most)))
 
 
-def render_plan(clips: DataFrame) -> DataFrame:
-    """clips(job_id, clip_no, start_s, end_s, profile) with the names, steps and commands of each clip."""
-    p = profile(F.col("profile"))
+def render_plan(clips: DataFrame, style: str = "Bold=1,Outline=2") -> DataFrame:
+    """clips(job_id, clip_no, start_s, end_s, profile, and crop_bias if there is one) with the names, steps and commands of each clip."""
+    p, bias = profile(F.col("profile")), F.col("_bias")
     name = lambda kind: F.concat(F.lit("clip_"), F.col("clip_no").cast("string"), F.lit(f"_{kind}.mp4"))
-    rows = clips.select("job_id", "clip_no", p.alias("profile"), name("edited").alias("edited"), name("captioned").alias("captioned"), name("final").alias("final"), "start_s", "end_s")
-    vol = music_volume(F.col("profile"))
-    return rows.select("*", should_caption(F.col("profile")).alias("captions"), vol.isNotNull().alias("music"), trim_command(F.lit("raw.mp4"), F.col("start_s"), F.col("end_s"), F.col("edited")).alias("trim"), F.when(vol.isNotNull(), music_filter(F.col("end_s") - F.col("start_s"), vol)).alias("mix"))
+    rows = clips.select("job_id", "clip_no", p.alias("profile"), name("edited").alias("edited"), name("captioned").alias("captioned"), name("final").alias("final"), "start_s", "end_s", (F.col("crop_bias") if "crop_bias" in clips.columns else F.lit(None).cast("string")).alias("_bias"))
+    vol, length = music_volume(F.col("profile")), F.col("end_s") - F.col("start_s")
+    captions = should_caption(F.col("profile"))
+    shown = F.when(captions, F.col("captioned")).otherwise(F.col("edited"))
+    trim = trim_command(F.lit("raw.mp4"), F.col("start_s"), F.col("end_s"), F.col("edited"), F.col("profile"), bias)
+    burn = F.when(captions, burn_command(F.col("edited"), F.concat(F.lit("clip_"), F.col("clip_no").cast("string"), F.lit(".srt")), F.lit(style), F.col("captioned")))
+    mix = music_command(shown, F.concat(F.col("profile"), F.lit(".mp3")), length, vol, F.col("final"))
+    return rows.select("*", captions.alias("captions"), vol.isNotNull().alias("music"), trim.alias("trim"), burn.alias("burn"), mix.alias("mix"), trim_length(length).alias("length")).drop("_bias")
 
 
 def crop_geometry(sizes: DataFrame) -> DataFrame:

@@ -92,6 +92,7 @@ SEGMENTS = rf"""
 seg0 AS (SELECT doc_id AS video_id, unnest(range(len(p))) AS seg_idx, unnest(p) AS text FROM (SELECT doc_id, {sentences(strip('text'))} AS p FROM documents)),
 seg1 AS (SELECT *, len({tokens('text')}) * 0.5::DOUBLE AS length FROM seg0),
 seg AS (SELECT video_id, seg_idx::INTEGER AS seg_idx, text, sum(length) OVER (PARTITION BY video_id ORDER BY seg_idx) - length AS start, sum(length) OVER (PARTITION BY video_id ORDER BY seg_idx) AS "end" FROM seg1)"""
+TURNS = SEGMENTS[: SEGMENTS.index("seg0 AS")] + "seg0 AS (SELECT conv_id AS video_id, turn AS seg_idx, coalesce(text, '') AS text FROM conversations)," + SEGMENTS[SEGMENTS.index("seg1 AS") - 1 :]
 _ORDERED = """
 sego AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start, seg_idx) - 1 AS anchor, max("end") OVER (PARTITION BY video_id) AS timeline_end FROM seg)"""
 WINDOWS = SEGMENTS + "," + _ORDERED + f""",

@@ -217,12 +217,18 @@ def detect_audio_only(spark, sf_dir):
     return D.detect_audio(X.event_frames(spark, sf_dir), None, replace(CORPUS, min_clip_score=0.2)).withColumn("score", r6("score"))
 
 
-@query()
+@query(O.sql(_FINAL.replace(O.SEGMENTS, O.TURNS).replace("score >= 0.40", "score >= 0.2"), "SELECT f.video_id, row_number() OVER (PARTITION BY f.video_id ORDER BY f.n)::INTEGER AS rank, f.start_s, f.end_s, round(f.score, 6) AS score FROM last_ JOIN fin f USING (video_id, n)", True))
 def detect_conversations(spark, sf_dir):
     return D.detect(X.conversation_segments(spark, sf_dir), settings=replace(CORPUS, min_clip_score=0.2)).withColumn("score", r6("score"))
 
 
-@query()
+_SPANS = O.SEGMENTS + f""",
+sp0 AS (SELECT video_id, min_by(start, {{'s': start, 'i': seg_idx}}) AS start_s, max_by("end", {{'s': start, 'i': seg_idx}}) AS end_s FROM seg GROUP BY video_id),
+sp1 AS (SELECT p.video_id, any_value(start_s) AS start_s, any_value(end_s) AS end_s, coalesce(string_agg(s.text, ' ' ORDER BY s.start, s.seg_idx), '') AS text FROM sp0 p LEFT JOIN seg s ON s.video_id = p.video_id AND s.start < p.end_s AND s."end" > p.start_s GROUP BY p.video_id),
+sp2 AS (SELECT *, {O.first_sentence('text')} AS f FROM sp1), sp3 AS (SELECT *, {O.signal_columns('text', 'f')} FROM sp2)"""
+
+
+@query(O.sql(_SPANS, f"SELECT video_id, start_s, end_s, round(round({O.content()}, 9), 6) AS score FROM sp3"))
 def span_scores(spark, sf_dir):
     return D.score_window(X.document_segments(spark, sf_dir)).withColumn("score", r6("score"))
 
@@ -410,14 +416,30 @@ def preflight_verdict(spark, sf_dir):
 
 # Render plans
 
-_PROFILE = "CASE flag WHEN 'A' THEN 'podcast' WHEN 'N' THEN 'gaming' ELSE 'IRL ' END"
-
-
-@query(O.sql(O.CLIPS, """SELECT job_id, clip_no, CASE flag WHEN 'A' THEN 'podcast' WHEN 'N' THEN 'gaming' ELSE 'irl' END AS profile, 'clip_' || clip_no || '_edited.mp4' AS edited, 'clip_' || clip_no || '_final.mp4' AS final,
-  flag = 'A' AS captions, flag <> 'N' AS music, 'ffmpeg -y -ss ' || printf('%.3f', start_s) || ' -i raw.mp4 -t ' || printf('%.3f', end_s - start_s) || ' clip_' || clip_no || '_edited.mp4' AS trim FROM clip"""))
+_RENDER = r""",
+pl AS (SELECT *, CASE flag WHEN 'A' THEN 'podcast' WHEN 'N' THEN CASE WHEN clip_no % 2 = 0 THEN 'gaming' ELSE 'interview' END ELSE 'irl' END AS profile,
+  CASE clip_no % 4 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'up' END AS bias FROM clip),
+fi AS (SELECT *, 'scale=iw*1.15:ih*1.15,crop=min(iw\,ih*9/16):min(ih\,iw*16/9)' AS zoom FROM pl),
+ar AS (SELECT *, CASE profile
+  WHEN 'gaming' THEN '-filter_complex [0:v]scale=608:1080:force_original_aspect_ratio=increase,crop=608:1080,gblur=sigma=20[bg];[0:v]scale=608:-2[fg];[bg][fg]overlay=(W-w)/2:(H-h)/2[base];'
+    || '[0:v]crop=iw*0.25:ih*0.35:iw*0.75:ih*0.65,scale=182:-2[cam];[base][cam]overlay=W-w-20:H-h-20[vout] -map [vout] -map 0:a?'
+  WHEN 'interview' THEN '-vf ' || zoom || ':' || CASE bias WHEN 'left' THEN '0' WHEN 'right' THEN 'iw-ow' ELSE '(iw-ow)/2' END || ':0,scale=608:1080'
+  WHEN 'irl' THEN '-vf ' || zoom || ',scale=608:1080,eq=contrast=1.05:saturation=1.15' ELSE '-vf ' || zoom || ',scale=608:1080' END AS args,
+  profile NOT IN ('gaming', 'irl') AS captions, CASE profile WHEN 'podcast' THEN '0.12' WHEN 'irl' THEN '0.15' END AS vol, 'clip_' || clip_no AS n FROM fi)"""
+
+
+@query(O.sql(O.CLIPS + _RENDER, r"""SELECT job_id, clip_no, profile, n || '_edited.mp4' AS edited, n || '_captioned.mp4' AS captioned, n || '_final.mp4' AS final, captions, vol IS NOT NULL AS music,
+  CASE WHEN end_s > start_s THEN 'ffmpeg -y -ss ' || printf('%.3f', start_s) || ' -i raw.mp4 -t ' || printf('%.3f', end_s - start_s) || ' ' || args || ' -c:v h264_videotoolbox -b:v 8M -c:a aac ' || n || '_edited.mp4' END AS trim,
+  CASE WHEN captions THEN 'ffmpeg -y -i ' || n || '_edited.mp4 -vf subtitles=' || n || '.srt:force_style=Bold=1\,Outline=2 -c:v h264_videotoolbox -b:v 8M -c:a copy ' || n || '_captioned.mp4' END AS burn,
+  CASE WHEN vol IS NOT NULL THEN 'ffmpeg -y -i ' || n || CASE WHEN captions THEN '_captioned.mp4' ELSE '_edited.mp4' END || ' -stream_loop -1 -i ' || profile || '.mp3 -filter_complex [1:a]atrim=end=' || printf('%.3f', end_s - start_s)
+    || ',volume=' || vol || '[m];[0:a][m]amix=inputs=2:duration=first:dropout_transition=0[aout] -map 0:v -c:v copy -map [aout] -c:a aac ' || n || '_final.mp4' END AS mix,
+  CASE WHEN end_s - start_s > 0 THEN least(end_s - start_s, 60.0::DOUBLE) END AS length FROM ar"""))
 def render_plan(spark, sf_dir):
-    profile = F.when(F.col("flag") == "A", "podcast").when(F.col("flag") == "N", "gaming").otherwise("IRL")
-    return V.render_plan(X.line_clips(spark, sf_dir).withColumn("profile", profile)).select("job_id", "clip_no", "profile", "edited", "final", "captions", "music", "trim")
+    """Every argument of the commands of a clip."""
+    no = F.col("clip_no")
+    profile = F.when(F.col("flag") == "A", "podcast").when((F.col("flag") == "N") & (no % 2 == 0), "gaming").when(F.col("flag") == "N", "interview").otherwise("IRL")
+    bias = F.when(no % 4 == 0, "left").when(no % 4 == 1, "right").when(no % 4 == 2, "up")
+    return V.render_plan(X.line_clips(spark, sf_dir).withColumns({"profile": profile, "crop_bias": bias})).drop("start_s", "end_s")
 
 
 @query("""WITH s AS (SELECT p_partkey, p_size * 40 + 100 AS w, p_partkey % 1900 + 100 AS h FROM part),
@@ -436,12 +458,12 @@ def bitrate_attempts(spark, sf_dir):
 
 @query(O.sql(O.JOBS, "SELECT id, state, submitted_at FROM job WHERE state = 'queued'"))
 def queue_stream_drain(spark, sf_dir):
-    import tempfile
     import uuid
 
+    from reelspan.sources.stores import shared_folder
     from reelspan.streaming.queue import drained
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reelspan-")
+    base = shared_folder(spark)
     return drained(spark, sf_dir, f"{base.rstrip('/')}/queue-{uuid.uuid4().hex}")
 
 

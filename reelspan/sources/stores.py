@@ -16,7 +16,9 @@ def read_jobs(spark: SparkSession, root: str, keep_corrupt: bool = False) -> Dat
 
 def job_by_id(jobs: DataFrame, job_id: str) -> DataFrame:
     """One row; an unknown id is an error when the row is asked for."""
-    return jobs.where(F.col("id") == job_id)
+    found = jobs.where(F.col("id") == job_id).agg(F.first(F.struct(*jobs.columns)).alias("j"))
+    known = F.when(F.col("j").isNull(), F.raise_error(F.lit(f"no job {job_id}"))).otherwise(F.col("j"))
+    return found.select(known.alias("j")).select("j.*")
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -29,18 +31,49 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         raise
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Only a local master, whose tasks share the driver's disk, may do without."""
+    import tempfile
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return base or tempfile.mkdtemp(prefix="reelspan-")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions of a table that are whole: Spark marks them when its last task has committed."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in found)
+
+
 def overwrite(rows: DataFrame, path: str) -> None:
-    """Spark's commit protocol: readers see the old files until the new ones are whole."""
-    rows.write.mode("overwrite").parquet(path)
+    """Write the next version of a table beside the old ones. Readers of ``current`` see the old one until the new one is whole,
+    and ``rows`` may be made from it; of two writers at once the second fails."""
+    rows.write.parquet(f"{path}/version={max(_versions(rows.sparkSession, path), default=0) + 1}")
+
+
+def current(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The last whole version of a table, empty where there is none yet."""
+    found = _versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/version={found[-1]}") if found else spark.createDataFrame([], schema)
 
 
 def comment_pages(spark: SparkSession, path: str, most: int = 500) -> DataFrame:
-    """Comments of saved API pages in their order, at most ``most``; null text is "", null likes 0."""
+    """video_id, rank, text, like_count, timestamps of saved API pages ``<path>/<video_id>/<page>.json``: of each video the
+    first ``most`` in the pages' order (a page's number counts as a number); null text is "", null likes 0."""
+    from pyspark.sql import Window
+
     from reelspan.functions.text import parse_timestamps
 
-    items = spark.read.schema(schemas.COMMENT_PAGE).option("multiLine", True).json(path).select(F.input_file_name().alias("page"), F.posexplode("items").alias("k", "i"))
+    name = F.input_file_name()
+    items = spark.read.schema(schemas.COMMENT_PAGE).option("multiLine", True).json(f"{path}/*/*.json")
+    items = items.select(F.regexp_extract(name, r"([^/]+)/[^/]*$", 1).alias("video_id"), F.regexp_extract(name, r"([^/]*)$", 1).alias("page"), F.posexplode("items").alias("k", "i"))
     s = "i.snippet.topLevelComment.snippet"
-    rows = items.orderBy("page", "k").limit(most).select(F.coalesce(f"{s}.textOriginal", f"{s}.textDisplay", F.lit("")).alias("text"), F.coalesce(f"{s}.likeCount", F.lit(0)).alias("like_count"))
+    order = Window.partitionBy("video_id").orderBy(F.regexp_extract("page", r"(\d+)", 1).try_cast("long").asc_nulls_last(), "page", "k")
+    rows = items.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    rows = rows.select("video_id", "rank", F.coalesce(f"{s}.textOriginal", f"{s}.textDisplay", F.lit("")).alias("text"), F.coalesce(f"{s}.likeCount", F.lit(0)).alias("like_count"))
     return rows.withColumn("timestamps", parse_timestamps(F.col("text")))
 
 
