@@ -96,6 +96,16 @@ def numbered(rows: DataFrame) -> DataFrame:
     return common.staged(dealt.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"), "text"), "simhash-rows")
 
 
+def with_classes(rows: DataFrame, classes: DataFrame, n_rows: int, hot: int = 1000) -> DataFrame:
+    """``rows(fp, ...)`` with class_id and near of ``classes(fp, class_id, near, copies)``. A fingerprint with more than
+    1/``hot`` of all rows would be one task of the join; there are fewer than ``hot`` of them, which are broadcast."""
+    many = F.col("copies") * hot > n_rows
+    top = classes.where(many).select("fp", F.struct("class_id", "near").alias("top"))
+    dealt = rows.join(F.broadcast(top), "fp", "left")
+    rest = dealt.where("top IS NULL").drop("top").join(classes.where(~many).select("fp", "class_id", "near").hint("merge"), "fp")
+    return dealt.where("top IS NOT NULL").select("*", "top.*").drop("top").unionByName(rest)
+
+
 def fingerprint_documents(docs: DataFrame, radius: int = 3, query_step: int = 20) -> DataFrame:
     """Fingerprints of ``docs(doc_id, text)`` and of each text edited with the next document's beginning.
 
@@ -120,11 +130,11 @@ def fingerprint_documents(docs: DataFrame, radius: int = 3, query_step: int = 20
     found = common.staged(found, "simhash-prints")
     follow = ids.select("doc_id", "next_id").join(found.select(F.col("doc_id").alias("next_id"), F.col("fp").alias("next_fp")), "next_id").select("doc_id", "next_fp")
     found = found.join(named, "doc_id") if named else found.withColumn("id", F.col("doc_id"))
-    classes = found.groupBy("fp").agg((F.min_by("id", "doc_id") if named else F.min("doc_id")).alias("class_id"))
+    classes = found.groupBy("fp").agg((F.min_by("id", "doc_id") if named else F.min("doc_id")).alias("class_id"), F.count("*").alias("copies"))
     queries = found.where(F.col("id") % query_step == 0).select("fp").distinct()
     near = within_radius(queries, classes, radius).groupBy(F.col("query_fp").alias("fp")).agg(F.count("*").alias("near"))
-    extra = classes.join(near, "fp", "left")
-    out = found.join(follow, "doc_id").join(extra, "fp")
+    extra = common.staged(classes.join(near, "fp", "left"), "simhash-classes")
+    out = with_classes(found.join(follow, "doc_id"), extra, found.count())
     return out.select(
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.lower(F.lpad(F.hex("edited_fp"), 16, "0")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "class_id",
