@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a weighted transducer over the tropical semiring.
 
-A model compiles to three transducers. The normaliser maps a space to the mark U+2581 and puts one before a text.
-The piece transducer reads a piece's characters and writes its id; for a unigram model the arc weighs minus the
+A model compiles to three transducers. The normaliser (``normaliser.py``) applies the model's rule table, maps a space to the
+mark U+2581 and puts one before a text. The piece transducer reads a piece's characters and writes its id; for a unigram model the arc weighs minus the
 piece's score, for a BPE model its state is the piece just written and an arc exists (weight 0, else infinity) only
 if the two adjacent pieces are the BPE encoding of their own text. A sequence of pieces is a text's BPE encoding if and only
 if all its adjacent pairs are, so exactly one path has a finite weight. A character that is in no piece takes the
@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspan.llm import common
+from reelspan.llm.normaliser import MARK, Normaliser, rules
 
-MARK = "▁"
 #: The piece types of the model file that can be written by the piece transducer (normal, user-defined, unused).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _PART = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -83,18 +83,19 @@ class PieceTransducer:
                 trainer = dict(_fields(value))
             elif number == 3:
                 normal = dict(_fields(value))
-        if normal.get(2):
-            raise ValueError("only models whose normaliser is the identity are compiled")
+        if not normal.get(5, 1) or trainer.get(24, 0):
+            raise ValueError("only models that write a space as a mark, and before a word, are compiled")
         self.bpe = trainer.get(3, 1) == 2
         if not self.bpe and trainer.get(3, 1) != 1:
             raise ValueError("only unigram and BPE models are compiled")
-        self.dummy_prefix, self.squeeze = bool(normal.get(3, 1)), bool(normal.get(4, 1))
+        self.dummy_prefix = bool(normal.get(3, 1))
         kinds = (NORMAL, USER, UNUSED) if self.bpe else (NORMAL, USER)  # merging may pass through unused pieces
         self.ids = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in kinds}
         self.weight = {p: -self.pieces[i][1] for p, i in self.ids.items()}
         users = sorted((p for p, _, kind in self.pieces if kind == USER), key=lambda p: (-len(p), p))
         # User-defined pieces are taken before all others: BPE cuts the text at them, a unigram path is paid for them.
         self.users = re.compile("(" + "|".join(map(re.escape, users)) + ")") if users and self.bpe else None
+        self.normaliser = Normaliser(rules(normal.get(2, b"")), users, bool(normal.get(4, 1)), self.dummy_prefix)
         best = max([0.0, *(score for _, score, kind in self.pieces if kind == NORMAL)])
         self.weight |= {} if self.bpe else {p: 0.1 - len(p.encode()) * best for p in users}
         self.byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
@@ -138,12 +139,6 @@ class PieceTransducer:
             known = self.whole[piece] = len(piece) == 1 or self.merged(piece) == [piece]
         return known
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        text = text.replace(" ", MARK)
-        return MARK + text if self.dummy_prefix and text else text
-
     def shortest_path(self, s: str) -> list[str]:
         """The pieces on the path of least weight through input ∘ pieces; characters in no piece stand alone."""
         n = len(s)
@@ -193,7 +188,7 @@ class PieceTransducer:
 
     def encode_raw(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
-        s = self.normalise(text)
+        s = self.normaliser.apply(text)
         parts = _PART.findall(s) if self.by_part else [s] * bool(s)
         memo = self.memo
         for p in set(parts).difference(memo):
