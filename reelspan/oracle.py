@@ -144,7 +144,7 @@ sil AS (SELECT f.*, f.rms <= floor AS silent, coalesce(lead(t) OVER (PARTITION B
 run AS (SELECT *, sum(CASE WHEN silent THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY t) AS g FROM sil),
 gap AS (SELECT video_id, min(t) AS gap_start, max(next_t) AS gap_end, (min(t) + max(next_t)) / 2 AS mid FROM run WHERE silent GROUP BY video_id, g HAVING max(next_t) - min(t) >= 0.6)"""
 AUDIO_GRID = GAPS + """,
-agrid AS (SELECT video_id, (k * 40)::DOUBLE AS start_s, (k * 40 + 40)::DOUBLE AS end_s FROM (SELECT video_id, max(t) AS last_t FROM fr GROUP BY video_id), (SELECT unnest(range(10)) AS k) WHERE k * 40 < last_t)"""
+agrid AS (SELECT video_id, (k * 40)::DOUBLE AS start_s, (k * 40 + 40)::DOUBLE AS end_s FROM (SELECT video_id, last_t, unnest(range(floor(last_t / 40)::BIGINT + 1)) AS k FROM (SELECT video_id, max(t) AS last_t FROM fr GROUP BY video_id)) WHERE k * 40 < last_t)"""
 WORDS = f"""
 wrd AS (SELECT doc_id AS video_id, unnest(range(len(w))) AS word_idx, unnest(w) AS word FROM (SELECT doc_id, {tokens('text')} AS w FROM documents)),
 lin AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY word_idx // 6)::INTEGER AS line_no, min(word_idx) * 0.5::DOUBLE AS start_s, (max(word_idx) + 1) * 0.5::DOUBLE AS end_s, string_agg(word, ' ' ORDER BY word_idx) AS text FROM wrd GROUP BY video_id, word_idx // 6)"""

@@ -16,6 +16,7 @@ from reelspan.operators import jobs as J
 from reelspan.operators import quality as Q
 from reelspan.operators import refine as R
 from reelspan.operators import render as V
+from reelspan.operators import report as P
 from reelspan.operators import social as C
 from reelspan.operators import windows as W
 from reelspan.operators.select import select_moments
@@ -414,6 +415,47 @@ def preflight_verdict(spark, sf_dir):
     return J.preflight(rows).select("id", "verdict")
 
 
+# Detection report
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_totalprice > 7200 THEN 'FAIL' WHEN o_totalprice > 3600 THEN 'WARN' ELSE 'PASS' END AS verdict FROM orders")
+def length_guard(spark, sf_dir):
+    return X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), P.length_guard(F.col("o_totalprice")).alias("verdict"))
+
+
+@query(O.sql(O.CLUSTERS + """,
+top AS (SELECT video_id, center_s FROM clu QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY count DESC, start_s) = 1),
+tst AS (SELECT d.doc_id AS video_id, CASE WHEN t.video_id IS NULL THEN d.n_chars / 12.0::DOUBLE * 0.4::DOUBLE ELSE greatest(0, t.center_s - 20) END AS start_s, d.n_chars / 12.0::DOUBLE AS last_s FROM documents d LEFT JOIN top t ON t.video_id = d.doc_id)""", "SELECT video_id, round(start_s, 6) AS start_s, round(least(start_s + 60, last_s), 6) AS end_s FROM tst", True))
+def report_window(spark, sf_dir):
+    length = F.col("n_chars") / 12.0
+    videos = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), length.alias("duration"), length.alias("audio_duration"))
+    rows = P.dry_run_window(videos, C.clusters(X.event_comments(spark, sf_dir)))
+    return rows.select("video_id", r6("start_s").alias("start_s"), r6("end_s").alias("end_s"))
+
+
+@query(O.sql(O.CLUSTERS + "," + O.GRID, "SELECT g.video_id, g.start_s, EXISTS (SELECT 1 FROM clu c WHERE c.video_id = g.video_id AND c.center_s BETWEEN g.start_s AND g.end_s) AS social FROM grid g", True))
+def cluster_in_window(spark, sf_dir):
+    comments = X.event_comments(spark, sf_dir)
+    rows = _grid(comments).join(C.social_rows(comments), "video_id", "left")
+    return rows.select("video_id", "start_s", P.has_cluster(F.col("clusters"), F.col("start_s"), F.col("end_s")).alias("social"))
+
+
+@query(O.sql(O.SEGMENTS, f"""SELECT video_id, 'first' AS edge, seg_idx, start, substr({O.strip('text')}, 1, 60) AS text FROM seg QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY start, seg_idx) <= 5
+  UNION ALL SELECT video_id, 'last', seg_idx, start, substr({O.strip('text')}, 1, 60) FROM seg QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY start DESC, seg_idx DESC) <= 3"""))
+def segment_edges(spark, sf_dir):
+    return P.segment_edges(X.document_segments(spark, sf_dir))
+
+
+@query(O.sql(O.GAPS, "SELECT video_id, gap_start, gap_end, mid, row_number() OVER (PARTITION BY video_id ORDER BY gap_start)::INTEGER AS rank FROM gap QUALIFY rank <= 5"))
+def first_pauses(spark, sf_dir):
+    return P.first_pauses(A.silence_gaps(X.event_frames(spark, sf_dir))).select("video_id", "gap_start", "gap_end", "mid", "rank")
+
+
+@query(f"SELECT doc_id, CASE WHEN length(x) > 52 THEN substr(x, 1, 49) || '...' ELSE x END AS snippet FROM (SELECT doc_id, replace({O.strip('coalesce(nullif(f, $$$$), text)')}, chr(10), ' ') AS x FROM (SELECT doc_id, text, {O.first_sentence('text')} AS f FROM documents))")
+def short_snippets(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", P.short_snippet(F.col("text")).alias("snippet"))
+
+
 # Render plans
 
 _RENDER = r""",

@@ -14,7 +14,7 @@ def test_contract():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", ["timestamp_clusters", "silence_gaps", "caption_lines", "job_status", "clip_iou", "transcript_coverage", "crop_geometry"])
+@pytest.mark.parametrize("name", ["timestamp_clusters", "silence_gaps", "caption_lines", "job_status", "clip_iou", "transcript_coverage", "crop_geometry", "length_guard", "report_window", "cluster_in_window", "segment_edges", "first_pauses", "short_snippets", "audio_by_window", "nearest_silence"])
 def test_against_sql(spark, name):
     import glob
 

@@ -120,3 +120,19 @@ def test_render(spark):
     assert render.bitrate_ladder() == [4000, 2000, 1000]
     rows = spark.createDataFrame([("gaming",), (None,), (" Interview ",)], "p string").select(render.profile(F.col("p")).alias("p"), render.filter_args(F.col("p"), F.lit("left")).alias("f")).collect()
     assert [r.p for r in rows] == ["gaming", "default", "interview"] and ":0:0,scale" in rows[2].f
+
+
+def test_report_rows(spark):
+    """Null and boundary rows of the report."""
+    from pyspark.sql import functions as F
+
+    from reelspan.operators import report as P
+
+    rows = spark.createDataFrame([(3600.0, 0.5, None), (3600.5, 1.5, 0.2), (7200.5, None, None), (None, 0.0, -0.1)], "d double, a double, b double")
+    got = [tuple(r) for r in rows.select(P.length_guard(F.col("d")), P.signals_in_range(["a", "b"])).collect()]
+    assert got == [("PASS", "PASS"), ("WARN", "FAIL"), ("FAIL", "PASS"), ("PASS", "FAIL")]
+    videos = spark.createDataFrame([(1, 100.0, None), (2, 100.0, 70.0), (3, 100.0, 90.0)], "video_id long, duration double, audio_duration double")
+    found = spark.createDataFrame([(1, 10.0, 5.0, 2), (3, 50.0, 45.0, 2), (3, 80.0, 75.0, 2)], "video_id long, center_s double, start_s double, count long")
+    assert sorted(map(tuple, P.dry_run_window(videos, found).collect())) == [(1, 0.0, 60.0), (2, 40.0, 70.0), (3, 30.0, 90.0)]
+    said = spark.createDataFrame([("a" * 52,), ("a" * 53,), ("Hi\nyou. Then",), (None,), ("",)], "t string")
+    assert [r[0] for r in said.select(P.short_snippet(F.col("t"))).collect()] == ["a" * 52, "a" * 49 + "...", "Hi you", "", ""]
