@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.llm import ngram_join, packing, piece_fst, pu_quality, quality_rules, simhash, substring_dedup, token_counts, token_files, warc
+from reelspan.llm import filter_audit, lexical_search, ngram_join, packing, piece_fst, pu_quality, quality_rules, rank_bpe, simhash, substring_dedup, token_counts, token_files, warc
 
 
 def vocabulary(name: str) -> str:
@@ -62,9 +62,27 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), 4, "0.85")
 
 
+def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return rank_bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_token_files, op3_fingerprints, op4_suffix_dedup, op5_quality_rules, op6_token_counts, op7_quality_classifier, op8_warc, op9_packing, op10_jaccard_join)
-}
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_token_files, op3_fingerprints, op4_suffix_dedup, op5_quality_rules, op6_token_counts, op7_quality_classifier,
+        op8_warc, op9_packing, op10_jaccard_join, op11_rank_bpe, op12_filter_audit, op13_lexical_search,
+    )
+}
 
 _OP4 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -106,4 +124,4 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op4_suffix_dedup": _OP4, "op5_quality_rules": quality_rules.oracle_sql(), "op8_warc": _OP8, "op10_jaccard_join": _OP10}
+ORACLE_SQL: dict[str, str] = {"op4_suffix_dedup": _OP4, "op5_quality_rules": quality_rules.oracle_sql(), "op8_warc": _OP8, "op10_jaccard_join": _OP10, "op12_filter_audit": filter_audit.ORACLE, "op13_lexical_search": lexical_search.ORACLE}
