@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelspan import settings as S
 
-SENTENCE_END = r"(?<=[.?!])\s+"
+SENTENCE_END = S.SENTENCE_END_PATTERN
 
 
 def clamp(x: Column) -> Column:
@@ -32,18 +32,18 @@ def tokens(text: Column) -> Column:
 
 def first_sentence(text: Column) -> Column:
     """Up to the first white space after a sentence's end; reads no further."""
-    stop = F.regexp_instr(text, F.lit(r"[.?!]\s"))
+    stop = F.regexp_instr(text, F.lit(S.STOP_PATTERN))
     head = strip(F.when(stop > 0, F.substring(text, F.lit(1), stop)).otherwise(text))
     return F.rtrim(head, F.lit(".?!"))
 
 
 def first_word(sentence: Column) -> Column:
-    return F.regexp_replace(F.lower(F.get(tokens(sentence), F.lit(0))), r"[.,!?;:]+$", "")
+    return F.regexp_replace(F.lower(F.get(tokens(sentence), F.lit(0))), S.TAIL_PATTERN, "")
 
 
 def hook_quality(sentence: Column) -> Column:
     def score(words: Column) -> Column:
-        word = F.regexp_replace(F.lower(F.get(words, F.lit(0))), r"[.,!?;:]+$", "")
+        word = F.regexp_replace(F.lower(F.get(words, F.lit(0))), S.TAIL_PATTERN, "")
         base = F.lit(1.0) - F.when(word.isin(*S.BAD_STARTERS), 0.5).otherwise(0.0) - F.when(F.size(words) > 20, 0.2).otherwise(0.0)
         bonus = F.least(F.regexp_count(sentence, F.lit(S.HOOK_PATTERN)) * 0.2, F.lit(0.4))
         return F.when(F.size(words) == 0, 0.0).otherwise(clamp(base + bonus))
@@ -53,7 +53,7 @@ def hook_quality(sentence: Column) -> Column:
 
 def coherence(sentence: Column) -> Column:
     def score(low: Column) -> Column:
-        word = F.regexp_replace(F.regexp_extract(low, r"^\S*", 0), r"[.,!?;:]+$", "")
+        word = F.regexp_replace(F.regexp_extract(low, r"^\S*", 0), S.TAIL_PATTERN, "")
         context = F.lit(False)
         for phrase in S.CONTEXT_PHRASES:
             context = context | low.startswith(phrase)
@@ -62,26 +62,25 @@ def coherence(sentence: Column) -> Column:
     return let(F.lower(strip(sentence)), score)
 
 
-#: What a text adds to signals by counts; those of texts joined by a blank add up.
-COUNTS = ("words", "hits", "figures", "marks", "reactions")
+def word_counts(text: Column, lexicon: Iterable[str] = S.EMOTION_WORDS) -> Column:
+    """Words, and words of the lexicon."""
+    words = list(lexicon)
+    return let(F.regexp_extract_all(F.lower(text), F.lit(S.WORD_PATTERN), 0), lambda found: F.struct(F.size(found).alias("words"), F.size(F.filter(found, lambda w: w.isin(words))).alias("hits")))
 
 
-def text_counts(text: Column, lexicon: Iterable[str] = S.EMOTION_WORDS) -> Column:
-    """Words, words of the lexicon, figures (amounts, percentages, integers), question marks and reaction tags."""
-    words = list(lexicon)
-    figures = F.regexp_count(text, F.lit(S.AMOUNT_PATTERN)) + F.regexp_count(text, F.lit(S.PERCENT_PATTERN)) + F.regexp_count(text, F.lit(S.INTEGER_PATTERN))
-    marks = F.char_length(text) - F.char_length(F.replace(text, F.lit("?"), F.lit("")))
-    hits = lambda found: F.size(F.filter(found, lambda w: w.isin(words)))
-    return let(
-        F.regexp_extract_all(F.lower(text), F.lit(S.WORD_PATTERN), 0),
-        lambda found: F.struct(F.size(found).alias("words"), hits(found).alias("hits"), figures.alias("figures"), marks.alias("marks"), reaction_count(text).alias("reactions")),
-    )
+def figure_count(text: Column) -> Column:
+    """Amounts, percentages and integers."""
+    return F.regexp_count(text, F.lit(S.AMOUNT_PATTERN)) + F.regexp_count(text, F.lit(S.PERCENT_PATTERN)) + F.regexp_count(text, F.lit(S.INTEGER_PATTERN))
 
 
-def summed_counts(counts: Column) -> Column:
-    """The sum of an array of ``text_counts``."""
-    none = F.struct(*[F.lit(0).alias(n) for n in COUNTS])
-    return F.aggregate(counts, none, lambda acc, c: F.struct(*[(acc[n] + c[n]).alias(n) for n in COUNTS]))
+def mark_count(text: Column) -> Column:
+    return F.char_length(text) - F.char_length(F.replace(text, F.lit("?"), F.lit("")))
+
+
+def text_counts(text: Column, lexicon: Iterable[str] = S.EMOTION_WORDS) -> Column:
+    """Words, words of the lexicon, figures, question marks and reaction tags."""
+    both = word_counts(text, lexicon)
+    return let(both, lambda w: F.struct(w["words"].alias("words"), w["hits"].alias("hits"), figure_count(text).alias("figures"), mark_count(text).alias("marks"), reaction_count(text).alias("reactions")))
 
 
 def sentiment_of(c: Column) -> Column:
@@ -89,49 +88,61 @@ def sentiment_of(c: Column) -> Column:
 
 
 def sentiment(text: Column, lexicon: Iterable[str] = S.EMOTION_WORDS) -> Column:
-    return let(text_counts(text, lexicon), sentiment_of)
+    return let(word_counts(text, lexicon), sentiment_of)
+
+
+def capitals(text: Column) -> Column:
+    """Capitalised words, in order."""
+    return F.regexp_extract_all(text, F.lit(S.CAPITAL_PATTERN), 0)
+
+
+def unstarted(found: Column, starters: Column) -> Column:
+    """The words of ``found`` that aren't among ``starters``."""
+    return let(starters, lambda s: F.filter(found, lambda x: ~F.array_contains(s, x)))
 
 
 def capitalised_terms(text: Column) -> Column:
     """Capitalised tokens that begin no sentence of the text."""
-    starters = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^\s*|[.?!]\s+)([A-Z][a-z]+)(?!\S)"), 1))
-    found = F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]+\b"), 0)
-    return let(starters, lambda s: F.filter(found, lambda x: ~F.array_contains(s, x)))
+    return unstarted(capitals(text), F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?:{S.HEAD_PATTERN}|{S.AFTER_END_PATTERN}){S.STARTER_PATTERN}"), 1)))
 
 
-def specificity_of(c: Column, text: Column) -> Column:
-    return F.least(F.lit(1.0), (c["figures"] + F.size(capitalised_terms(text))) / F.lit(3.0))
+def specificity_of(figures: Column, terms: Column) -> Column:
+    return F.least(F.lit(1.0), (figures + terms) / F.lit(3.0))
 
 
 def specificity(text: Column) -> Column:
-    return let(text_counts(text), lambda c: specificity_of(c, text))
+    return specificity_of(figure_count(text), F.size(capitalised_terms(text)))
+
+
+def opener_pattern(openers: Iterable[str] = S.QUESTION_OPENERS, begin: bool = True) -> str:
+    """A question's first words after a sentence or a new line, and at the text's begin."""
+    return rf"(?:{'^|' if begin else ''}{S.AFTER_END_PATTERN}|\n)\s*(?:{'|'.join(openers)})"
 
 
-def curiosity_of(c: Column, text: Column, phrases: Iterable[str] = S.HOOK_PHRASES, openers: Iterable[str] = S.QUESTION_OPENERS) -> Column:
-    low = F.lower(text)
-    opened = F.regexp_count(low, F.lit(rf"(?:^|[.?!]\s+|\n)\s*(?:{'|'.join(openers)})"))
-    hits = let(low, lambda x: sum((F.when(x.contains(p), 1).otherwise(0) for p in phrases), F.lit(0)))
-    return clamp((F.least(F.lit(1.0), (c["marks"] + opened) / F.lit(3.0)) + F.least(F.lit(1.0), hits / F.lit(2.0))) / 2)
+def curiosity_of(questions: Column, hits: Column) -> Column:
+    return clamp((F.least(F.lit(1.0), questions / F.lit(3.0)) + F.least(F.lit(1.0), hits / F.lit(2.0))) / 2)
 
 
 def curiosity(text: Column, phrases: Iterable[str] = S.HOOK_PHRASES, openers: Iterable[str] = S.QUESTION_OPENERS) -> Column:
-    return let(text_counts(text), lambda c: curiosity_of(c, text, phrases, openers))
+    opened = F.regexp_count(F.lower(text), F.lit(opener_pattern(openers)))
+    hits = let(F.lower(text), lambda x: sum((F.when(x.contains(p), 1).otherwise(0) for p in phrases), F.lit(0)))
+    return curiosity_of(mark_count(text) + opened, hits)
 
 
 def reaction_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(S.REACTION_PATTERN))
 
 
-def laughter_of(c: Column) -> Column:
-    return F.least(F.lit(1.0), c["reactions"] / F.lit(2.0))
+def laughter_of(reactions: Column) -> Column:
+    return F.least(F.lit(1.0), reactions / F.lit(2.0))
 
 
 def text_laughter(text: Column) -> Column:
-    return let(text_counts(text), laughter_of)
+    return laughter_of(reaction_count(text))
 
 
 def ends_sentence(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(r"[.?!]\s*$")
+    return F.coalesce(text, F.lit("")).rlike(S.ENDED_PATTERN)
 
 
 def parse_timestamps(text: Column) -> Column:

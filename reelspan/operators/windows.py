@@ -1,8 +1,12 @@
-"""Candidate windows, their text and content scores, from one row per video.
+"""Candidate windows, their text and content scores, in chunks of a video's time.
 
-A video's segments are one array (``timeline``), gathered by one exchange on video_id. Each segment knows by position
-where the segments of the windows that begin at it lie, and counts of what its own text adds to a signal, so a window takes a slice
-of the array and sums; nothing in it grows with the number of segments of the video.
+Windows begin at segments and are bounded in length, so a video is cut into chunks of ``CHUNK_S`` seconds; each chunk gets copies
+of the few segments beside it that its windows reach, and is scored by itself. A long video thus spreads over as many tasks as it
+has chunks. What a chunk has to know of its video, the segments before it and the end of the timeline, comes from one small row
+for each chunk.
+
+The windows of one anchor are prefixes of one list of segments, in order of their starts. What needs the text is computed once for
+the longest and read off at each prefix; counts are differences of running sums.
 """
 
 from __future__ import annotations
@@ -11,33 +15,147 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.functions import text as T
-from reelspan.settings import DEFAULTS, EMOTION_WORDS, Settings
+from reelspan.operators.select import select_moments
+from reelspan.settings import AFTER_END_PATTERN, DEFAULTS, EMOTION_WORDS, ENDED_PATTERN, HEAD_PATTERN, HOOK_PHRASES, QUESTION_OPENERS, STARTER_PATTERN, STOP_PATTERN, Settings
 
+CHUNK_S = 600.0
+#: A segment is copied to at most so many chunks: to those of the next 60 million seconds.
+MOST_CHUNKS = 100_000
 #: How far back the segments are looked for that still run when another begins: the first step where none does.
 LOOKBACK = (1, 4, 16, 64, 256, 1024)
+#: Counts of a text that add up when texts are joined by a blank.
+SUMS = ("words", "hits", "figures", "marks", "reactions", "chars", "lows")
 
 
-def timeline(segments: DataFrame) -> DataFrame:
-    """video_id, segs (ordered by start, then seg_idx), timeline_end; null times count as 0."""
+def timed(segments: DataFrame) -> DataFrame:
+    """segments whose times and texts aren't null; null times count as 0."""
     zero = F.lit(0.0)
-    item = F.struct(F.coalesce("start", zero).alias("start"), F.col("seg_idx"), F.coalesce("end", zero).alias("end"), F.coalesce("text", F.lit("")).alias("text"))
-    return segments.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("segs"), F.coalesce(F.max(F.coalesce("end", zero)), zero).alias("timeline_end"))
+    return segments.select("video_id", "seg_idx", F.coalesce("start", zero).alias("start"), F.coalesce("end", zero).alias("end"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def positions(segments: DataFrame, settings: Settings = DEFAULTS, lexicon: tuple[str, ...] = EMOTION_WORDS) -> DataFrame:
-    """segments with times that aren't null, pos (in the order of start, seg_idx, from 0), lo (all earlier segments have ended
-    when this one begins), his (for each length how many segments begin up to its end) and the text's counts."""
-    zero = F.lit(0.0)
-    rows = segments.select("video_id", "seg_idx", F.coalesce("start", zero).alias("start"), F.coalesce("end", zero).alias("end"), F.coalesce("text", F.lit("")).alias("text"))
-    # Windows multiply a video's text about forty times, so partitions aren't merged by the bytes of the segments alone.
-    rows = rows.repartition(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id")
-    order = Window.partitionBy("video_id").orderBy("start", "seg_idx")
-    rows = rows.withColumn("pos", F.row_number().over(order) - 1).withColumn("ended", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+def timeline(segments: DataFrame) -> DataFrame:
+    """video_id, segs (ordered by start, then seg_idx), timeline_end."""
+    item = F.struct("start", "seg_idx", "end", "text")
+    return timed(segments).groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("segs"), F.max("end").alias("timeline_end"))
+
+
+def chunk_of(t: Column) -> Column:
+    return F.floor(t / CHUNK_S)
+
+
+def chunks(rows: DataFrame) -> DataFrame:
+    """A row for each chunk of a video in which a segment begins: video_id, chunk, before (segments of earlier chunks), timeline_end."""
+    own = rows.groupBy("video_id", chunk_of(F.col("start")).alias("chunk")).agg(F.count("*").alias("n"), F.max("end").alias("last"))
+    line = Window.partitionBy("video_id")
+    before = F.coalesce(F.sum("n").over(line.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.select("video_id", "chunk", before.alias("before"), F.max("last").over(line).alias("timeline_end"))
+
+
+def _dealt(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """rows (with chunk) and the chunks' own rows together, dealt by video and chunk into as many partitions as the session says:
+    windows multiply a chunk's text, so these aren't merged by the bytes of the segments alone."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.unionByName(keyed, allowMissingColumns=True).repartition(n, "video_id", "chunk")
+
+
+def candidate_windows(segments: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Every segment start with every length, if it fits the timeline: video_id, timeline_end, anchor (the segment's place in the
+    order of start, seg_idx), start_s, len_idx, length, end_s."""
+    rows = timed(segments).select("video_id", "seg_idx", "start", "end")
+    both = _dealt(rows.select("video_id", chunk_of(F.col("start")).alias("chunk"), "start", "seg_idx"), chunks(rows))
+    own = Window.partitionBy("video_id", "chunk")
+    # The chunk's own row has no start and so comes first.
+    placed = both.select("video_id", "start", (F.max("before").over(own) + F.row_number().over(own.orderBy("start", "seg_idx")) - 2).cast("int").alias("anchor"), F.max("timeline_end").over(own).alias("timeline_end"))
+    spans = F.array(*[F.struct(F.lit(k).alias("len_idx"), F.lit(x).alias("length")) for k, x in enumerate(settings.lengths())])
+    found = placed.where(F.col("start").isNotNull()).select("video_id", "timeline_end", "anchor", F.col("start").alias("start_s"), F.explode(spans).alias("x")).select("*", "x.*").drop("x")
+    return found.withColumn("end_s", F.col("start_s") + F.col("length")).where(F.col("end_s") <= F.col("timeline_end") + 1e-9)
+
+
+def _once(rows: DataFrame, *made: Column) -> DataFrame:
+    """rows with columns that are computed once, however often later expressions name them: a generator of one element lies between."""
+    return rows.select("*", F.explode(F.array(F.struct(*made))).alias("_made")).select("*", "_made.*").drop("_made")
+
+
+def _features(rows: DataFrame, lexicon: tuple[str, ...]) -> DataFrame:
+    """What a segment's text adds to the signals of the windows that overlap it."""
+    text = F.col("text")
+    found = rows.withColumn("_c", T.text_counts(text, lexicon)).withColumns({"chars": F.char_length(text), "lows": F.char_length(F.lower(text))})
+    low = F.lower(text)
+    own = F.struct(
+        T.capitals(text).alias("caps"),
+        F.regexp_extract_all(text, F.lit(AFTER_END_PATTERN + STARTER_PATTERN), 1).alias("starters"),
+        F.regexp_extract(text, HEAD_PATTERN + STARTER_PATTERN, 1).alias("lead"),
+        text.rlike(ENDED_PATTERN.replace("$", r"\z")).alias("ended"),
+        text.rlike(r"\S").alias("said"),
+        # Questions: those that begin after an end or a new line, one that begins with the text, and whether what follows begins one.
+        F.regexp_count(low, F.lit(T.opener_pattern(begin=False))).alias("asked"),
+        low.rlike(rf"^[^\S\n]*(?:{'|'.join(QUESTION_OPENERS)})").alias("asks"),
+        low.rlike(r"(?:[.?!]|\n)\s*\z").alias("opens"),
+        # Openers of several words may lie across two segments, and blank segments may hold a new line: such are searched as one text.
+        low.rlike(rf"(?:{'|'.join(sorted({' '.join(o.split(' ')[:k]) for o in QUESTION_OPENERS for k in range(1, o.count(' ') + 1)}))})\z|^\s*\n\s*\z").alias("odd"),
+    )
+    return found.select(*rows.columns, F.struct(*[F.col(f"_c.{n}").cast("long").alias(n) for n in SUMS[:5]], *[F.col(n).cast("long").alias(n) for n in SUMS[5:]]).alias("sums"), own.alias("own"))
+
+
+def anchored(segments: DataFrame, settings: Settings = DEFAULTS, lexicon: tuple[str, ...] | None = None) -> DataFrame:
+    """A row for each segment at which a window begins: video_id, chunk (the rows stay dealt by these two), timeline_end, anchor, start_s, inside (start and text of the
+    segments that its longest window overlaps, in order). With a lexicon inside has what the texts add to the signals (own), and there
+    are near (start and running sums of these segments and such between them as have ended before), over (the latter) and base (the sums before near)."""
+    rows, longest = timed(segments), max(settings.lengths())
+    own = chunk_of(F.col("start"))
+    reached = F.sequence(F.least(own, chunk_of(F.col("start") - longest)), F.least(own + MOST_CHUNKS, F.greatest(own, chunk_of(F.col("end")))))
+    copies = rows.select("*", own.alias("home"), F.explode(reached).alias("chunk"))
+    both = _dealt(copies, chunks(rows))
+    here = Window.partitionBy("video_id", "chunk").orderBy("start", "seg_idx")
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    is_seg = F.col("start").isNotNull()
+    placed = both.withColumns({"pos": F.sum(is_seg.cast("int")).over(upto) - 1, "turn": F.sum((is_seg & (F.col("home") == F.col("chunk"))).cast("int")).over(upto) - 1, "passed": F.max("end").over(upto)})
     lo = F.lit(0)
     for k in reversed(LOOKBACK):
-        lo = F.when(F.coalesce(F.lag("ended", k).over(order) <= F.col("start"), F.lit(True)), F.col("pos") - (k - 1)).otherwise(lo)
-    his = F.array(*[F.expr(f"count(*) OVER (PARTITION BY video_id ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND {x!r}D FOLLOWING)") for x in settings.lengths()])
-    return rows.select("video_id", "seg_idx", "start", "end", "text", "pos", F.greatest(lo, F.lit(0)).alias("lo"), his.cast("array<int>").alias("his"), T.text_counts(F.col("text"), lexicon).alias("counts"))
+        lo = F.when(F.coalesce(F.lag("passed", k).over(here) <= F.col("start"), F.lit(True)), F.col("pos") - (k - 1)).otherwise(lo)
+    hi = F.expr(f"count(start) OVER (PARTITION BY video_id, chunk ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND {longest!r}D FOLLOWING)").cast("int")
+    placed = placed.withColumns({"lo": F.greatest(lo, F.lit(0)).cast("int"), "hi": hi})
+    names = ["start", "seg_idx", "end", "text", "home", "turn", "lo", "hi"]
+    if lexicon is not None:
+        placed = _features(placed, lexicon)
+        placed = placed.withColumn("run", F.struct(*[F.sum(f"sums.{n}").over(upto).alias(n) for n in SUMS]))
+        names += ["sums", "run", "own"]
+    item = F.when(is_seg, F.struct(*names))
+    packed = placed.groupBy("video_id", "chunk").agg(F.sort_array(F.collect_list(item)).alias("segs"), F.max("before").alias("before"), F.max("timeline_end").alias("timeline_end"))
+    begins = F.filter("segs", lambda s: (s["home"] == F.col("chunk")) & (s["start"] + min(settings.lengths()) <= F.col("timeline_end") + 1e-9))
+
+    def one(s: Column) -> Column:
+        reach = F.slice(F.col("segs"), s["lo"] + 1, s["hi"] - s["lo"])
+        brief = lambda x: F.struct(x["start"].alias("start"), x["text"].alias("text"), *([x["own"].alias("own")] if lexicon is not None else []))
+        inside = lambda found: F.transform(F.filter(found, lambda x: x["end"] > s["start"]), brief)
+        made = [(F.col("before") + s["turn"]).cast("int").alias("anchor"), s["start"].alias("start_s")]
+        if lexicon is None:
+            return F.struct(*made, inside(reach).alias("inside"))
+        near = lambda found: F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["run"].alias("run")))
+        over = lambda found: F.transform(F.filter(found, lambda x: x["end"] <= s["start"]), lambda x: F.struct(x["start"].alias("start"), x["sums"].alias("sums")))
+        before = F.struct(*[F.coalesce(F.get(F.col("segs"), s["lo"] - 1)["run"][n], F.lit(0).cast("long")).alias(n) for n in SUMS])
+        return T.let(reach, lambda found: F.struct(*made, inside(found).alias("inside"), near(found).alias("near"), over(found).alias("over"), before.alias("base")))
+
+    return packed.select("video_id", "chunk", "timeline_end", F.explode(F.transform(begins, one)).alias("a")).select("video_id", "chunk", "timeline_end", "a.*")
+
+
+def _ends(settings: Settings) -> Column:
+    """The lengths of a row's windows that fit the timeline."""
+    spans = F.array(*[F.struct(F.lit(k).alias("len_idx"), F.lit(x).alias("length")) for k, x in enumerate(settings.lengths())])
+    ends = F.transform(spans, lambda x: F.struct(x["len_idx"].alias("len_idx"), x["length"].alias("length"), (F.col("start_s") + x["length"]).alias("end_s")))
+    return F.filter(ends, lambda x: x["end_s"] <= F.col("timeline_end") + 1e-9)
+
+
+def begun(segs: Column, end: Column) -> Column:
+    """How many of segments in order of their starts begin before ``end``."""
+    return F.size(F.filter(segs, lambda s: s["start"] < end))
+
+
+def window_texts(segments: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """The candidate windows with the text of the segments that they overlap."""
+    found = anchored(segments, settings)
+    found = found.select("video_id", "timeline_end", "anchor", "start_s", "inside", F.explode(_ends(settings)).alias("x"))
+    return found.select("video_id", "timeline_end", "anchor", "start_s", "x.*", joined_text(F.slice("inside", F.lit(1), begun(F.col("inside"), F.col("x.end_s")))).alias("text"))
 
 
 def overlapping(segs: Column, start: Column, end: Column) -> Column:
@@ -49,28 +167,6 @@ def joined_text(segs: Column) -> Column:
     return F.array_join(F.transform(segs, lambda s: s["text"]), " ")
 
 
-def candidate_windows(segments: DataFrame, settings: Settings = DEFAULTS, lexicon: tuple[str, ...] = EMOTION_WORDS) -> DataFrame:
-    """Every segment start with every length, if it fits the timeline, with the segments that it overlaps (``segs``)."""
-    item = F.struct("start", "seg_idx", "end", "text", "lo", "his", "counts")
-    lines = positions(segments, settings, lexicon).groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("segs"), F.max("end").alias("timeline_end"))
-    brief = lambda s: F.struct(s["text"].alias("text"), s["counts"].alias("counts"))
-    spans = F.transform(F.array(*[F.lit(x) for x in settings.lengths()]), lambda x, k: F.struct(k.alias("len_idx"), x.alias("length")))
-
-    def of_anchor(s: Column, i: Column) -> Column:
-        fits = F.filter(spans, lambda x: s["start"] + x["length"] <= F.col("timeline_end") + 1e-9)
-
-        def one(x: Column) -> Column:
-            end = s["start"] + x["length"]
-            near = F.slice(F.col("segs"), s["lo"] + 1, F.get(s["his"], x["len_idx"]) - s["lo"])
-            inside = F.transform(overlapping(near, s["start"], end), brief)
-            return F.struct(i.alias("anchor"), s["start"].alias("start_s"), x["len_idx"].alias("len_idx"), x["length"].alias("length"), end.alias("end_s"), inside.alias("segs"))
-
-        return F.transform(fits, one)
-
-    found = lines.select("video_id", "timeline_end", F.explode(F.flatten(F.transform("segs", of_anchor))).alias("w"))
-    return found.select("video_id", "timeline_end", "w.*")
-
-
 def window_text(windows: DataFrame) -> DataFrame:
     """windows with the text of ``segs``."""
     return windows.withColumn("text", joined_text(F.col("segs")))
@@ -84,17 +180,80 @@ def texts_inside(windows: DataFrame) -> DataFrame:
 SIGNALS = ("hook", "coherence", "sentiment", "specificity", "curiosity", "laughter")
 
 
-def signals(rows: DataFrame, lexicon: tuple[str, ...] = EMOTION_WORDS, counted: bool = False) -> DataFrame:
-    """The text signals of column ``text``. Where the rows are ``counted``, their ``segs`` have counts that are summed instead of
-    searching the text again."""
+def signals(rows: DataFrame, lexicon: tuple[str, ...] = EMOTION_WORDS) -> DataFrame:
+    """The signals of column ``text``."""
     text = F.col("text")
     # The first sentence is computed once and read by two signals.
     head = T.let(T.first_sentence(text), lambda f: F.struct(T.hook_quality(f).alias("hook"), T.coherence(f).alias("coherence")))
-    counts = T.summed_counts(F.transform("segs", lambda s: s["counts"])) if counted else T.text_counts(text, lexicon)
-    found = rows.withColumn("_head", head).withColumn("_counts", counts)
-    c = F.col("_counts")
-    made = (F.col("_head.hook"), F.col("_head.coherence"), T.sentiment_of(c), T.specificity_of(c, text), T.curiosity_of(c, text), T.laughter_of(c))
-    return found.select("*", *[x.alias(n) for n, x in zip(SIGNALS, made, strict=True)]).drop("_head", "_counts")
+    found = rows.withColumn("_head", head)
+    made = (F.col("_head.hook"), F.col("_head.coherence"), T.sentiment(text, lexicon), T.specificity(text), T.curiosity(text), T.text_laughter(text))
+    return found.select("*", *[x.alias(n) for n, x in zip(SIGNALS, made, strict=True)]).drop("_head")
+
+
+def window_signals(segments: DataFrame, settings: Settings = DEFAULTS, lexicon: tuple[str, ...] = EMOTION_WORDS) -> DataFrame:
+    """The candidate windows with the signals of their texts.
+
+    Of an anchor's segments those said (not blank) carry what their text adds to the capitalised terms; a segment's first word begins a
+    sentence if the one said before it in the window has ended one, and a question likewise. Phrases, and in odd cases openers, are found
+    in the longest text and count where they end in the window's."""
+    inside, near, text = F.col("inside"), F.col("near"), F.col("text")
+
+    def said(found: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            own, last = s["own"], F.get(found, i - 1)["own"]
+            starters = F.when(((i == 0) | last["ended"]) & (own["lead"] != ""), F.concat(own["starters"], F.array(own["lead"]))).otherwise(own["starters"])
+            asked = own["asked"] + (((i == 0) | last["opens"]) & own["asks"]).cast("int")
+            return F.struct(s["start"].alias("start"), own["caps"].alias("caps"), starters.alias("starters"), asked.alias("asked"))
+
+        return F.transform(found, one)
+
+    def window(x: Column) -> Column:
+        """The segments of a window and the sums of their counts."""
+        met = F.struct(begun(near, x["end_s"]).alias("met"), F.filter("over", lambda s: s["start"] < x["end_s"]).alias("gone"))
+
+        def summed(v: Column) -> Column:
+            lost = lambda m: F.when(F.size(v["gone"]) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(v["gone"], F.lit(0).cast("long"), lambda acc, s: acc + s["sums"][m]))
+            total = lambda run: F.struct(*[x[m].alias(m) for m in ("len_idx", "length", "end_s")], (v["met"] - F.size(v["gone"])).alias("n"), *[(run[m] - F.col("base")[m] - lost(m)).alias(m) for m in SUMS])
+            return T.let(F.get(near, v["met"] - 1)["run"], total)
+
+        return T.let(met, summed)
+
+    rows = anchored(segments, settings, lexicon)
+    rows = _once(rows, joined_text(inside).alias("text"), F.transform(_ends(settings), window).alias("wins"), T.let(F.filter(inside, lambda s: s["own"]["said"]), said).alias("said"), F.exists(inside, lambda s: s["own"]["odd"]).alias("odd")).drop("inside", "near", "over", "base")
+    rows = _once(rows, F.lower(text).alias("low"), F.nullif(F.regexp_instr(text, F.lit(STOP_PATTERN)), F.lit(0)).alias("stop"))
+    low = F.col("low")
+    opened = F.when(F.col("odd"), F.transform(F.regexp_extract_all(low, F.lit(rf"\G(?s:.*?){T.opener_pattern()}"), F.lit(0)), lambda m: F.char_length(m)))
+    phrases = F.array(*[F.when(low.contains(p), F.instr(low, p) + (len(p) - 1)) for p in HOOK_PHRASES])
+
+    def length(x: Column, m: str) -> Column:
+        return x[m] + F.greatest(x["n"] - 1, F.lit(0))
+
+    def cut(x: Column) -> Column:
+        """Where the first sentence of a window's text ends: at the first stop, if the white space after it is in the text, or with the text."""
+        return F.when(F.col("stop") < length(x, "chars"), F.col("stop")).otherwise(length(x, "chars")).cast("int")
+
+    def head(c: Column) -> Column:
+        return T.let(F.rtrim(T.strip(F.substring(text, F.lit(1), c)), F.lit(".?!")), lambda f: F.struct(c.alias("cut"), T.hook_quality(f).alias("hook"), T.coherence(f).alias("coherence")))
+
+    rows = _once(rows, opened.alias("opened"), F.filter(phrases, lambda e: e.isNotNull()).alias("phrases"), F.transform(F.array_distinct(F.transform("wins", cut)), head).alias("heads")).drop("text", "low")
+
+    def scored(x: Column) -> Column:
+        own = F.filter("said", lambda s: s["start"] < x["end_s"])
+        flat = lambda v, n: F.flatten(F.transform(v, lambda s: s[n]))
+        found = T.let(own, lambda v: F.struct(F.size(T.unstarted(flat(v, "caps"), flat(v, "starters"))).alias("terms"), F.aggregate(v, F.lit(0), lambda acc, s: acc + s["asked"]).alias("asked")))
+        end = length(x, "lows")
+        reached = F.aggregate("opened", F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), lambda acc, m: F.struct((acc["at"] + m).alias("at"), (acc["n"] + F.when(acc["at"] + m <= end, 1).otherwise(0)).alias("n")))["n"]
+        hits = F.size(F.filter("phrases", lambda e: e <= end))
+
+        def made(v: Column) -> Column:
+            asked = F.when(F.col("odd"), reached).otherwise(v["found"]["asked"])
+            values = (v["head"]["hook"], v["head"]["coherence"], T.sentiment_of(x), T.specificity_of(x["figures"], v["found"]["terms"]), T.curiosity_of(x["marks"] + asked, hits), T.laughter_of(x["reactions"]))
+            return F.struct(*[x[m].alias(m) for m in ("len_idx", "length", "end_s")], *[m.alias(n) for n, m in zip(SIGNALS, values, strict=True)])
+
+        return T.let(F.struct(F.get(F.filter("heads", lambda h: h["cut"] == cut(x)), F.lit(0)).alias("head"), found.alias("found")), made)
+
+    kept = ["video_id", "chunk", "timeline_end", "anchor", "start_s"]
+    return rows.select(*kept, F.explode(F.transform("wins", scored)).alias("w")).select(*kept, "w.*")
 
 
 def content_score(settings: Settings = DEFAULTS, audio: bool = False) -> Column:
@@ -113,6 +272,11 @@ def audio_score(settings: Settings = DEFAULTS) -> Column:
 
 
 def scored_windows(segments: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """video_id, anchor, len_idx, start_s, end_s, score by the transcript alone."""
-    found = signals(window_text(candidate_windows(segments, settings)), counted=True)
-    return found.select("video_id", "anchor", "len_idx", "start_s", "end_s", "timeline_end", F.round(content_score(settings), 9).alias("score"))
+    """video_id, chunk, anchor, len_idx, start_s, end_s, score by the transcript alone."""
+    found = window_signals(segments, settings)
+    return found.select("video_id", "chunk", "anchor", "len_idx", "start_s", "end_s", "timeline_end", F.round(content_score(settings), 9).alias("score"))
+
+
+def selected(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """The ``top_k`` best disjoint windows of each video, of windows with their ``chunk``."""
+    return select_moments(scored, settings.top_k, longest=max(settings.lengths()), span=CHUNK_S)

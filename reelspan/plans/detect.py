@@ -26,9 +26,8 @@ def _fused(rows: DataFrame, comments: DataFrame | None, settings: Settings) -> D
     return joined.withColumn("score", F.round(C.fused(F.col("content"), share, conf, times), 9)).drop("packed", "max_count", "mentions", "confidence", "said")
 
 
-def _content(rows: DataFrame, frames: DataFrame | None, gaps: DataFrame | None, settings: Settings, counted: bool = False) -> DataFrame:
-    """rows(video_id, start_s, end_s, text) with content by the text, and audio where given."""
-    found = W.signals(rows, counted=counted).drop("segs", "text")
+def _content(found: DataFrame, frames: DataFrame | None, gaps: DataFrame | None, settings: Settings) -> DataFrame:
+    """found(video_id, start_s, end_s, signals) with content by the text, and audio where given."""
     if frames is not None:
         found = A.window_features(found, frames, gaps, settings)
     return found.withColumn("content", W.content_score(settings, frames is not None))
@@ -40,10 +39,10 @@ def detect(segments: DataFrame, comments: DataFrame | None = None, frames: DataF
     k = settings.max_clips if max_clips is None else max_clips
     lines = W.timeline(segments)
     gaps = A.silence_gaps(frames, settings) if frames is not None else None
-    first = _fused(_content(W.window_text(W.candidate_windows(segments, settings)), frames, gaps, settings, True), comments, settings)
-    chosen = select_moments(first.where(F.col("score") >= settings.min_clip_score), settings.top_k)
+    first = _fused(_content(W.window_signals(segments, settings), frames, gaps, settings), comments, settings)
+    chosen = W.selected(first.where(F.col("score") >= settings.min_clip_score), settings)
     refined = W.texts_inside(R.refine(chosen.drop("score").withColumnRenamed("rank", "turn"), lines, settings))
-    again = _fused(_content(refined, frames, gaps, settings), comments, settings)
+    again = _fused(_content(W.signals(refined).drop("segs", "text"), frames, gaps, settings), comments, settings)
     found = select_moments(again, max(0, k), "turn").select("video_id", "rank", "start_s", "end_s", "score")
     if frames is None:
         return found
@@ -82,7 +81,7 @@ def score_window(segments: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     """video_id, start_s, end_s, score of each video's whole span: from its first segment's start to its last one's end."""
     lines = W.timeline(segments).where(F.size("segs") > 0)
     rows = lines.withColumns({"start_s": F.col("segs")[0]["start"], "end_s": F.element_at("segs", -1)["end"]})
-    return _content(W.texts_inside(rows), None, None, settings).select("video_id", "start_s", "end_s", F.round("content", 9).alias("score"))
+    return _content(W.signals(W.texts_inside(rows)), None, None, settings).select("video_id", "start_s", "end_s", F.round("content", 9).alias("score"))
 
 
 def snippets(clips: DataFrame, segments: DataFrame, most: int = 200) -> DataFrame:

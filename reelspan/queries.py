@@ -19,7 +19,6 @@ from reelspan.operators import render as V
 from reelspan.operators import report as P
 from reelspan.operators import social as C
 from reelspan.operators import windows as W
-from reelspan.operators.select import select_moments
 from reelspan.plans import detect as D
 from reelspan.settings import DEFAULTS, TRANSITIONS
 from reelspan.sources import adapters as X
@@ -141,13 +140,13 @@ def candidate_windows(spark, sf_dir):
 
 @query(O.sql(O.WINDOW_TEXT, "SELECT video_id, anchor, len_idx, md5(text) AS text_md5 FROM wt"))
 def window_text(spark, sf_dir):
-    rows = W.window_text(W.candidate_windows(X.document_segments(spark, sf_dir)))
+    rows = W.window_texts(X.document_segments(spark, sf_dir))
     return rows.select("video_id", "anchor", "len_idx", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(O.sql(O.SCORED, "SELECT video_id, anchor, len_idx, round(hook, 6) AS hook, round(coherence, 6) AS coherence, round(sentiment, 6) AS sentiment, round(specificity, 6) AS specificity, round(curiosity, 6) AS curiosity, round(laughter, 6) AS laughter FROM ws"))
 def window_signals(spark, sf_dir):
-    rows = W.signals(W.window_text(W.candidate_windows(X.document_segments(spark, sf_dir))), counted=True)
+    rows = W.window_signals(X.document_segments(spark, sf_dir))
     return rows.select("video_id", "anchor", "len_idx", *[r6(n).alias(n) for n in W.SIGNALS])
 
 
@@ -165,7 +164,7 @@ src AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC,
 def top_moments(spark, sf_dir):
     """The best six disjoint windows of each document by its transcript."""
     rows = W.scored_windows(X.document_segments(spark, sf_dir), CORPUS).where(F.col("score") >= CORPUS.min_clip_score)
-    return select_moments(rows, CORPUS.top_k).select("video_id", "rank", "start_s", "end_s", r6("score").alias("score"))
+    return W.selected(rows, CORPUS).select("video_id", "rank", "start_s", "end_s", r6("score").alias("score"))
 
 
 _REFINED = _PICKED + "," + O.greedy("src", 6, "nms") + f""",
@@ -184,7 +183,7 @@ def _refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = X.document_segments(spark, sf_dir)
     lines = W.timeline(segments)
     rows = W.scored_windows(segments, CORPUS).where(F.col("score") >= CORPUS.min_clip_score)
-    return R.refine(select_moments(rows, CORPUS.top_k), lines, CORPUS)
+    return R.refine(W.selected(rows, CORPUS), lines, CORPUS)
 
 
 @query(O.sql(_REFINED, "SELECT video_id, raw_start_s, raw_end_s, start_s, end_s FROM ref", True))

@@ -35,6 +35,14 @@ AMOUNT_PATTERN = r"\$[\d,]+(?:\.\d+)?"
 PERCENT_PATTERN = r"\d+(?:\.\d+)?%"
 INTEGER_PATTERN = r"\b\d+\b"
 WORD_PATTERN = r"[a-z']+"
+SENTENCE_END_PATTERN = r"(?<=[.?!])\s+"
+STOP_PATTERN = r"[.?!]\s"
+ENDED_PATTERN = r"[.?!]\s*$"
+TAIL_PATTERN = r"[.,!?;:]+$"
+CAPITAL_PATTERN = r"\b[A-Z][a-z]+\b"
+STARTER_PATTERN = r"([A-Z][a-z]+)(?!\S)"
+HEAD_PATTERN = r"^\s*"
+AFTER_END_PATTERN = r"[.?!]\s+"
 STAGES = ("downloading", "detecting", "editing", "captioning", "formatting")
 TRANSITIONS = {
     "queued": ("downloading", "failed", "cancelled"), "downloading": ("detecting", "failed", "cancelled"), "detecting": ("editing", "failed", "cancelled"),

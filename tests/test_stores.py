@@ -82,7 +82,7 @@ def test_overlapping_segments(spark):
     rows = sorted((random.uniform(0, 120), random.uniform(0, 90)) for _ in range(60))
     rows = [(1, k, a, a + d, f"s{k}.") for k, (a, d) in enumerate(rows)]
     segs = spark.createDataFrame(rows, "video_id long, seg_idx int, start double, end double, text string")
-    got = windows.window_text(windows.candidate_windows(segs)).collect()
+    got = windows.window_texts(segs).collect()
     for r in got:
         assert r.text == " ".join(t for _, _, a, b, t in rows if a < r.end_s and b > r.start_s)
     assert len(got) == sum(a + x <= max(e for *_, e, _ in rows) + 1e-9 for _, _, a, _, _ in rows for x in (20, 25, 30, 35, 40, 45))
