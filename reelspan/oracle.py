@@ -133,7 +133,8 @@ anc AS (SELECT video_id, min(ts) AS a FROM men GROUP BY video_id
 clu AS (SELECT video_id, avg(ts) AS center_s, min(ts)::DOUBLE AS start_s, max(ts)::DOUBLE AS end_s, count(*) AS "count" FROM (
   SELECT m.video_id, m.ts, m.comment_id, max(a) AS a FROM men m JOIN anc ON anc.video_id = m.video_id AND anc.a <= m.ts GROUP BY ALL) GROUP BY video_id, a)"""
 GRID = """
-grid AS (SELECT DISTINCT video_id, (k * 20)::DOUBLE AS start_s, (k * 20 + 20)::DOUBLE AS end_s FROM com, (SELECT unnest(range(9)) AS k))"""
+grid AS (SELECT video_id, (k * 20)::DOUBLE AS start_s, (k * 20 + 20)::DOUBLE AS end_s FROM (SELECT c.video_id, unnest(range(coalesce(max(m.ts), 0) // 20 + 1)) AS k
+  FROM com c LEFT JOIN men m ON m.video_id = c.video_id AND m.comment_id = c.comment_id GROUP BY c.video_id))"""
 FRAMES = """
 fr0 AS (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, value AS rms, coalesce((props::JSON->>'$.k')::DOUBLE / 100, 0) AS zcr0 FROM events),
 fr AS (SELECT video_id, frame_idx, frame_idx * 4.0::DOUBLE AS t, rms, CASE WHEN max(rms) OVER w > 0 THEN rms / max(rms) OVER w ELSE 0 END AS energy,
@@ -144,7 +145,7 @@ sil AS (SELECT f.*, f.rms <= floor AS silent, coalesce(lead(t) OVER (PARTITION B
 run AS (SELECT *, sum(CASE WHEN silent THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY t) AS g FROM sil),
 gap AS (SELECT video_id, min(t) AS gap_start, max(next_t) AS gap_end, (min(t) + max(next_t)) / 2 AS mid FROM run WHERE silent GROUP BY video_id, g HAVING max(next_t) - min(t) >= 0.6)"""
 AUDIO_GRID = GAPS + """,
-agrid AS (SELECT video_id, (k * 40)::DOUBLE AS start_s, (k * 40 + 40)::DOUBLE AS end_s FROM (SELECT video_id, last_t, unnest(range(floor(last_t / 40)::BIGINT + 1)) AS k FROM (SELECT video_id, max(t) AS last_t FROM fr GROUP BY video_id)) WHERE k * 40 < last_t)"""
+agrid AS (SELECT video_id, (k * 40)::DOUBLE AS start_s, (k * 40 + 40)::DOUBLE AS end_s FROM (SELECT video_id, last_t, unnest(range(floor(last_t / 40)::BIGINT + 1)) AS k FROM (SELECT video_id, max(t) AS last_t FROM fr GROUP BY video_id)) WHERE k * 40 <= last_t)"""
 WORDS = f"""
 wrd AS (SELECT doc_id AS video_id, unnest(range(len(w))) AS word_idx, unnest(w) AS word FROM (SELECT doc_id, {tokens('text')} AS w FROM documents)),
 lin AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY word_idx // 6)::INTEGER AS line_no, min(word_idx) * 0.5::DOUBLE AS start_s, (max(word_idx) + 1) * 0.5::DOUBLE AS end_s, string_agg(word, ' ' ORDER BY word_idx) AS text FROM wrd GROUP BY video_id, word_idx // 6)"""

@@ -106,9 +106,11 @@ def top_clusters(spark, sf_dir):
     return C.clusters(X.event_comments(spark, sf_dir)).withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("video_id", r6("center_s").alias("center_s"), "count", "rank")
 
 
-def _grid(rows: DataFrame) -> DataFrame:
-    ids = rows.select("video_id").distinct()
-    return ids.select("video_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: k * 20.0)).alias("start_s")).withColumn("end_s", F.col("start_s") + 20.0)
+def _grid(comments: DataFrame) -> DataFrame:
+    """Windows of 20 seconds end to end, up to the last second that a comment of the video names."""
+    last = comments.groupBy("video_id").agg(F.coalesce(F.max(F.array_max("timestamps")), F.lit(0)).alias("last"))
+    starts = F.transform(F.sequence(F.lit(0), F.floor(F.col("last") / 20).cast("int")), lambda k: k * 20.0)
+    return last.select("video_id", F.explode(starts).alias("start_s")).withColumn("end_s", F.col("start_s") + 20.0)
 
 
 @query(O.sql(O.CLUSTERS + "," + O.GRID, "SELECT g.video_id, g.start_s, round(least(1.0::DOUBLE, coalesce(max(c.count), 0)::DOUBLE / any_value(m.most)), 6) AS social FROM grid g LEFT JOIN clu c ON c.video_id = g.video_id AND c.center_s BETWEEN g.start_s AND g.end_s LEFT JOIN (SELECT video_id, max(count) AS most FROM clu GROUP BY 1) m ON m.video_id = g.video_id GROUP BY g.video_id, g.start_s", True))
@@ -240,10 +242,10 @@ GRID_S = 40.0
 
 
 def _audio_grid(frames: DataFrame) -> DataFrame:
-    """Windows of GRID_S end to end that begin before the video's last frame."""
+    """Windows of GRID_S end to end, as far as a frame lies in them."""
     ends = frames.groupBy("video_id").agg(F.max("t").alias("last_t"))
     starts = F.transform(F.sequence(F.lit(0), F.floor(F.col("last_t") / GRID_S).cast("int")), lambda k: k * GRID_S)
-    rows = ends.select("video_id", "last_t", F.explode(starts).alias("start_s")).where("start_s < last_t")
+    rows = ends.select("video_id", "last_t", F.explode(starts).alias("start_s")).where("start_s <= last_t")
     return rows.select("video_id", "start_s", (F.col("start_s") + GRID_S).alias("end_s"))
 
 
@@ -305,7 +307,7 @@ def segment_srt(spark, sf_dir):
     return K.segment_srt(X.document_segments(spark, sf_dir))
 
 
-@query("SELECT event_id, " + O.srt_time("value") + " AS srt, printf('%02d:%02d', CAST(trunc(value) AS BIGINT) // 60, CAST(trunc(value) AS BIGINT) % 60) AS clock FROM events WHERE value >= 0")
+@query("SELECT event_id, " + O.srt_time("value") + " AS srt, printf('%02d:%02d', CAST(trunc(greatest(value, 0)) AS BIGINT) // 60, CAST(trunc(greatest(value, 0)) AS BIGINT) % 60) AS clock FROM events")
 def srt_timestamp(spark, sf_dir):
     return X.table(spark, sf_dir, "events").select("event_id", T.srt_time(F.col("value")).alias("srt"), T.clock(F.greatest("value", F.lit(0.0))).alias("clock"))
 
@@ -391,7 +393,7 @@ def clip_iou(spark, sf_dir):
     return Q.neighbour_iou(X.line_clips(spark, sf_dir)).select("job_id", "clip_no", r6("iou").alias("iou"))
 
 
-@query(O.sql(O.SEGMENTS, f"""SELECT s.video_id, count(*) AS segments, sum(len({O.tokens('s.text')}))::BIGINT AS words, max_by(s."end", s.seg_idx) AS last_end, round(coalesce(max_by(s."end", s.seg_idx) / any_value(n_chars / 12.0::DOUBLE), 0), 6) AS coverage, CASE WHEN coalesce(max_by(s."end", s.seg_idx) / any_value(n_chars / 12.0::DOUBLE), 0) < 0.7 THEN 'WARN' ELSE 'PASS' END AS verdict FROM seg s JOIN documents d ON d.doc_id = s.video_id WHERE n_chars > 0 GROUP BY s.video_id"""))
+@query(O.sql(O.SEGMENTS, f"""SELECT s.video_id, count(*) AS segments, sum(len({O.tokens('s.text')}))::BIGINT AS words, max_by(s."end", s.seg_idx) AS last_end, round(coalesce(max_by(s."end", s.seg_idx) / any_value(nullif(n_chars, 0) / 12.0::DOUBLE), 0), 6) AS coverage, CASE WHEN coalesce(max_by(s."end", s.seg_idx) / any_value(nullif(n_chars, 0) / 12.0::DOUBLE), 0) < 0.7 THEN 'WARN' ELSE 'PASS' END AS verdict FROM seg s JOIN documents d ON d.doc_id = s.video_id GROUP BY s.video_id"""))
 def transcript_coverage(spark, sf_dir):
     durations = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), (F.col("n_chars") / 12.0).alias("duration"))
     return Q.coverage(X.document_segments(spark, sf_dir), durations).select("video_id", "segments", "words", "last_end", r6("coverage").alias("coverage"), "verdict")

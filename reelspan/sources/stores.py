@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspan import schemas
+from reelspan.sources import tables
 
 
 def read_jobs(spark: SparkSession, root: str, keep_corrupt: bool = False) -> DataFrame:
@@ -41,23 +42,14 @@ def shared_folder(spark: SparkSession) -> str:
     return base or tempfile.mkdtemp(prefix="reelspan-")
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """The versions of a table that are whole: Spark marks them when its last task has committed."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
-    return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in found)
-
-
 def overwrite(rows: DataFrame, path: str) -> None:
-    """Write the next version of a table beside the old ones. Readers of ``current`` see the old one until the new one is whole,
-    and ``rows`` may be made from it; of two writers at once the second fails."""
-    rows.write.parquet(f"{path}/version={max(_versions(rows.sparkSession, path), default=0) + 1}")
+    """Make ``rows`` the next version of a table (``tables``), from which they may be made; of two writers at once the second fails."""
+    tables.overwrite(rows, path)
 
 
 def current(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The last whole version of a table, empty where there is none yet."""
-    found = _versions(spark, path)
-    return spark.read.schema(schema).parquet(f"{path}/version={found[-1]}") if found else spark.createDataFrame([], schema)
+    """The last version of a table, empty where there is none yet."""
+    return tables.read(spark, path, schema)
 
 
 def comment_pages(spark: SparkSession, path: str, most: int = 500) -> DataFrame:
