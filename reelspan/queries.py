@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -20,7 +21,7 @@ from reelspan.operators import report as P
 from reelspan.operators import social as C
 from reelspan.operators import windows as W
 from reelspan.plans import detect as D
-from reelspan.settings import DEFAULTS, TRANSITIONS
+from reelspan.settings import DEFAULTS, STAGES, TRANSITIONS
 from reelspan.sources import adapters as X
 
 #: The driver's invented prose seldom reaches the default threshold.
@@ -352,6 +353,37 @@ def transitions(spark, sf_dir):
     return rows.withColumn("legal", J.legal(F.col("from_state"), F.col("to_state")))
 
 
+_NEXT = ["downloading", "detecting", "editing", "captioning", "formatting", "complete", "queued"]
+#: Events of an order's job: it is queued, then each of its lines asks for a state.
+_EVENTS = f"""
+ev0 AS (SELECT o_orderkey AS id, 0::BIGINT AS number, 'queued' AS state FROM orders UNION ALL SELECT l_orderkey, l_linenumber::BIGINT,
+  CASE WHEN l_quantity < 4 THEN 'cancelled' WHEN l_returnflag = 'R' AND l_linenumber % 3 = 0 THEN 'failed' ELSE {_NEXT}[l_linenumber] END FROM lineitem),
+ev AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY number, state) AS n FROM ev0),
+leg AS (SELECT unnest([{", ".join(f"{{'a': {repr(a) if a else 'NULL'}, 'b': '{b}'}}" for a, to in {"": ("queued",), **TRANSITIONS}.items() for b in to)}], recursive := true)),
+fol AS (SELECT id, 1::BIGINT AS n, NULL::VARCHAR AS state, NULL::VARCHAR AS last_stage_completed, 0 AS retry_count, 0 AS refused, -1::BIGINT AS number FROM (SELECT DISTINCT id FROM ev)
+  UNION ALL SELECT f.id, f.n + 1, CASE WHEN e.number <= f.number OR l.b IS NULL THEN f.state ELSE e.state END,
+    CASE WHEN e.number > f.number AND l.b IS NOT NULL AND list_contains({list(STAGES)}, f.state) AND (list_contains({list(STAGES)}, e.state) OR e.state = 'complete') THEN f.state ELSE f.last_stage_completed END,
+    f.retry_count + CASE WHEN e.number > f.number AND l.b IS NOT NULL AND f.state = 'failed' THEN 1 ELSE 0 END,
+    f.refused + CASE WHEN e.number > f.number AND l.b IS NULL THEN 1 ELSE 0 END, greatest(f.number, e.number)
+  FROM fol f JOIN ev e ON e.id = f.id AND e.n = f.n LEFT JOIN leg l ON l.a IS NOT DISTINCT FROM f.state AND l.b = e.state)"""
+
+
+@query(O.sql(_EVENTS, "SELECT id, max_by(state, n) AS state, max_by(last_stage_completed, n) AS last_stage_completed, max_by(retry_count, n)::INTEGER AS retry_count, max_by(refused, n)::INTEGER AS refused, max(number) AS number FROM fol GROUP BY id", True).replace("max_by(state, n)", "arg_max_null(state, n)").replace("max_by(last_stage_completed, n)", "arg_max_null(last_stage_completed, n)"))
+def job_states(spark, sf_dir):
+    """Each job's last state by the stream of its transitions: two batches, the query started anew from its checkpoint between them."""
+    from reelspan.sources.stores import shared_folder
+    from reelspan.streaming import states
+
+    line = F.when(F.col("l_quantity") < 4, "cancelled").when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") % 3 == 0), "failed").otherwise(F.get(F.array(*[F.lit(x) for x in _NEXT]), F.col("l_linenumber").cast("int") - 1))
+    lines = X.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("id"), F.col("l_linenumber").cast("long").alias("number"), line.alias("state"))
+    events = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.lit(0).cast("long").alias("number"), F.lit("queued").alias("state")).unionByName(lines)
+    folder = f"{shared_folder(spark).rstrip('/')}/states-{uuid.uuid4().hex}"
+    for part in (events.where("number <= 2"), events.where("number > 2")):
+        part.write.mode("append").parquet(f"{folder}/events")
+        states.follow(spark, f"{folder}/events", f"{folder}/checkpoint", f"{folder}/sink").awaitTermination()
+    return states.latest(spark, f"{folder}/sink")
+
+
 @query(O.sql(O.CLIPS, "SELECT job_id, count(*) FILTER (flag <> 'R') AS eligible, count(*) FILTER (flag = 'A') AS succeeded, count(*) FILTER (flag <> 'R') > 0 AND count(*) FILTER (flag = 'A') = 0 AS fails FROM clip GROUP BY job_id"))
 def failing_jobs(spark, sf_dir):
     rows = X.line_clips(spark, sf_dir)
