@@ -2,14 +2,15 @@
 
 Trusted positives are rows labelled 1, the unlabelled are any rows; the class prior is estimated. A linear model on
 text features minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss. Rows labelled 0 are read
-neither for the prior nor for the weights; with the logistic loss the margin is the score's log odds. Fitting takes a bounded sample, chosen by a hash of the
-id (``most_positive``, ``most_unlabelled``), and sends feature vectors of fixed length to the driver, never texts. Scoring reads every row whole, without a shuffle.
+neither for the prior nor for the weights; with the logistic loss the margin is the score's log odds. Fitting takes a bounded sample of
+different rows, chosen by a hash of id and text (``most_positive``, ``most_unlabelled``), and sends feature vectors of fixed length to the
+driver, never texts. Scoring reads every row whole, without a shuffle.
 
 Features come from the text alone: shares of character-class trigrams (hashed; letters of every script are one
 class), and ratios of words and lines. Label, language, source and id are no inputs.
 
 Nulls: a null text is the empty text, which has a score too; a null label is no label. Of rows that share a doc_id each
-gets a score; a document labelled both 0 and 1 is no positive. Without a positive label every score is 0.5. An empty
+gets a score; of those that share the text, too, one is in a sample; a document labelled both 0 and 1 is no positive. Without a positive label every score is 0.5. An empty
 table of documents gives no rows. Other columns are ignored.
 """
 
@@ -71,20 +72,25 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
-def matrix(texts: DataFrame, picked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the rows of ``texts(doc_id, text)`` that ``picked(doc_id, label)`` names; ``picked`` is a
-    sample of bounded size, so it is broadcast and only its texts are read into features."""
-    chosen = texts.join(F.broadcast(picked), "doc_id").select(common.text_of().alias("text"), "label")
-    schema = pa.schema([("x", pa.binary()), ("label", pa.int32())])
+def sample(rows: DataFrame, most: int, seed: str) -> DataFrame:
+    """text of at most ``most`` different rows(doc_id, text): those with the least hashes of both. Hashes are reduced to
+    different ones before they are sorted, and equal rows that pass the bound to one, so repeated rows add nothing."""
+    keyed = rows.select(common.text_of().alias("text"), F.xxhash64("doc_id", common.text_of(), F.lit(seed)).alias("o"))
+    bound = keyed.select("o").distinct().orderBy("o").limit(most).agg(F.max("o").alias("o")).first()["o"]
+    return keyed.where(F.col("o") <= F.lit(bound).cast("long")).groupBy("o").agg(F.first("text").alias("text"))
+
+
+def matrix(sampled: DataFrame) -> np.ndarray:
+    """Features of the rows of ``sampled(o, text)``, a sample of bounded size, in order of their hashes."""
+    schema = pa.schema([("o", pa.int64()), ("x", pa.binary())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.sliced(batches):
             x = [features(raw).astype(np.float16).tobytes() for raw in common.utf8(b, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column("label").cast(pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("o"), pa.array(x, pa.binary())], schema=schema)
 
-    got = chosen.mapInArrow(extract, "x binary, label int").collect()
-    x = np.array([np.frombuffer(r["x"], np.float16) for r in got], np.float32).reshape(-1, HASHED + DENSE)
-    return x, np.array([r["label"] for r in got], int)
+    got = sorted(sampled.select("o", "text").mapInArrow(extract, "o long, x binary").collect())
+    return np.array([np.frombuffer(r["x"], np.float16) for r in got], np.float32).reshape(-1, HASHED + DENSE)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -110,35 +116,37 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return w[:-1], float(w[-1]), risks
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: int = 50) -> float:
-    """The share of positives among the unlabelled, from the margins of both: above any threshold the unlabelled have at
-    least the prior times the positives' share, so the least quotient of both shares bounds it (best bin). Each share
-    has its deviation of 1 / sqrt(rows) added, and a bin holds some positives."""
-    p, u = np.sort(positive), np.sort(unlabelled)
-    if len(p) < least:
-        return 0.5
-    at = p[: len(p) - least + 1]
-    above_p = 1 - np.arange(len(at)) / len(p)
-    above_u = 1 - np.searchsorted(u, at, "left") / len(u)
-    slack = 1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u))
-    best = int(np.argmin((above_u + slack) / above_p))
-    return float(np.clip(above_u[best] / above_p[best], 0.05, 0.95))
+def shares_above(positive: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
+    """For each positive's margin the share of the unlabelled whose margin is no less."""
+    return 1 - np.searchsorted(np.sort(unlabelled), positive, "left") / len(unlabelled)
+
+
+def prior_of(above: np.ndarray, n_unlabelled: int) -> float:
+    """The share of positives among the unlabelled: above any threshold the unlabelled have at least the prior times the
+    positives' share, so the least quotient of both shares bounds it (best bin). The unlabelled's share has the deviations of both
+    samples added, 1 / sqrt(rows) each, which counts the less the larger a bin is: the fewer positives, the larger the bin."""
+    t = np.sort(above)
+    share = np.arange(1, len(t) + 1) / len(t)
+    slack = 1 / np.sqrt(len(t)) + 1 / np.sqrt(n_unlabelled)
+    best = int(np.argmin((t + slack) / share))
+    return float(np.clip(t[best] / share[best], 0.05, 0.95))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The prior from the margins of positives that the model hasn't seen and of unlabelled rows."""
+    return prior_of(shares_above(positive, unlabelled), len(unlabelled))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_unlabelled: int = 6000, held_out: int = 2) -> Model:
     """Fit on rows whose fold is not ``held_out``: rows labelled 1 there and unlabelled rows there, both samples of bounded
-    size. Other labels aren't read. Half of the positives fit a first model, the others' margins estimate the prior with
-    those of the unlabelled; the second model is fitted with that prior."""
+    size. Other labels aren't read. The ids of positives are sampled before their texts are looked up, and their texts again."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").where(fold(F.col("doc_id")) != held_out)
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     # A document that is labelled both ways is no trusted positive.
     named = named.where(fold(F.col("doc_id")) != held_out).groupBy("doc_id").agg(F.min("label").alias("label")).where("label = 1")
-
-    def sample(rows: DataFrame, label: Column, most: int, seed: str) -> DataFrame:
-        return rows.select("doc_id", label.alias("label"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("o")).orderBy("o", "doc_id").limit(most).select("doc_id", "label")
-
-    positive, _ = matrix(texts, sample(named, F.col("label"), most_positive, "labelled"))
-    free, _ = matrix(texts, sample(texts, F.lit(-1), most_unlabelled, "unlabelled"))
+    picked = named.select("doc_id", F.xxhash64("doc_id", F.lit("labelled")).alias("o")).orderBy("o", "doc_id").limit(most_positive).select("doc_id")
+    positive = matrix(sample(texts.join(F.broadcast(picked), "doc_id"), most_positive, "labelled"))
+    free = matrix(sample(texts, most_unlabelled, "unlabelled"))
     width = HASHED + DENSE
     if not len(positive) or not len(free):
         return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.5)
@@ -146,11 +154,16 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_un
 
 
 def fit(positive: np.ndarray, free: np.ndarray) -> Model:
-    """The model of features of positives and of unlabelled rows."""
+    """The model of features of positives and of unlabelled rows. Each half of the positives fits a first model that places the other
+    half among the unlabelled; all places together estimate the prior, with which the last model is fitted. (One positive places itself.)"""
     mean, scale = free.mean(0), free.std(0) + 1e-2
     positive, free = (positive - mean) / scale, (free - mean) / scale
-    w, bias, _ = minimise(positive[::2], free, 0.5)
-    prior = estimate_prior(positive[1::2] @ w + bias, free @ w + bias)
+    halves = [(positive[::2], positive[1::2]), (positive[1::2], positive[::2])] if len(positive) > 1 else [(positive, positive)]
+    above = []
+    for own, other in halves:
+        w, bias, _ = minimise(own, free, 0.5)
+        above.append(shares_above(other @ w + bias, free @ w + bias))
+    prior = prior_of(np.concatenate(above), len(free))
     w, bias, _ = minimise(positive, free, prior)
     return Model(mean, scale, w, bias, prior)
 
