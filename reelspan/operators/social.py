@@ -66,5 +66,60 @@ def sponsor_multiplier(said: Column, start: Column, end: Column, settings: Setti
     return F.when(share > settings.sponsor_ratio, settings.sponsor_multiplier).otherwise(1.0)
 
 
+#: Rows of a video's totals that its windows are dealt to.
+SALTS = 16
+
+
+def video_totals(found: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """max_count and confidence of each video, from its clusters."""
+    totals = found.groupBy("video_id").agg(F.max("count").alias("max_count"), F.sum("count").alias("mentions"))
+    return totals.select("video_id", "max_count", confidence(F.col("mentions"), settings).alias("confidence"))
+
+
+def social_parts(comments: DataFrame, found: DataFrame, keywords: tuple[str, ...], span: float) -> DataFrame:
+    """What windows need of stretches of ``span`` seconds, in rows of bounded size: video_id, part, and of this stretch and the next
+    clusters (center_s, count), seconds (t, n and sponsored mentions) and pairs (t, u, n, sponsored: seconds that a comment names one
+    after the other). However many comments there are, a stretch has no more seconds than its length and no more pairs than its square."""
+    own = comments.select("video_id", F.array_sort(F.array_distinct("timestamps")).alias("ts"), T.contains_any(F.col("text"), keywords).cast("int").alias("s")).where(F.size("ts") > 0)
+    own = own.groupBy("video_id", "ts", "s").agg(F.count("*").alias("n"))
+    tally = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("s")).alias("sponsored")]
+    seconds = own.select("video_id", "n", "s", F.explode("ts").alias("t")).groupBy("video_id", "t").agg(*tally)
+    steps = F.transform(F.slice("ts", F.lit(2), F.size("ts")), lambda u, i: F.struct(F.get(F.col("ts"), i).alias("t"), u.alias("u")))
+    pairs = own.select("video_id", "n", "s", F.explode(steps).alias("p")).select("video_id", "n", "s", "p.*").where(F.col("u") - F.col("t") <= span).groupBy("video_id", "t", "u").agg(*tally)
+
+    def placed(rows: DataFrame, at: str, name: str, fields: list[str]) -> DataFrame:
+        part = F.floor(F.col(at) / span)
+        return rows.select("video_id", F.explode(F.array(part - 1, part)).alias("part"), F.struct(*fields).alias(name))
+
+    both = placed(found, "center_s", "cluster", ["center_s", "count"]).unionByName(placed(seconds, "t", "second", ["t", "n", "sponsored"]), allowMissingColumns=True)
+    both = both.unionByName(placed(pairs, "t", "pair", ["t", "u", "n", "sponsored"]), allowMissingColumns=True)
+    return both.groupBy("video_id", "part").agg(F.collect_list("cluster").alias("clusters"), F.collect_list("second").alias("seconds"), F.collect_list("pair").alias("pairs"))
+
+
+def with_social(windows: DataFrame, comments: DataFrame, settings: Settings = DEFAULTS, longest: float | None = None) -> DataFrame:
+    """windows(video_id, start_s, end_s, ...) with social (the largest cluster whose centre lies in the closed window, as a share of the
+    video's largest), confidence and multiplier. No window is longer than ``longest``, by default the longest window or clip.
+
+    A comment's seconds in an interval follow one another, so the seconds named in it less the pairs of such seconds are the
+    comments near a window, each once. Windows meet two bounded rows: their stretch's, and their video's totals, which are repeated
+    for as many shares of the windows."""
+    reach = (max(settings.max_clip_s, settings.window_max_s) if longest is None else longest) + 2 * settings.proximity_s
+    found = clusters(comments, settings)
+    totals = video_totals(found, settings).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    keyed = windows.withColumns({"_salt": F.pmod(F.xxhash64("start_s", "end_s"), F.lit(SALTS)).cast("int"), "part": F.floor((F.col("start_s") - settings.proximity_s) / reach)})
+    joined = keyed.join(totals, ["video_id", "_salt"], "left").join(social_parts(comments, found, settings.sponsor_keywords, reach), ["video_id", "part"], "left")
+    low, high = F.col("start_s") - settings.proximity_s, F.col("end_s") + settings.proximity_s
+    inside = F.filter("seconds", lambda x: (x["t"] >= low) & (x["t"] <= high))
+    again = F.filter("pairs", lambda x: (x["t"] >= low) & (x["u"] <= high))
+    total = lambda rows, name: F.aggregate(rows, F.lit(0).cast("long"), lambda acc, x: acc + x[name])
+    near = lambda name: (total(inside, name) - total(again, name)).cast("double")
+    share = F.try_divide(near("sponsored"), near("n"))
+    return joined.withColumns({
+        "social": F.coalesce(social_score(F.col("clusters"), F.col("max_count"), F.col("start_s"), F.col("end_s")), F.lit(0.0)),
+        "confidence": F.coalesce("confidence", F.lit(0.0)),
+        "multiplier": F.when(share > settings.sponsor_ratio, settings.sponsor_multiplier).otherwise(1.0),
+    }).drop("_salt", "part", "max_count", "clusters", "seconds", "pairs")
+
+
 def fused(content: Column, social: Column, conf: Column, multiplier: Column) -> Column:
     return T.clamp((social * conf + content * (F.lit(1.0) - conf)) * multiplier)

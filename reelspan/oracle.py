@@ -146,6 +146,74 @@ run AS (SELECT *, sum(CASE WHEN silent THEN 0 ELSE 1 END) OVER (PARTITION BY vid
 gap AS (SELECT video_id, min(t) AS gap_start, max(next_t) AS gap_end, (min(t) + max(next_t)) / 2 AS mid FROM run WHERE silent GROUP BY video_id, g HAVING max(next_t) - min(t) >= 0.6)"""
 AUDIO_GRID = GAPS + """,
 agrid AS (SELECT video_id, (k * 40)::DOUBLE AS start_s, (k * 40 + 40)::DOUBLE AS end_s FROM (SELECT video_id, last_t, unnest(range(floor(last_t / 40)::BIGINT + 1)) AS k FROM (SELECT video_id, max(t) AS last_t FROM fr GROUP BY video_id)) WHERE k * 40 <= last_t)"""
+
+
+def audio_features(source: str, name: str) -> str:
+    """``name``: the windows of ``source`` (video_id, start_s, end_s, ...) with energy, laugh and pause by their audio."""
+    mean = lambda x: clamp(f"round(coalesce({x}, 0), 12)")
+    return f"""
+{name}_a AS (SELECT w.*, {mean('avg(f.energy)')} AS energy, {mean('avg(f.energy * f.zcr)')} AS laugh FROM {source} w LEFT JOIN fr f ON f.video_id = w.video_id AND f.t >= w.start_s AND f.t < w.end_s GROUP BY ALL),
+{name}_p AS (SELECT w.video_id, w.start_s, w.end_s, least(1.0::DOUBLE, count(*) / 3.0::DOUBLE) AS pause FROM (SELECT DISTINCT video_id, start_s, end_s FROM {source}) w
+  JOIN gap p ON p.video_id = w.video_id AND p.mid >= w.start_s - {S.DEFAULTS.pause_min_s} AND p.mid < w.end_s GROUP BY ALL),
+{name} AS (SELECT a.*, coalesce(p.pause, 0)::DOUBLE AS pause FROM {name}_a a LEFT JOIN {name}_p p ON p.video_id = a.video_id AND p.start_s = a.start_s AND p.end_s = a.end_s)"""
+
+
+def audio_content() -> str:
+    w = S.DEFAULTS.audio_weights
+    return clamp(f"energy * {w.audio_energy}::DOUBLE + laugh * {w.laughter}::DOUBLE + pause * {w.dramatic_pause}::DOUBLE")
+
+
+def full_content() -> str:
+    """The content score of text signals and audio together."""
+    w = S.DEFAULTS.weights
+    text = " + ".join(f"{n} * {getattr(w, n)}::DOUBLE" for n in ("hook", "coherence", "sentiment", "specificity", "curiosity"))
+    return clamp(f"{text} + energy * {w.audio_energy}::DOUBLE + greatest(laughter, laugh) * {w.laughter}::DOUBLE + pause * {w.dramatic_pause}::DOUBLE")
+
+
+def social_fused(source: str, name: str, keyword: str) -> str:
+    """``name``: the windows of ``source`` (video_id, start_s, end_s, content, ...) with the score that the comments make of their content."""
+    d = S.DEFAULTS
+    return f"""
+{name}_w AS (SELECT DISTINCT video_id, start_s, end_s FROM {source}),
+{name}_s AS (SELECT w.*, max(c.count) AS best FROM {name}_w w JOIN clu c ON c.video_id = w.video_id AND c.center_s BETWEEN w.start_s AND w.end_s GROUP BY ALL),
+{name}_v AS (SELECT video_id, max(count) AS most, least({d.social_cap}::DOUBLE, 0.2::DOUBLE + sum(count) / 50.0::DOUBLE * 0.45::DOUBLE) AS conf FROM clu GROUP BY video_id),
+{name}_m AS (SELECT w.*, count(DISTINCT m.comment_id) AS n, count(DISTINCT CASE WHEN contains(lower(m.text), '{keyword}') THEN m.comment_id END) AS s
+  FROM {name}_w w JOIN men m ON m.video_id = w.video_id AND m.ts BETWEEN w.start_s - {d.proximity_s} AND w.end_s + {d.proximity_s} GROUP BY ALL),
+{name} AS (SELECT x.* EXCLUDE (content), round({clamp(f"(least(1.0::DOUBLE, coalesce(s.best / v.most, 0)) * coalesce(v.conf, 0) + x.content * (1.0::DOUBLE - coalesce(v.conf, 0))) * (CASE WHEN m.s::DOUBLE / m.n > {d.sponsor_ratio}::DOUBLE THEN {d.sponsor_multiplier}::DOUBLE ELSE 1.0::DOUBLE END)")}, 9) AS score
+  FROM {source} x LEFT JOIN {name}_v v ON v.video_id = x.video_id LEFT JOIN {name}_s s ON s.video_id = x.video_id AND s.start_s = x.start_s AND s.end_s = x.end_s
+  LEFT JOIN {name}_m m ON m.video_id = x.video_id AND m.start_s = x.start_s AND m.end_s = x.end_s)"""
+
+
+def audio_final(keyword: str | None = None, where: str = "true") -> str:
+    """Detection by audio alone, after GAPS (with a keyword also CLUSTERS): windows by steps, the best six, edges at the nearest silence,
+    and the best three of these anew (``alast`` and ``afin``)."""
+
+    def scored(source: str, name: str) -> str:
+        found = audio_features(source, f"{name}_f") + ","
+        made = f"{audio_content()} AS content FROM {name}_f)"
+        if keyword is None:
+            return found + f"\n{name} AS (SELECT * EXCLUDE (energy, laugh, pause, content), round(content, 9) AS score FROM (SELECT *, {made})"
+        return found + f"\n{name}_c AS (SELECT * EXCLUDE (energy, laugh, pause), {made}," + social_fused(f"{name}_c", name, keyword)
+
+    head = f"""
+aend AS (SELECT video_id, max(t) AS timeline_end FROM fr WHERE {where} GROUP BY video_id),
+astep AS (SELECT video_id, timeline_end, unnest(range(floor(timeline_end / 5)::BIGINT + 1)) AS anchor FROM aend),
+awin AS (SELECT video_id, timeline_end, anchor, len_idx, (anchor * 5)::DOUBLE AS start_s, anchor * 5 + length AS end_s FROM astep,
+  (SELECT unnest(range({len(S.DEFAULTS.lengths())})) AS len_idx, unnest([{', '.join(f'{x}::DOUBLE' for x in S.DEFAULTS.lengths())}]) AS length) WHERE anchor * 5 + length <= timeline_end + 1e-9),"""
+    moved = """,
+atop AS (SELECT s.* FROM akept JOIN asrc s USING (video_id, n)),
+aedge AS (SELECT video_id, n, 0 AS e, start_s AS at FROM atop UNION ALL SELECT video_id, n, 1, end_s FROM atop),
+anear AS (SELECT t.video_id, t.n, t.e, any_value(t.at) AS at, coalesce(min_by(p.mid, {'d': abs(p.mid - t.at), 'm': p.mid}), any_value(t.at)) AS v
+  FROM aedge t LEFT JOIN gap p ON p.video_id = t.video_id AND p.mid >= greatest(0, t.at - 10) AND p.mid < t.at + 10 GROUP BY t.video_id, t.n, t.e),
+amove AS (SELECT t.video_id, t.n AS n0, t.start_s AS s0, t.end_s AS e0, greatest(0, a.v) AS ca, least(t.timeline_end, b.v) AS ce FROM atop t
+  JOIN anear a ON a.video_id = t.video_id AND a.n = t.n AND a.e = 0 JOIN anear b ON b.video_id = t.video_id AND b.n = t.n AND b.e = 1),
+aref0 AS (SELECT video_id, n0, CASE WHEN ce <= ca THEN s0 ELSE ca END AS start_s, CASE WHEN ce <= ca THEN e0 ELSE ce END AS e FROM amove),
+aref AS (SELECT video_id, n0, start_s, least(e, start_s + 60) AS end_s FROM aref0),"""
+    src = ",\nasrc AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, start_s, anchor, len_idx) AS n FROM ascore WHERE score >= 0.2),"
+    fin = ",\nafin AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, start_s, n0) AS n FROM afin0),"
+    return head + scored("awin", "ascore") + src + greedy("asrc", 6, "akept") + moved + scored("aref", "afin0") + fin + greedy("afin", 3, "alast")
+
+
 WORDS = f"""
 wrd AS (SELECT doc_id AS video_id, unnest(range(len(w))) AS word_idx, unnest(w) AS word FROM (SELECT doc_id, {tokens('text')} AS w FROM documents)),
 lin AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY word_idx // 6)::INTEGER AS line_no, min(word_idx) * 0.5::DOUBLE AS start_s, (max(word_idx) + 1) * 0.5::DOUBLE AS end_s, string_agg(word, ' ' ORDER BY word_idx) AS text FROM wrd GROUP BY video_id, word_idx // 6)"""

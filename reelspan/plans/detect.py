@@ -17,13 +17,8 @@ def _fused(rows: DataFrame, comments: DataFrame | None, settings: Settings) -> D
     """rows(video_id, start_s, end_s, content) with score."""
     if comments is None:
         return rows.withColumn("score", F.round("content", 9))
-    social = C.social_rows(comments, settings).withColumnRenamed("clusters", "packed")
-    said = C.sponsor_rows(comments, settings.sponsor_keywords)
-    joined = rows.join(social, "video_id", "left").join(said, "video_id", "left")
-    conf = F.coalesce("confidence", F.lit(0.0))
-    share = F.coalesce(C.social_score(F.col("packed"), F.col("max_count"), F.col("start_s"), F.col("end_s")), F.lit(0.0))
-    times = F.coalesce(C.sponsor_multiplier(F.col("said"), F.col("start_s"), F.col("end_s"), settings), F.lit(1.0))
-    return joined.withColumn("score", F.round(C.fused(F.col("content"), share, conf, times), 9)).drop("packed", "max_count", "mentions", "confidence", "said")
+    joined = C.with_social(rows, comments, settings)
+    return joined.withColumn("score", F.round(C.fused(F.col("content"), F.col("social"), F.col("confidence"), F.col("multiplier")), 9)).drop("social", "confidence", "multiplier")
 
 
 def _content(found: DataFrame, frames: DataFrame | None, gaps: DataFrame | None, settings: Settings) -> DataFrame:

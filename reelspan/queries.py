@@ -117,15 +117,13 @@ def _grid(comments: DataFrame) -> DataFrame:
 @query(O.sql(O.CLUSTERS + "," + O.GRID, "SELECT g.video_id, g.start_s, round(least(1.0::DOUBLE, coalesce(max(c.count), 0)::DOUBLE / any_value(m.most)), 6) AS social FROM grid g LEFT JOIN clu c ON c.video_id = g.video_id AND c.center_s BETWEEN g.start_s AND g.end_s LEFT JOIN (SELECT video_id, max(count) AS most FROM clu GROUP BY 1) m ON m.video_id = g.video_id GROUP BY g.video_id, g.start_s", True))
 def social_scores(spark, sf_dir):
     comments = X.event_comments(spark, sf_dir)
-    rows = _grid(comments).join(C.social_rows(comments), "video_id", "left")
-    return rows.select("video_id", "start_s", r6(C.social_score(F.col("clusters"), F.col("max_count"), F.col("start_s"), F.col("end_s"))).alias("social"))
+    return C.with_social(_grid(comments), comments, CORPUS).select("video_id", "start_s", r6("social").alias("social"))
 
 
 @query(O.sql(O.COMMENTS + "," + O.GRID, "SELECT video_id, start_s, CASE WHEN n > 0 AND s::DOUBLE / n > 0.3 THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END AS multiplier FROM (SELECT g.video_id, g.start_s, count(DISTINCT m.comment_id) AS n, count(DISTINCT CASE WHEN contains(m.text, 'purchase') THEN m.comment_id END) AS s FROM grid g LEFT JOIN men m ON m.video_id = g.video_id AND m.ts BETWEEN g.start_s - 5 AND g.end_s + 5 GROUP BY ALL)"))
 def sponsor_multiplier(spark, sf_dir):
     comments = X.event_comments(spark, sf_dir)
-    rows = _grid(comments).join(C.sponsor_rows(comments, CORPUS.sponsor_keywords), "video_id", "left")
-    return rows.select("video_id", "start_s", F.coalesce(C.sponsor_multiplier(F.col("said"), F.col("start_s"), F.col("end_s")), F.lit(1.0)).alias("multiplier"))
+    return C.with_social(_grid(comments), comments, CORPUS).select("video_id", "start_s", "multiplier")
 
 
 # Windows and detection
@@ -208,14 +206,29 @@ def final_moments(spark, sf_dir):
     return D.detect(X.document_segments(spark, sf_dir), settings=CORPUS).withColumn("score", r6("score"))
 
 
-@query()
+_TAIL = _REFINED[len(_PICKED + "," + O.greedy("src", 6, "nms")) :]
+_FULL = ",".join(
+    [
+        O.SCORED, O.CLUSTERS, O.GAPS, O.audio_features("ws", "wa"), f"\nwc AS (SELECT video_id, anchor, len_idx, start_s, end_s, timeline_end, {O.full_content()} AS content FROM wa)", O.social_fused("wc", "full_", "purchase"),
+        "\nsrc AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, start_s, anchor, len_idx) AS n FROM full_ WHERE score >= 0.2)", O.greedy("src", 6, "nms"),
+    ]
+) + _TAIL + _FINAL[len(_REFINED) : _FINAL.index("\nfin0 AS")] + ",".join(
+    [
+        O.audio_features("rs", "ra"), f"\nrc AS (SELECT video_id, n0, anchor, len_idx, start_s, end_s, {O.full_content()} AS content FROM ra)", O.social_fused("rc", "fin0", "purchase"),
+        "\nfin AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, start_s, n0) AS n FROM fin0)", O.greedy("fin", 3, "last_"), O.audio_final("purchase", "video_id NOT IN (SELECT video_id FROM seg)"),
+    ]
+)
+_RANKED = "SELECT f.video_id, row_number() OVER (PARTITION BY f.video_id ORDER BY f.n)::INTEGER AS rank, f.start_s, f.end_s, round(f.score, 6) AS score FROM {} JOIN {} f USING (video_id, n)"
+
+
+@query(O.sql(_FULL, _RANKED.format("last_", "fin") + " UNION ALL " + _RANKED.format("alast", "afin"), True))
 def detect_full(spark, sf_dir):
     """Detection by transcripts, comments and audio; ids that are both a document's and a user's have all three."""
     low = replace(CORPUS, min_clip_score=0.2)
     return D.detect(X.document_segments(spark, sf_dir), X.event_comments(spark, sf_dir), X.event_frames(spark, sf_dir), low).withColumn("score", r6("score"))
 
 
-@query()
+@query(O.sql(O.GAPS + "," + O.audio_final(), "SELECT f.video_id, row_number() OVER (PARTITION BY f.video_id ORDER BY f.n)::INTEGER AS rank, f.start_s, f.end_s, round(f.score, 6) AS score FROM alast JOIN afin f USING (video_id, n)", True))
 def detect_audio_only(spark, sf_dir):
     return D.detect_audio(X.event_frames(spark, sf_dir), None, replace(CORPUS, min_clip_score=0.2)).withColumn("score", r6("score"))
 
