@@ -104,6 +104,17 @@ class PieceTransducer:
         self.by_part = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
+        place = {w: 2 * k for k, w in enumerate(sorted(set(self.weight.values())))}
+        self.rank = {p: place[w] for p, w in self.weight.items()}
+        self.halves: dict[str, list[str]] = {}
+        self.late: set[str] = set()
+        #: Of each string that a piece begins with the longest piece that is alone and begins it, or its first character.
+        self.longest_in: dict[str, str] = {}
+        for p in sorted(self.ids, key=len) if self.bpe else ():
+            for k in range(2, len(p) + 1):
+                if p[:k] not in self.longest_in:
+                    self.longest_in[p[:k]] = p[:k] if p[:k] in self.ids and self.alone(p[:k]) else self.longest_in.get(p[: k - 1], p[0])
+        self.ids_of: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
         self.most = most
         self.text_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.pieces]
@@ -123,38 +134,94 @@ class PieceTransducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def apart(self, left: str, right: str) -> bool:
+        """Whether no merge crosses from ``left`` to ``right``: the merges that made both are undone, the latest first, and between
+        them the pieces at the edges must not be one that would have been merged before. Ranks are even, ties go to the left."""
+        rank, halves = self.rank, self.halves
+        a = rank[left] if len(left) > 1 else -1
+        b = rank[right] if len(right) > 1 else -1
+        limit = math.inf
+        while True:
+            if rank.get(left + right, math.inf) < limit:
+                return False
+            if a > b:
+                limit, left = a, halves[left][1]
+                a = rank[left] if len(left) > 1 else -1
+            elif b >= 0:
+                limit, right = b + 1, halves[right][0]
+                b = rank[right] if len(right) > 1 else -1
+            else:
+                return True
+
     def allowed(self, left: str, right: str) -> bool:
-        """Whether the BPE arc from ``left`` to ``right`` exists."""
+        """Whether the BPE arc from ``left`` to ``right``, each alone one piece, exists."""
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > self.most:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == [left, right]
+            known = self.apart(left, right) if left not in self.late and right not in self.late else self.merged(left + right) == [left, right]
+            self.pairs[key] = known
         return known
 
     def alone(self, piece: str) -> bool:
+        """Whether a piece of the table is the encoding of its own text. The halves that it was merged from are kept, and in ``late``
+        those that have a half, or a half's half, which ranks behind: of these the order of merges isn't that of ranks."""
         known = self.whole.get(piece)
         if known is None:
-            known = self.whole[piece] = len(piece) == 1 or self.merged(piece) == [piece]
+            halves = self.merged(piece, 2)
+            known = self.whole[piece] = len(halves) == 2
+            if known:
+                self.halves[piece] = halves
+                long = [h for h in halves if len(h) > 1]
+                known = all([self.alone(h) for h in long])  # always, but it fills the table
+                if any(h in self.late or self.rank[h] >= self.rank[piece] for h in long):
+                    self.late.add(piece)
         return known
 
+    def bpe_path(self, s: str) -> list[str]:
+        """The one path of finite weight, depth first and longest arcs first. As at most one such path leads to a position, one
+        from which none goes on is left for good."""
+        n, at, left, out, dead = len(s), 0, None, [], set()
+        longest, known, allowed = self.longest_in.get, self.pairs.get, self.allowed
+        while at < n:
+            piece, end = s[at], at + 2
+            if at + 4 <= n and (p := longest(s[at : at + 4])):  # most arcs are about as long
+                piece, end = p, at + 5
+            while end <= n and (p := longest(s[at:end])):
+                piece = p
+                end += 1
+            while True:
+                end = at + len(piece)
+                if end not in dead and (left is None or known((left, piece)) or allowed(left, piece)):
+                    out.append(piece)
+                    at, left = end, piece
+                    break
+                if len(piece) > 1:
+                    piece = self.longest_in.get(piece[:-1], piece[0])
+                elif out:
+                    dead.add(at)
+                    piece = out.pop()
+                    at -= len(piece)
+                    left = out[-1] if out else None
+                else:
+                    raise AssertionError("no path")
+        return out
+
     def shortest_path(self, s: str) -> list[str]:
         """The pieces on the path of least weight through input ∘ pieces; characters in no piece stand alone."""
+        if self.bpe:
+            return self.bpe_path(s)
         n = len(s)
         cost, back = [math.inf] * (n + 1), [""] * (n + 1)
         cost[0] = 0.0
-        worst = min((-w for w in self.weight.values()), default=0.0) - 10.0 if not self.bpe else 0.0
+        worst = min((-w for w in self.weight.values()), default=0.0) - 10.0
         for b in range(1, n + 1):
             for a in range(b - 1, max(-1, b - 1 - self.longest), -1):
                 if cost[a] == math.inf:
                     continue
                 piece = s[a:b]
-                if self.bpe:
-                    if (piece in self.weight or b - a == 1) and self.alone(piece) and (a == 0 or self.allowed(back[a], piece)):
-                        cost[b], back[b] = cost[a], piece
-                        break  # one path at most has a finite weight
-                elif piece in self.weight or b - a == 1:
+                if piece in self.weight or b - a == 1:
                     w = cost[a] + self.weight.get(piece, -worst)
                     if w < cost[b]:
                         cost[b], back[b] = w, piece
@@ -173,18 +240,27 @@ class PieceTransducer:
             return [piece]
         return [x for half in self.merged(piece, 2) for x in self.used(half)]
 
+    def _ids(self, piece: str) -> bytes:
+        """The ids that a piece of a path is written as."""
+        known = self.ids_of.get(piece)
+        if known is None:
+            ids: list[int] = []
+            for x in self.used(piece):
+                if x in self.ids:
+                    ids.append(self.ids[x])
+                elif self.byte:
+                    ids += [self.byte[c] for c in x.encode()]
+                else:
+                    ids.append(self.unknown)
+            known = self.ids_of[piece] = np.array(ids, "<u4").tobytes()
+        return known
+
     def _part(self, part: str) -> bytes:
-        ids: list[int] = []
-        cut = self.users.split(part) if self.users else [part]
-        found = (p for k, x in enumerate(cut) if x for p in ([x] if k % 2 else self.shortest_path(x)))
-        for piece in (x for p in found for x in self.used(p)):
-            if piece in self.ids:
-                ids.append(self.ids[piece])
-            elif self.byte:
-                ids += [self.byte[x] for x in piece.encode()]
-            else:
-                ids.append(self.unknown)
-        return np.array(ids, "<u4").tobytes()
+        if self.users and self.users.search(part):
+            found = [p for k, x in enumerate(self.users.split(part)) if x for p in ([x] if k % 2 else self.shortest_path(x))]
+        else:
+            found = self.shortest_path(part)
+        return b"".join(map(self._ids, found))
 
     def encode_raw(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
