@@ -86,9 +86,29 @@ def ratio(x: Column, base: Column) -> Column:
     return F.when(base == 0, 0.0).otherwise(x / base)
 
 
+def signal_features(y: np.ndarray, lo: int, n: int, first: int, until: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """frame_idx, rms, zcr of the frames ``first`` to ``until`` of a signal of ``n`` samples, of which ``y`` holds those from ``lo``
+    on that these frames reach, in slices. A frame is the 2048 samples around its hop. Beyond the signal's edges RMS takes
+    zeros, the zero-crossing rate the edge's sample; for the latter values up to 1e-10 count as zero, which has the sign of
+    what is positive, and a frame's crossings are divided by all its samples."""
+    if first >= until:
+        return
+    start = first * HOP - FRAME // 2
+    before, after = max(0, -start), max(0, (until - 1) * HOP + FRAME // 2 - n)
+    y = y[max(0, start) - lo :]
+    squares = np.pad(y.astype(np.float64) ** 2, (before, after))
+    below = np.pad(y < -1e-10, (before, after), mode="edge")
+    crossed = np.concatenate([[0], np.cumsum(below[1:] != below[:-1])])
+    for a in range(first, until, 1024):
+        at = np.arange(a, min(until, a + 1024))
+        begin = (at - first) * HOP
+        block = np.lib.stride_tricks.sliding_window_view(squares, FRAME)[begin]
+        yield at, np.sqrt(block.mean(1)), (crossed[begin + FRAME - 1] - crossed[begin]) / FRAME
+
+
 def frame_features(audio: DataFrame) -> DataFrame:
-    """video_id, frame_idx, t, rms, zcr from audio(video_id, pcm binary: mono 32-bit float samples at 16 kHz), by frames of 2048
-    samples centred on each hop; a video's samples are one cell and its frames leave in slices."""
+    """video_id, frame_idx, t, rms, zcr from audio(video_id, pcm binary: mono 32-bit float samples at 16 kHz), for clips that fit
+    into one cell; ``recordings`` reads whole files by ranges."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -96,13 +116,7 @@ def frame_features(audio: DataFrame) -> DataFrame:
         for pdf in batches:
             for video, pcm in zip(pdf.video_id, pdf.pcm, strict=True):
                 y = np.frombuffer(pcm or b"", "<f4")
-                padded = np.pad(y, FRAME // 2)
-                n = 1 + len(y) // HOP if len(y) else 0
-                for a in range(0, n, 8192):
-                    at = np.arange(a, min(n, a + 8192))
-                    block = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[np.minimum(at * HOP, len(padded) - FRAME)]
-                    sign = np.signbit(block)
-                    zcr = (sign[:, 1:] != sign[:, :-1]).mean(1)
-                    yield pd.DataFrame({"video_id": video, "frame_idx": at.astype("int32"), "t": at * HOP / RATE, "rms": np.sqrt((block.astype(float) ** 2).mean(1)), "zcr": zcr})
+                for at, rms, zcr in signal_features(y, 0, len(y), 0, 1 + len(y) // HOP if len(y) else 0):
+                    yield pd.DataFrame({"video_id": video, "frame_idx": at.astype("int32"), "t": at * HOP / RATE, "rms": rms, "zcr": zcr})
 
     return audio.select("video_id", "pcm").mapInPandas(run, "video_id long, frame_idx int, t double, rms double, zcr double")

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelspan import oracle as O
@@ -101,8 +101,6 @@ def timestamp_clusters(spark, sf_dir):
 
 @query(O.sql(O.CLUSTERS, "SELECT video_id, round(center_s, 6) AS center_s, count, rank FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY count DESC, start_s) AS rank FROM clu) WHERE rank <= 3", True))
 def top_clusters(spark, sf_dir):
-    from pyspark.sql import Window
-
     order = Window.partitionBy("video_id").orderBy(F.desc("count"), "start_s")
     return C.clusters(X.event_comments(spark, sf_dir)).withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("video_id", r6("center_s").alias("center_s"), "count", "rank")
 
@@ -293,10 +291,33 @@ def per_second_energy(spark, sf_dir):
     return A.per_second(X.event_frames(spark, sf_dir)).withColumn("energy", r6("energy"))
 
 
+@query("""WITH h AS (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, (event_id * 37 % 401 - 200) * 50 AS v FROM events WHERE user_id IS NOT NULL),
+s AS (SELECT video_id, k, v FROM h UNION ALL SELECT video_id, max(k) + 1, NULL FROM h GROUP BY video_id),
+f AS (SELECT video_id, k, v, lag(v, 2) OVER w AS a, lag(v, 1) OVER w AS b, lead(v, 1) OVER w AS d, first_value(v) OVER w AS first FROM s WINDOW w AS (PARTITION BY video_id ORDER BY k)),
+g AS (SELECT *, coalesce(a, first) < 0 AS na, coalesce(b, first) < 0 AS nb FROM f),
+e AS (SELECT *, coalesce(v < 0, nb) AS nv, coalesce(d < 0, v < 0, nb) AS nd FROM g)
+SELECT video_id, k::INTEGER AS frame_idx, k * 512 / 16000.0::DOUBLE AS t,
+  round(sqrt((coalesce(a * a, 0) + coalesce(b * b, 0) + coalesce(v * v, 0) + coalesce(d * d, 0)) / 4.0::DOUBLE) / 32768, 9) AS rms,
+  ((na <> nb)::INTEGER + (nb <> nv)::INTEGER + (nv <> nd)::INTEGER) / 2048.0::DOUBLE AS zcr FROM e""")
+def recording_frames(spark, sf_dir):
+    """Recordings, one a user with a hop of equal samples for each event, written and then read back as frames by ranges."""
+    from reelspan.sources import recordings
+    from reelspan.sources.stores import shared_folder
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = X.table(spark, sf_dir, "events").where("user_id IS NOT NULL")
+    word = F.pmod((F.col("event_id") * 37 % 401 - 200) * 50, F.lit(65536))
+    raw = F.unhex(F.repeat(F.concat(F.lpad(F.hex(word % 256), 2, "0"), F.lpad(F.hex(F.floor(word / 256)), 2, "0")), A.HOP))
+    parts = events.select(F.col("user_id").alias("video_id"), F.row_number().over(w).cast("long").alias("part"), raw.alias("pcm"))
+    folder = f"{shared_folder(spark).rstrip('/')}/recordings-{uuid.uuid4().hex}"
+    recordings.write_recordings(parts, f"{folder}/wav").write.parquet(f"{folder}/files")
+    files = spark.read.parquet(f"{folder}/files")
+    rows = recordings.frames(recordings.headers(files)).join(files, "path")
+    return rows.select("video_id", "frame_idx", "t", F.round("rms", 9).alias("rms"), "zcr")
+
+
 @query(O.sql(_SECONDS + ", base AS (SELECT video_id, coalesce(median(CASE WHEN energy > 0 THEN energy END), 0) AS baseline FROM sec GROUP BY video_id)", "SELECT video_id, second, rank, round(energy, 6) AS energy, round(CASE WHEN baseline = 0 THEN 0 ELSE energy / baseline END, 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY energy DESC, second)::INTEGER AS rank FROM sec) JOIN base USING (video_id) WHERE rank <= 5"))
 def loudest_seconds(spark, sf_dir):
-    from pyspark.sql import Window
-
     seconds = A.per_second(X.event_frames(spark, sf_dir))
     order = Window.partitionBy("video_id").orderBy(F.desc("energy"), "second")
     rows = seconds.withColumn("rank", F.row_number().over(order)).where("rank <= 5").join(A.baselines(seconds), "video_id")
