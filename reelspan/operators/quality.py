@@ -6,23 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.functions import text as T
+from reelspan.operators.report import signals_in_range
 
 
-def clip_checks(clips: DataFrame) -> DataFrame:
-    """PASS, WARN or FAIL of each check of clips(start_s, end_s, score, duration, snippet)."""
+def clip_checks(clips: DataFrame, signals: tuple[str, ...] = ()) -> DataFrame:
+    """PASS, WARN or FAIL of each check of clips(start_s, end_s, score, duration, snippet). With ``signals``, columns of
+    ``clips``, signal_check tells whether all of them lie in [0, 1]."""
     length = F.col("end_s") - F.col("start_s")
     ok = lambda c, bad="FAIL": F.when(c, "PASS").otherwise(bad)
-    return clips.withColumns({
+    more = {"signal_check": signals_in_range(list(signals))} if signals else {}
+    return clips.withColumns(more | {
         "score_check": ok(F.col("score").between(0, 1)), "order_check": ok(F.col("start_s") < F.col("end_s")), "length_check": ok(length.between(15, 90), "WARN"),
         "bounds_check": ok((F.col("start_s") >= 0) & (F.col("end_s") <= F.col("duration") + 5)), "snippet_check": ok(F.coalesce("snippet", F.lit("")) != "", "WARN"),
     })
 
 
-CHECKS = ("score_check", "order_check", "length_check", "bounds_check", "snippet_check")
+CHECKS = ("score_check", "order_check", "length_check", "bounds_check", "snippet_check", "signal_check")
 
 
 def tally(checked: DataFrame, keys: list[str]) -> DataFrame:
-    every = checked.select(*keys, F.explode(F.array(*CHECKS)).alias("v"))
+    every = checked.select(*keys, F.explode(F.array(*[c for c in CHECKS if c in checked.columns])).alias("v"))
     found = every.groupBy(*keys).agg(*[F.count_if(F.col("v") == x).alias(x.lower()) for x in ("PASS", "WARN", "FAIL")])
     return found.withColumn("overall", F.when(F.col("fail") > 0, "FAIL").when(F.col("warn") > 0, "WARN").otherwise("PASS"))
 

@@ -11,10 +11,11 @@ from reelspan.functions.text import escape_filter_path
 CROP = "min(iw\\,ih*9/16):min(ih\\,iw*16/9)"
 ZOOM = f"scale=iw*1.15:ih*1.15,crop={CROP}"
 CROP_BIAS = {"left": "0", "center": "(iw-ow)/2", "right": "iw-ow"}
-FACECAM = {"w": 0.25, "h": 0.35, "x": 0.75, "y": 0.65}
+FACECAM = {"width_ratio": 0.25, "height_ratio": 0.35, "x_ratio": 0.75, "y_ratio": 0.65}
 SCALE = "scale=608:1080"
 BACKDROP = "[0:v]scale=608:1080:force_original_aspect_ratio=increase,crop=608:1080,gblur=sigma=20[bg];[0:v]scale=608:-2[fg];[bg][fg]overlay=(W-w)/2:(H-h)/2[base];"
-FACECAM_LAYER = "[0:v]crop=iw*{w}:ih*{h}:iw*{x}:ih*{y},scale=182:-2[cam];[base][cam]overlay=W-w-20:H-h-20[vout]"
+FACECAM_CROP = ("[0:v]crop=iw*", ":ih*", ":iw*", ":ih*")
+FACECAM_LAYER = ",scale=182:-2[cam];[base][cam]overlay=W-w-20:H-h-20[vout]"
 IRL_COLOUR = "eq=contrast=1.05:saturation=1.15"
 ENCODE = "-c:v h264_videotoolbox -b:v 8M"
 MIX = "[m];[0:a][m]amix=inputs=2:duration=first:dropout_transition=0[aout]"
@@ -36,22 +37,30 @@ def music_volume(name: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in VOLUMES.items() for x in kv]), F.lower(F.coalesce(name, F.lit(""))))
 
 
-def filter_args(name: Column, bias: Column) -> Column:
-    """The video filter of a clip as one argument text."""
-    p, f = profile(name), FACECAM
+def facecam_crop(region: Column | None = None) -> Column:
+    """The crop of the face camera by a struct of ratios of the source's size (width_ratio, height_ratio, x_ratio, y_ratio);
+    the default where there is no struct, or for a ratio that is null."""
+    ratio = lambda k: F.lit(FACECAM[k]) if region is None else F.coalesce(region[k].cast("double"), F.lit(FACECAM[k]))
+    return F.concat(*[x for head, k in zip(FACECAM_CROP, FACECAM, strict=True) for x in (F.lit(head), ratio(k).cast("string"))])
+
+
+def filter_args(name: Column, bias: Column, facecam: Column | None = None) -> Column:
+    """The video filter of a clip as one argument text; ``facecam`` is the region of ``facecam_crop``."""
+    p = profile(name)
     x = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in CROP_BIAS.items() for v in kv]), F.coalesce(bias, F.lit("center"))), F.lit(CROP_BIAS["center"]))
-    layered = f"-filter_complex {BACKDROP}{FACECAM_LAYER.format(**f)} -map [vout] -map 0:a?"
+    layered = F.concat(F.lit(f"-filter_complex {BACKDROP}"), facecam_crop(facecam), F.lit(f"{FACECAM_LAYER} -map [vout] -map 0:a?"))
     out = F.when(p == "gaming", layered).when(p == "interview", F.concat(F.lit(f"-vf {ZOOM}:"), x, F.lit(f":0,{SCALE}")))
     return out.when(p == "irl", f"-vf {ZOOM},{SCALE},{IRL_COLOUR}").otherwise(f"-vf {ZOOM},{SCALE}")
 
 
 def _command(*parts: Column | str) -> Column:
-    return F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p for p in ("ffmpeg -y", *parts)])
+    """The parts in one text; null where one of them is."""
+    return F.concat(F.lit("ffmpeg -y"), *[x for p in parts for x in (F.lit(" "), F.lit(p) if isinstance(p, str) else p)])
 
 
-def trim_command(source: Column, start: Column, end: Column, out: Column, name: Column, bias: Column) -> Column:
+def trim_command(source: Column, start: Column, end: Column, out: Column, name: Column, bias: Column, facecam: Column | None = None) -> Column:
     """Cut, crop to the profile and encode; null where the end is not after the start."""
-    text = _command("-ss", F.format_string("%.3f", start), "-i", source, "-t", F.format_string("%.3f", end - start), filter_args(name, bias), ENCODE, "-c:a aac", out)
+    text = _command("-ss", F.format_string("%.3f", start), "-i", source, "-t", F.format_string("%.3f", end - start), filter_args(name, bias, facecam), ENCODE, "-c:a aac", out)
     return F.when(end > start, text)
 
 
@@ -79,17 +88,18 @@ def trim_length(duration: Column, most: float = 60.0) -> Column:
 
 
 def render_plan(clips: DataFrame, style: str = "Bold=1,Outline=2") -> DataFrame:
-    """clips(job_id, clip_no, start_s, end_s, profile, and crop_bias if there is one) with the names, steps and commands of each clip."""
+    """clips(job_id, clip_no, start_s, end_s, profile, and crop_bias and facecam_region if there are such) with the names, steps and commands of each clip."""
     p, bias = profile(F.col("profile")), F.col("_bias")
     name = lambda kind: F.concat(F.lit("clip_"), F.col("clip_no").cast("string"), F.lit(f"_{kind}.mp4"))
-    rows = clips.select("job_id", "clip_no", p.alias("profile"), name("edited").alias("edited"), name("captioned").alias("captioned"), name("final").alias("final"), "start_s", "end_s", (F.col("crop_bias") if "crop_bias" in clips.columns else F.lit(None).cast("string")).alias("_bias"))
+    rows = clips.select("job_id", "clip_no", p.alias("profile"), name("edited").alias("edited"), name("captioned").alias("captioned"), name("final").alias("final"), "start_s", "end_s", (F.col("crop_bias") if "crop_bias" in clips.columns else F.lit(None).cast("string")).alias("_bias"), *([F.col("facecam_region").alias("_cam")] if "facecam_region" in clips.columns else []))
+    cam = F.col("_cam") if "_cam" in rows.columns else None
     vol, length = music_volume(F.col("profile")), F.col("end_s") - F.col("start_s")
     captions = should_caption(F.col("profile"))
     shown = F.when(captions, F.col("captioned")).otherwise(F.col("edited"))
-    trim = trim_command(F.lit("raw.mp4"), F.col("start_s"), F.col("end_s"), F.col("edited"), F.col("profile"), bias)
+    trim = trim_command(F.lit("raw.mp4"), F.col("start_s"), F.col("end_s"), F.col("edited"), F.col("profile"), bias, cam)
     burn = F.when(captions, burn_command(F.col("edited"), F.concat(F.lit("clip_"), F.col("clip_no").cast("string"), F.lit(".srt")), F.lit(style), F.col("captioned")))
     mix = music_command(shown, F.concat(F.col("profile"), F.lit(".mp3")), length, vol, F.col("final"))
-    return rows.select("*", captions.alias("captions"), vol.isNotNull().alias("music"), trim.alias("trim"), burn.alias("burn"), mix.alias("mix"), trim_length(length).alias("length")).drop("_bias")
+    return rows.select("*", captions.alias("captions"), vol.isNotNull().alias("music"), trim.alias("trim"), burn.alias("burn"), mix.alias("mix"), trim_length(length).alias("length")).drop("_bias", "_cam")
 
 
 def crop_geometry(sizes: DataFrame) -> DataFrame:

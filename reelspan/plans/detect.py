@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspan.operators import audio as A
+from reelspan.operators import quality as Q
 from reelspan.operators import refine as R
 from reelspan.operators import social as C
 from reelspan.operators import windows as W
@@ -79,6 +80,17 @@ def score_window(segments: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     return _content(W.signals(W.texts_inside(rows)), None, None, settings).select("video_id", "start_s", "end_s", F.round("content", 9).alias("score"))
 
 
+def clip_report(clips: DataFrame, segments: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """clips(video_id, start_s, end_s, and score if there is one) with their signals, recomputed from the segments, snippet and checks
+    (``quality.clip_checks``). Without a score the content's is taken; the duration is the last segment's end, null for a
+    video without segments, whose bounds then fail."""
+    rows = clips.join(W.timeline(segments).withColumnRenamed("timeline_end", "duration"), "video_id", "left")
+    rows = W.signals(W.texts_inside(rows.withColumn("segs", F.coalesce("segs", F.array().cast(rows.schema["segs"].dataType))))).drop("segs")
+    score = F.col("score") if "score" in clips.columns else F.round(W.content_score(settings), 9)
+    rows = rows.withColumns({"score": score, "snippet": F.substring(F.trim("text"), 1, 200)}).drop("text")
+    return Q.clip_checks(rows, W.SIGNALS)
+
+
 def snippets(clips: DataFrame, segments: DataFrame, most: int = 200) -> DataFrame:
     """clips(video_id, start_s, end_s, ...) with the text of the segments that they overlap, cut to ``most`` characters."""
     rows = clips.join(W.timeline(segments).select("video_id", "segs"), "video_id", "left")

@@ -23,9 +23,10 @@ from reelspan.operators import windows as W
 from reelspan.plans import detect as D
 from reelspan.settings import DEFAULTS, STAGES, TRANSITIONS
 from reelspan.sources import adapters as X
+from reelspan.sources import stores as B
 
 #: The driver's invented prose seldom reaches the default threshold.
-CORPUS = replace(DEFAULTS, min_clip_score=0.40, sponsor_keywords=("purchase",))
+CORPUS = DEFAULTS.overlay({"min_clip_score": 0.40, "sponsor_keywords": ["purchase"]})
 LEXICON = ("the", "and", "das", "que", "les", "for")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -347,6 +348,22 @@ def srt_timestamp(spark, sf_dir):
     return X.table(spark, sf_dir, "events").select("event_id", T.srt_time(F.col("value")).alias("srt"), T.clock(F.greatest("value", F.lit(0.0))).alias("clock"))
 
 
+_SPEECH = O.SEGMENTS + f""",
+sw0 AS (SELECT video_id, seg_idx, start, unnest(range(len(w))) AS i, unnest(w) AS word FROM (SELECT *, {O.tokens('text')} AS w FROM seg)),
+sw AS (SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY seg_idx, i) - 1)::INTEGER AS word_idx, word, start + i * 0.5::DOUBLE AS start, start + (i + 1) * 0.5::DOUBLE AS "end" FROM sw0 WHERE length(word) < 9)"""
+
+
+@query(O.sql(_SPEECH, 'SELECT video_id, word_idx, word, start, "end" FROM sw'))
+def speech_words(spark, sf_dir):
+    """Timed words of a speech model's nested output."""
+    return B.whisper_words(X.document_speech(spark, sf_dir))
+
+
+@query(O.sql(_SPEECH, 'SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY k)::INTEGER AS line_no, start_s, end_s, text FROM (SELECT video_id, word_idx // 4 AS k, min(start) AS start_s, max("end") AS end_s, string_agg(word, $$ $$ ORDER BY word_idx) AS text FROM sw GROUP BY ALL)'))
+def speech_captions(spark, sf_dir):
+    return K.caption_lines(B.whisper_words(X.document_speech(spark, sf_dir)), per_line=4).select("video_id", "line_no", "start_s", "end_s", "text")
+
+
 # Jobs
 
 
@@ -454,6 +471,21 @@ def clip_quality_report(spark, sf_dir):
     return Q.tally(Q.clip_checks(rows), ["job_id"])
 
 
+_CLIP_REPORT = _SPANS.replace("""sp0 AS (SELECT video_id, min_by(start, {'s': start, 'i': seg_idx}) AS start_s, max_by("end", {'s': start, 'i': seg_idx}) AS end_s FROM seg GROUP BY video_id)""",
+    "sp0 AS (SELECT doc_id AS video_id, 8.0::DOUBLE AS start_s, 20.0::DOUBLE AS end_s FROM documents)") + f""",
+sp4 AS (SELECT video_id, start_s, end_s, round({O.content()}, 9) AS score, substr(trim(text), 1, 200) AS snippet, hook, coherence, sentiment, specificity, curiosity, laughter, (SELECT max("end") FROM seg s WHERE s.video_id = sp3.video_id) AS duration FROM sp3)"""
+_YES = "CASE WHEN {} THEN 'PASS' ELSE '{}' END AS {}"
+
+
+@query(O.sql(_CLIP_REPORT, "SELECT video_id, snippet, round(score, 6) AS score, " + ", ".join([f"round({s}, 6) AS {s}" for s in W.SIGNALS] + [_YES.format(*x) for x in (
+    ("score BETWEEN 0 AND 1", "FAIL", "score_check"), ("start_s < end_s", "FAIL", "order_check"), ("end_s - start_s BETWEEN 15 AND 90", "WARN", "length_check"), ("start_s >= 0 AND end_s <= duration + 5", "FAIL", "bounds_check"),
+    ("snippet <> ''", "WARN", "snippet_check"), (" AND ".join(f"{s} BETWEEN 0 AND 1" for s in W.SIGNALS), "FAIL", "signal_check"))]) + " FROM sp4"))
+def clip_report(spark, sf_dir):
+    """A clip of each document with its recomputed signals and every check."""
+    found = D.clip_report(_doc_clips(spark, sf_dir), X.document_segments(spark, sf_dir))
+    return found.select("video_id", "snippet", *[r6(c).alias(c) for c in ("score", *W.SIGNALS)], *Q.CHECKS)
+
+
 @query(O.sql(O.CLIPS, "SELECT job_id, clip_no, round(greatest(0, least(end_s, e2) - greatest(start_s, s2)) / (end_s - start_s + e2 - s2 - greatest(0, least(end_s, e2) - greatest(start_s, s2))), 6) AS iou FROM (SELECT *, lead(start_s) OVER w AS s2, lead(end_s) OVER w AS e2 FROM clip WINDOW w AS (PARTITION BY job_id ORDER BY start_s, end_s, clip_no)) WHERE s2 IS NOT NULL"))
 def clip_iou(spark, sf_dir):
     return Q.neighbour_iou(X.line_clips(spark, sf_dir)).select("job_id", "clip_no", r6("iou").alias("iou"))
@@ -551,6 +583,17 @@ def render_plan(spark, sf_dir):
     return V.render_plan(X.line_clips(spark, sf_dir).withColumns({"profile": profile, "crop_bias": bias})).drop("start_s", "end_s")
 
 
+@query(O.sql(O.CLIPS, r"""SELECT job_id, clip_no, 'ffmpeg -y -ss ' || printf('%.3f', start_s) || ' -i raw.mp4 -t ' || printf('%.3f', end_s - start_s) || ' -filter_complex [0:v]scale=608:1080:force_original_aspect_ratio=increase,crop=608:1080,gblur=sigma=20[bg];[0:v]scale=608:-2[fg];[bg][fg]overlay=(W-w)/2:(H-h)/2[base];[0:v]crop=iw*'
+  || CASE flag WHEN 'R' THEN '0.25:ih*0.35:iw*0.75:ih*0.65' ELSE CASE clip_no % 2 WHEN 0 THEN '0.5' ELSE '0.25' END || ':ih*' || (clip_no * 0.125::DOUBLE)::VARCHAR || ':iw*0.0:ih*' || CASE flag WHEN 'A' THEN '0.65' ELSE '0.25' END END
+  || ',scale=182:-2[cam];[base][cam]overlay=W-w-20:H-h-20[vout] -map [vout] -map 0:a? -c:v h264_videotoolbox -b:v 8M -c:a aac clip_' || clip_no || '_edited.mp4' AS trim FROM clip"""))
+def facecam_plan(spark, sf_dir):
+    """Gaming clips with a region of the face camera each: none (the default), whole, or with ratios left out."""
+    no, flag = F.col("clip_no"), F.col("flag")
+    region = F.struct(F.when(no % 2 == 0, 0.5).alias("width_ratio"), (no * 0.125).alias("height_ratio"), F.lit(0.0).alias("x_ratio"), F.when(flag != "A", 0.25).alias("y_ratio"))
+    clips = X.line_clips(spark, sf_dir).withColumns({"profile": F.lit("Gaming"), "facecam_region": F.when(flag != "R", region)})
+    return V.render_plan(clips).select("job_id", "clip_no", "trim")
+
+
 @query("""WITH s AS (SELECT p_partkey, p_size * 40 + 100 AS w, p_partkey % 1900 + 100 AS h FROM part),
 c AS (SELECT *, abs(w::DOUBLE / h - 9.0::DOUBLE / 16) > 0.02::DOUBLE AS crops, CAST(trunc(h * (9.0::DOUBLE / 16)) AS INTEGER) AS cw, least(CAST(trunc(w / (9.0::DOUBLE / 16)) AS INTEGER), h) AS ch FROM s),
 d AS (SELECT *, CASE WHEN NOT crops OR cw > w THEN w ELSE cw END AS crop_w, CASE WHEN NOT crops OR cw <= w THEN h ELSE ch END AS crop_h FROM c)

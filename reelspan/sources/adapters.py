@@ -55,6 +55,16 @@ def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("video_id", "word_idx", "word", (F.col("word_idx") * SLOT_S).alias("start"), ((F.col("word_idx") + 1) * SLOT_S).alias("end"))
 
 
+def document_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """video_id, segments of a document as a speech model writes them: words with a space before them, half a second each; those
+    of nine characters or more have no end."""
+    said = document_segments(spark, sf_dir)
+    begin = lambda i: F.col("start") + i * SLOT_S
+    word = lambda w, i: F.struct(F.concat(F.lit(" "), w).alias("word"), begin(i).alias("start"), F.when(F.char_length(w) < 9, begin(i + 1)).alias("end"))
+    item = F.struct("seg_idx", "start", "end", "text", F.transform(T.tokens(F.col("text")), word).alias("words"))
+    return said.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("segments"))
+
+
 def order_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.create_map(*[F.lit(x) for x in ("O", "queued", "F", "complete", "P", "downloading")])
     stage = F.when(F.col("o_orderkey") % 4 == 0, F.lit(None).cast("string")).otherwise(F.get(F.array(*[F.lit(x) for x in ("downloading", "detecting", "editing", "captioning", "formatting")]), (F.col("o_orderkey") % 5).cast("int")))

@@ -87,6 +87,18 @@ def whisper_segments(raw: DataFrame) -> DataFrame:
     return rows.select("video_id", "seg_idx", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.trim("s.text").alias("text"))
 
 
+def whisper_words(raw: DataFrame) -> DataFrame:
+    """raw(video_id, segments: array of (..., words: array of (word, start, end))) as words(video_id, word_idx, word, start, end):
+    in the segments' order, stripped, without those that have no start or no end, numbered from 0 by video. A segment without
+    words has none, a null word is empty; a video without segments has no row."""
+    from reelspan.functions.text import strip
+
+    said = F.flatten(F.transform("segments", lambda s: F.coalesce(s["words"], F.array().cast("array<struct<word:string,start:double,end:double>>"))))
+    timed = F.filter(said, lambda w: w["start"].isNotNull() & w["end"].isNotNull())
+    rows = raw.select("video_id", F.posexplode(timed).alias("word_idx", "w"))
+    return rows.select("video_id", "word_idx", strip(F.coalesce("w.word", F.lit(""))).alias("word"), F.col("w.start").cast("double").alias("start"), F.col("w.end").cast("double").alias("end"))
+
+
 def locate_video(files: DataFrame) -> DataFrame:
     """files(job_id, path): the file named raw.mp4, else the first by path."""
     exact = F.min(F.when(F.col("path").rlike(r"(^|/)raw\.mp4$"), F.col("path")))
