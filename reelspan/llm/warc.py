@@ -97,15 +97,24 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, origin: i
         yield record([*own, ("WARC-Segment-Total-Length", len(block) if k == len(parts) else None)], part)
 
 
-def write_archives(pages: DataFrame, folder: str, segment_bytes: int = 32_768, roll_bytes: int = 1 << 28) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, segment_bytes: int = 32_768, roll_bytes: int = 1 << 28, hot: int = 1000) -> DataFrame:
     """Write ``pages(page_id, url, html)``; returns the manifest, a row for each archive that counts."""
     spark = pages.sparkSession
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), common.text_of("html").alias("html"))
     keyed = own.withColumn("key", F.unhex(F.sha2("html", 256)))
-    # The roles are found without the payloads, which then meet them by page and key: a payload of many pages is no hot key.
-    first = keyed.where("page_id is not null").groupBy("key").agg(F.min(F.struct("page_id", "url")).alias("o")).select("key", F.col("o.page_id").alias("origin"), F.col("o.url").alias("origin_url"))
-    roles = keyed.select("page_id", "key").distinct().join(first, "key", "left").withColumnsRenamed({"page_id": "p", "key": "k"})
-    roles = keyed.join(roles, (F.col("key") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("p")), "left").select("page_id", "url", F.col("html").cast("binary").alias("payload"), "origin", "origin_url")
+    # Origins are found without the payloads, for payloads of two rows or more alone. Those of more than a thousandth of all rows
+    # (fewer than 1000) are broadcast; the others' pages meet their origin by key, and then the payloads meet both by page and
+    # key. A row of a frequent payload meets nothing there, so it is dealt by a number: none of the joins has a hot key.
+    held = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    first = keyed.groupBy("key").agg(F.min(held).alias("o"), F.count("*").alias("copies")).where("copies > 1 AND o IS NOT NULL")
+    first = common.staged(first.select("key", F.struct(F.col("o.page_id").alias("origin"), F.col("o.url").alias("origin_url")).alias("o"), "copies"), "warc-origins")
+    many = F.col("copies") * hot > own.count()
+    top = first.where(many).select("key", F.col("o").alias("top"))
+    light = keyed.select("page_id", "key").join(F.broadcast(top), "key", "left_anti").join(first.where(~many).select("key", "o"), "key").distinct()
+    light = light.select(F.col("page_id").alias("p"), F.col("key").alias("k"), "o")
+    dealt = keyed.join(F.broadcast(top), "key", "left").withColumn("spread", F.when(F.col("top").isNotNull(), F.monotonically_increasing_id()).otherwise(F.col("page_id")))
+    roles = dealt.join(light, (F.col("key") == F.col("k")) & F.col("spread").eqNullSafe(F.col("p")), "left")
+    roles = roles.select("page_id", "url", F.col("html").cast("binary").alias("payload"), F.coalesce("top", "o").alias("o")).select("page_id", "url", "payload", "o.*")
     schema = pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +144,7 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = 32_768, r
     return common.staged(roles.mapInArrow(write, MANIFEST), "warc-manifest")
 
 
-def members(source, step: int = 1 << 20) -> Iterator[bytes]:
+def members(source, step: int = 1 << 16) -> Iterator[bytes]:
     """The gzip members of a file, one after another, each as bytes; holds one member and a read."""
     raw, inflate, held = b"", zlib.decompressobj(31), []
     while True:
@@ -189,7 +198,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         def rows() -> Iterator[tuple]:
             for b in common.sliced(batches):
                 for path in b.column("path").to_pylist():
-                    with fs.open_input_file(path) as source:
+                    with fs.open_input_stream(path, compression=None, buffer_size=1 << 20) as source:
                         for member in members(source):
                             f, block = parse(member)
                             if f["warc-type"] not in ("response", "revisit", "continuation"):
@@ -242,7 +251,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     return whole.unionByName(segments.mapInArrow(join, PAGES))
 
 
-def archive(pages: DataFrame) -> DataFrame:
-    """Write the archives of ``pages`` and read them back."""
+def archive(pages: DataFrame, hot: int = 1000) -> DataFrame:
+    """Write the archives of ``pages`` and read them back. A payload of more than 1/``hot`` of all rows is a frequent one."""
     folder = common.shared_dir(pages.sparkSession, "warc")
-    return read_archives(write_archives(pages, folder), folder)
+    return read_archives(write_archives(pages, folder, hot=hot), folder)

@@ -128,6 +128,20 @@ def test_op8_rows(spark):
     assert warc.archive(pages.where("page_id = 77")).count() == 0
 
 
+def test_op8_frequent_payloads(spark):
+    """Frequent and rare payloads, ids that are null in bulk: the same roles whatever counts as frequent."""
+    rows = [(k, "error") for k in range(1000, 1600)] + [(None, "error")] * 300 + [(None, "alone")] * 40 + [(k, f"p{k // 3}") for k in range(900)] + [(2000, "one")]
+    want = Counter()
+    for page, html in rows:
+        same = [p for p, h in rows if h == html and p is not None]
+        first = min(same, default=None)
+        want[page, len(html), "response" if first in (None, page) else "revisit", None if first == page else first] += 1
+    pages = spark.createDataFrame(rows, "page_id long, html string").selectExpr("page_id", "'u' AS url", "html")
+    for hot in (1, 10, 1000):
+        got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive(pages, hot).collect())
+        assert got == want, hot
+
+
 def test_stages(spark, odd, tmp_path):
     """Stages keep the columns, whatever their names, and take a table without rows."""
     import corpus_pipeline
