@@ -55,6 +55,22 @@ def discard(*tables: DataFrame) -> None:
     tables[0].sparkSession._jvm.System.gc()
 
 
+def meet(rows: DataFrame, facts: DataFrame, keys: list[str], total: int, hot: int = 1000, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``facts``, whose keys are unique and whose column copies counts the rows of a key. Keys of more than
+    1/``hot`` of ``total`` rows, fewer than ``hot``, are broadcast; their rows go through the join of the others dealt by a number, so no
+    key is more than that share of a task's rows. Where ``how`` is "left", rows without a fact stay."""
+    many, value = F.col("copies") * hot > total, F.struct(*[c for c in facts.columns if c not in (*keys, "copies")])
+    top = facts.where(many).select(*keys, value.alias("_top"))
+    rest = facts.where(~many).select(*[F.col(k).alias(f"_{k}") for k in keys], value.alias("_rest"))
+    dealt = rows.join(F.broadcast(top), keys, "left").withColumn("_cold", F.col("_top").isNull())
+    dealt = dealt.withColumn("_deal", F.when(F.col("_cold"), F.col(keys[0])).otherwise(F.monotonically_increasing_id()))
+    on = (F.col("_deal") == F.col(f"_{keys[0]}")) & F.col("_cold")
+    for k in keys[1:]:
+        on = on & (F.col(k) == F.col(f"_{k}"))
+    found = dealt.join(rest, on, "left").select(*rows.columns, F.coalesce("_top", "_rest").alias("_fact"))
+    return (found.where("_fact IS NOT NULL") if how == "inner" else found).select(*rows.columns, "_fact.*")
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Batches of at most so many rows, so that what a worker makes of long texts at once stays small."""
     for b in batches:

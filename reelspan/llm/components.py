@@ -27,6 +27,7 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
         small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = common.staged(small, "links")
         same = after.join(held, ["u", "v"], "left_anti").isEmpty() and held.join(after, ["u", "v"], "left_anti").isEmpty()
+        common.discard(held)
         held = after
         if same:
             break

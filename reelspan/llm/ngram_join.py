@@ -32,7 +32,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspan.llm import common
@@ -134,15 +134,23 @@ def candidate_lists(sets: DataFrame, t: Fraction) -> DataFrame:
     """token, rep, n, head of every index list with two classes or more; head is the smallest class of the list."""
     reps = sets.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("r")).select("r.doc_id", "r.n", "r.prefix")
     posts = reps.select(F.col("doc_id").alias("rep"), "n", F.explode("prefix").alias("token"))
-    by_token = Window.partitionBy("token")
-    shared = posts.withColumn("c", F.count("*").over(by_token)).where("c > 1")
+    # Counts by token are partial sums, met by the postings: no task holds the postings of a frequent shingle.
+    often = common.staged(posts.groupBy("token").agg(F.count("*").alias("copies")).where("copies > 1"), "join-often")
+    shared = common.meet(posts, often.withColumn("c", F.col("copies")), ["token"], _total(often))
     k = F.expr(f"cast((cast(n as bigint) * {t.numerator} + {t.denominator - 1}) div {t.denominator} as int)")
     # Shingles that one prefix alone holds come first; they are not sent, but they count.
     alone = F.col("n") - k + F.greatest(F.lit(1), (k / 16).cast("int")) - F.size("held")
     kept = shared.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("held"))
     kept = kept.select("rep", "n", F.explode(F.slice("held", 1, F.greatest(F.lit(0), F.col("n") - k + 1 - alone))).alias("x")).select("rep", "n", F.col("x.token").alias("token"))
-    found = kept.withColumns({"c": F.count("*").over(by_token), "head": F.min("rep").over(by_token)}).where("c > 1")
-    return found.select("token", "rep", "n", "head")
+    kept = common.staged(kept, "join-kept")
+    heads = common.staged(kept.groupBy("token").agg(F.count("*").alias("copies"), F.min("rep").alias("head")).where("copies > 1"), "join-heads")
+    found = common.staged(common.meet(kept, heads, ["token"], _total(heads)).select("token", "rep", "n", "head"), "join-lists")
+    common.discard(often, kept, heads)
+    return found
+
+
+def _total(facts: DataFrame) -> int:
+    return facts.agg(F.sum("copies")).first()[0] or 0
 
 
 def groups(lists: DataFrame) -> DataFrame:
@@ -150,12 +158,15 @@ def groups(lists: DataFrame) -> DataFrame:
     votes = lists.groupBy("rep", "n", "head").agg(F.count("*").alias("c"))
     near = votes.groupBy("rep", "n").agg(F.max_by("head", F.struct("c", -F.col("head"))).alias("leader"), F.sum("c").alias("degree"))
     near = common.staged(near, "join-leaders")
+    total = near.count()
     for _ in range(2):  # a leader never is larger than its class, so this ends at one that leads itself
-        near = near.join(near.select(F.col("rep").alias("leader"), F.col("leader").alias("up")), "leader").select("rep", "n", F.col("up").alias("leader"), "degree")
-    near = common.staged(near, "join-groups")
+        up = near.groupBy("leader").agg(F.count("*").alias("copies")).join(near.select(F.col("rep").alias("leader"), F.col("leader").alias("up")), "leader")
+        after = common.staged(common.meet(near, up, ["leader"], total).select("rep", "n", F.col("up").alias("leader"), "degree"), "join-groups")
+        common.discard(near)
+        near = after
     chunks = F.ceil(F.greatest(F.count("*") / CHUNK_SETS, F.sum("n") / CHUNK_SHINGLES)).alias("chunks")
-    whole = near.groupBy("leader").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("pivot"), chunks)
-    return near.join(whole, "leader").select("rep", "n", "leader", "pivot", F.pmod(F.xxhash64("rep"), "chunks").alias("salt"))
+    whole = near.groupBy("leader").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("pivot"), chunks, F.count("*").alias("copies"))
+    return common.meet(near, whole, ["leader"], total).select("rep", "n", "leader", "pivot", F.pmod(F.xxhash64("rep"), "chunks").alias("salt"))
 
 
 def _probes(column: str) -> list[Column]:
@@ -340,8 +351,8 @@ def _unit_pairs(lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFra
     unit = F.struct("leader", F.when(off, 1).otherwise(0).alias("far"), part.alias("part")).alias("unit")
     place = F.struct("leader", "salt").alias("place")
     marked = lists.select("token", "rep").join(labels.join(far, "leader", "left").select("rep", "label", unit, place), "rep")
-    spans = marked.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    marked = common.staged(marked.join(spans, "token"), "join-spans")
+    spans = marked.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("copies")).where("x <> y")
+    marked = common.staged(common.meet(marked, spans, ["token"], lists.count()).drop("x", "y"), "join-spans")
     held = marked.groupBy("token", "unit").agg(*[f(c).alias(n) for c, lo, hi in (("label", "lo", "hi"), ("place", "near", "off")) for f, n in ((F.min, lo), (F.max, hi))])
     one, two = (held.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("unit", "lo", "hi", "near", "off")]) for k in "12")
     # Sets of one chunk have been compared.
@@ -352,7 +363,7 @@ def _unit_pairs(lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFra
 def class_components(sets: DataFrame, docs: DataFrame, size: int, t: Fraction) -> DataFrame:
     """node, component of every class (by its smallest doc_id) that is linked with another. ``sets`` are those of ``docs``,
     whose ids are unique and not null."""
-    lists = common.staged(candidate_lists(sets, t), "join-lists")
+    lists = candidate_lists(sets, t)
     placed = groups(lists).join(sets.select(F.col("doc_id").alias("rep"), "k1", "k2"), "rep")
     placed = common.staged(placed, "join-placed")
     wanted = docs.sparkSession.sparkContext.broadcast(wanted_filter(placed))
@@ -365,14 +376,15 @@ def class_components(sets: DataFrame, docs: DataFrame, size: int, t: Fraction) -
     labels = common.staged(labels, "join-labels")
     pairs, members = _unit_pairs(lists, labels)
     pairs = common.staged(pairs, "join-units")
-    links = labels.where("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b"))
+    links, spent = labels.where("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b")), [labels, pairs]
     if not pairs.isEmpty():
         ends = pairs.select("u", "v", F.explode(F.array_distinct(F.array("u", "v"))).alias("unit"))
         rows = ends.join(members, "unit").join(labels.select("rep", "leader", "salt", "label"), "rep").join(whole.select("rep", "shingles"), "rep")
         more = rows.select("u", "v", "rep", "leader", "salt", "label", "shingles").groupBy("u", "v").applyInArrow(lambda table: _more_links(table, t), "a long, b long")
-        links = links.unionByName(common.staged(more, "join-links"))
-    found = components(links)
-    common.discard(lists, placed, whole)
+        spent.append(common.staged(more, "join-links"))
+        links = links.unionByName(spent[-1])
+    found = common.staged(components(links), "join-components")
+    common.discard(lists, placed, whole, *spent)
     return found
 
 
@@ -381,13 +393,14 @@ def _joined(docs: DataFrame, size: int, t: Fraction) -> DataFrame:
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(shingle_sketch(docs, size))
     sets = common.staged(document_sets(docs, size, t, sketch), "join-sets")
-    joined = common.staged(class_components(sets, docs, size, t), "join-components")
+    joined = class_components(sets, docs, size, t)
     brief = common.staged(sets.select("doc_id", "k1", "k2", "n"), "join-brief")
     common.discard(sets)
-    classes = brief.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")).join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    out = brief.join(classes, ["k1", "k2"], "left")
-    # Empty sets have one key, but they are linked with nothing.
+    # Empty sets have one key, but they are linked with nothing. Sets that are alone and linked with none need no join.
+    classes = brief.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 OR component IS NOT NULL")
+    classes = classes.select("k1", "k2", "copies", F.coalesce("component", "rep").alias("component"))
+    out = common.meet(brief.where("n > 0"), classes, ["k1", "k2"], brief.count(), how="left").unionByName(brief.where("n = 0").withColumn("component", F.lit(None).cast("long")))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reelspan.llm import ngram_join, packing, piece_fst, pu_quality, quality_rules, simhash, substring_dedup, token_counts, token_files, warc
 from reelspan.llm.queries import vocabulary
@@ -156,3 +157,15 @@ def test_stages(spark, odd, tmp_path):
     # What a smaller row has is removed: the long text of 4 but for its end, and nothing of rows that share an id.
     kept = {r.text for r in substring_dedup.keep_first(odd.where("doc_id in (3, 4)")).collect()}
     assert LONG in kept and "another text of three" in kept and not any(t.startswith(LONG) and t != LONG for t in kept)
+
+
+def test_meet(spark):
+    """A join with frequent keys by broadcast is the plain join, whatever counts as frequent."""
+    from reelspan.llm import common
+
+    rows = spark.createDataFrame([(k % 7 if k < 500 else k, k % 3, k) for k in range(900)] + [(None, 1, -1)], "a long, b long, v long")
+    facts = rows.where("a IS NOT NULL AND a % 2 = 0").groupBy("a", "b").agg(F.count("*").alias("copies"), F.sum("v").alias("s"))
+    for how in ("inner", "left"):
+        want = sorted(rows.join(facts.drop("copies"), ["a", "b"], how).select("a", "b", "v", "s").collect(), key=str)
+        for hot in (1, 20, 100_000):
+            assert sorted(common.meet(rows, facts, ["a", "b"], 901, hot, how).collect(), key=str) == want
