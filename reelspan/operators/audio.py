@@ -49,11 +49,12 @@ def window_features(windows: DataFrame, frames: DataFrame, gaps: DataFrame, sett
     """windows(video_id, start_s, end_s, ...) with audio_energy, audio_laughter, audio_pause; frames count in
     [start, end), pauses whose midpoint lies in [start - pause_min_s, end). Window edges are sorted among a video's frames
     and pauses, and running sums up to the two edges are subtracted: a window costs three rows, however many frames it
-    holds. Windows that agree in all columns are one."""
+    holds. Windows that agree in all columns are as many rows as they were."""
     zero, none = F.lit(0.0), F.lit(0)
     keys = windows.columns
     sums = {"energy": zero, "laughter": zero, "n": none, "pauses": none}
-    edge = F.struct(*keys).alias("w")
+    windows = windows.withColumn("_window", F.monotonically_increasing_id())
+    edge = F.struct(*keys, "_window").alias("w")
     edges = F.explode(F.array(*[F.struct(at.alias("t"), F.lit(k).alias("edge")) for k, at in enumerate((F.col("start_s") - settings.pause_min_s, F.col("start_s"), F.col("end_s")))])).alias("e")
     rows = windows.select("video_id", edge, edges).select("video_id", "w", "e.t", "e.edge", *[v.alias(k) for k, v in sums.items()])
     blank = [F.lit(None).cast(rows.schema["w"].dataType).alias("w"), "t", F.lit(3).alias("edge")]

@@ -93,6 +93,8 @@ def test_audio_sums(spark):
     gaps = spark.createDataFrame([(1, 9.0, 11.0, 10.0)], "video_id long, gap_start double, gap_end double, mid double")
     wins = spark.createDataFrame([(1, 10.0, 20.0), (1, 10.5, 30.0), (1, 60.0, 70.0), (2, 0.0, 5.0)], "video_id long, start_s double, end_s double")
     got = {(r.video_id, r.start_s): r for r in audio.window_features(wins, frames, gaps).collect()}
+    twice = audio.window_features(wins.unionByName(wins.where("video_id = 1")), frames, gaps).collect()
+    assert len(twice) == 7 and set(twice) == set(got.values())
     inside = [k for k in range(10, 20)]
     assert got[1, 10.0].audio_energy == pytest.approx(sum(k % 5 / 4 for k in inside) / 10) and got[1, 10.0].audio_laughter == pytest.approx(sum(k % 5 / 4 * (k % 3) / 2 for k in inside) / 10)
     assert [got[k].audio_pause for k in ((1, 10.0), (1, 10.5), (1, 60.0), (2, 0.0))] == [pytest.approx(1 / 3), pytest.approx(1 / 3), 0, 0] and got[1, 60.0].audio_energy == 0 == got[2, 0.0].audio_energy
