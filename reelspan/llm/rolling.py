@@ -34,7 +34,9 @@ def running(raw: np.ndarray) -> np.ndarray:
     """G, one longer than ``raw``."""
     q, _ = powers(len(raw))
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUES[raw] * q[: len(raw)], out=out[1:])
+    terms = np.take(_VALUES, raw)
+    terms *= q[: len(raw)]
+    np.cumsum(terms, out=out[1:])
     return out
 
 
@@ -50,3 +52,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 def hashes(total: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     _, i = powers(len(total))
     return mix((total[ends] - total[begins]) * i[begins])
+
+
+def widths(total: np.ndarray, width: int) -> np.ndarray:
+    """The hashes of all substrings of ``width`` bytes, as ``hashes`` gives them."""
+    _, i = powers(len(total))
+    h = total[width:] - total[:-width]
+    h *= i[: len(h)]
+    return mix(h)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspan.llm import common
-from reelspan.llm.rolling import hashes, mix, running
+from reelspan.llm.rolling import hashes, mix, running, widths
 from reelspan.llm.suffix_sort import sort_suffixes, symbols
 
 SEED = 20
@@ -69,6 +69,8 @@ class Texts:
         self.starts = self.ends - sizes
         self.raw = np.frombuffer(b"".join(texts[k] for k in keep), np.uint8)
         self.length = length
+        #: Bits for a gram's place in a tile; the same for all tiles, so that equal windows everywhere have one minimiser.
+        self.low = np.uint64((1 << (tile + length).bit_length()) - 1)
         begin, stop, seed, run = [], [], [], []
         done = 0
         while done < len(self.raw):
@@ -90,28 +92,26 @@ class Texts:
             none = np.zeros(0, np.int64)
             return none, none, none.astype(np.uint64), none.astype(np.uint64)
         total = running(raw)
-        grams = np.arange(len(raw) - SEED + 1)
-        seeds = hashes(total, grams, grams + SEED)
-        value, offset = (seeds >> np.uint64(32)).astype(np.uint32), np.zeros(len(seeds), np.uint8)
+        seeds = widths(total, SEED)
+        # A gram's hash with its place in the lowest bits, so the least of a window tells its leftmost least gram.
+        least = (seeds & ~self.low) | np.arange(len(seeds), dtype=np.uint64)
         span = 1
-        while span < width:  # the leftmost least gram of each window, by doubling
+        while span < width:  # by doubling
             step = min(span, width - span)
-            left, right = value[:-step], value[step:]
-            swap = right < left
-            offset = np.where(swap, offset[step:] + np.uint8(step), offset[:-step])
-            value = np.where(swap, right, left)
+            least = np.minimum(least[:-step], least[step:])
             span += step
-        at = np.arange(windows) + offset[:windows]
-        doc = np.searchsorted(self.ends, np.arange(a, a + windows), "right")
-        whole = np.arange(a, a + windows) + length <= self.ends[doc]
         new = np.empty(windows, bool)
         new[0] = True
-        new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | (whole[1:] != whole[:-1])
+        new[1:] = least[1:windows] != least[: windows - 1]
+        # A run also ends where its document does, and before the windows that cross the document's end.
+        i, j = np.searchsorted(self.ends, [a, a + windows], "right")
+        for edge in (self.starts[i : j + 1], np.maximum(self.starts[i : j + 1], self.ends[i : j + 1] - length + 1)):
+            new[edge[(edge >= a) & (edge < a + windows)] - a] = True
         begin = np.flatnonzero(new)
         stop = np.append(begin[1:], windows)
-        good = whole[begin]
+        good = begin + a + length <= self.ends[np.searchsorted(self.ends, begin + a, "right")]
         begin, stop = begin[good], stop[good]
-        seed = seeds[at[begin]]
+        seed = seeds[(least[begin] & self.low).astype(np.int64)]
         # The seed's place counts too: runs are equal if their windows are.
         run = mix(hashes(total, begin, stop + length - 1) ^ (stop - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         return begin + a, stop + a, seed, run
@@ -120,14 +120,17 @@ class Texts:
         """First run of each distinct (seed, run) by bucket order; for each run the number of its distinct one; the
         smallest doc_id and the distinct seeds. Texts stand in the order of their ids, so the first is the smallest."""
         s, r = self.seed >> np.uint64(24), self.run
-        order = np.lexsort((np.arange(len(s)), r, s))
-        new = np.empty(len(s), bool)
-        if len(s):
-            new[0] = True
-            new[1:] = (s[order][1:] != s[order][:-1]) | (r[order][1:] != r[order][:-1])
+        # 40 bits of the seed and 24 of the run order almost all; where runs agree in these, the whole numbers do.
+        key = (s << np.uint64(24)) | (r >> np.uint64(40))
+        order = np.argsort(key)
+        key, new = key[order], np.ones(len(s), bool)
+        new[1:] = key[1:] != key[:-1]
+        if (~new[1:] & (r[order[1:]] != r[order[:-1]])).any():
+            order = np.lexsort((r, s))
+            new[1:] = (s[order[1:]] != s[order[:-1]]) | (r[order[1:]] != r[order[:-1]])
         number = np.empty(len(s), np.int64)
         number[order] = np.cumsum(new) - 1
-        first = order[new]
+        first = np.minimum.reduceat(order, np.flatnonzero(new)) if len(s) else order
         return first, number, self.doc[self.of[first]], s[first]
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,11 +140,16 @@ class Texts:
         return base + np.arange(int(n.sum())), np.repeat(chosen, n)
 
 
+def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries by bucket, in order within one, and where each bucket's entries begin; entry k's bucket is keys[k] % buckets."""
+    to = (keys % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
+    edges = np.append(0, np.cumsum(np.bincount(to, minlength=buckets)))
+    return np.argsort(to, kind="stable"), edges
+
+
 def _send(block: int, kind: int, keys: np.ndarray, parts: list[tuple[np.ndarray, int]], buckets: int) -> Iterator[tuple]:
     """Rows for the buckets; entry k goes to bucket keys[k] % buckets, in order."""
-    to = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    edges = np.searchsorted(to[order], np.arange(buckets + 1))
+    order, edges = _by_bucket(keys, buckets)
     for b in np.flatnonzero(np.diff(edges)).tolist():
         own = order[edges[b] : edges[b + 1]]
         yield b, block, kind, np.int64(len(own)).tobytes() + b"".join(planes(x[own].astype(np.uint64), w) for x, w in parts)
@@ -150,9 +158,7 @@ def _send(block: int, kind: int, keys: np.ndarray, parts: list[tuple[np.ndarray,
 def _bits(replies: list[tuple[int, bytes]], keys: np.ndarray, buckets: int, columns: int) -> np.ndarray:
     """The buckets' answers in the order of the entries that were sent."""
     out = np.zeros((len(keys), columns), bool)
-    to = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    edges = np.searchsorted(to[order], np.arange(buckets + 1))
+    order, edges = _by_bucket(keys, buckets)
     for b, raw in replies:
         own = order[edges[b] : edges[b + 1]]
         out[own] = np.unpackbits(np.frombuffer(raw, np.uint8), count=len(own) * columns).reshape(-1, columns)
@@ -178,8 +184,9 @@ def _replies(bucket: int, kind: int, spans: list[tuple[int, int, int]], bits: np
     return pa.Table.from_batches([common.rows_batch(rows, _MESSAGE)])
 
 
-def _least(order_keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Groups of equal keys: the number of each entry's group, and the smallest doc of each group."""
+def _least(order_keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of equal keys, ordered by the last key first: the number of each entry's group, and an entry and the
+    smallest doc of each group."""
     order = np.lexsort((doc, *order_keys))
     new = np.zeros(len(doc), bool)
     if len(doc):
@@ -188,7 +195,8 @@ def _least(order_keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndar
         new[1:] |= k[order][1:] != k[order][:-1]
     number = np.empty(len(doc), np.int64)
     number[order] = np.cumsum(new) - 1
-    return number, doc[order][new]
+    head = order[new]
+    return number, head, doc[head]
 
 
 def _answer_runs(table: pa.Table) -> pa.Table:
@@ -196,12 +204,13 @@ def _answer_runs(table: pa.Table) -> pa.Table:
     seed has runs of another first document."""
     spans, (seed, run, doc) = _gathered(table, [5, 8, 8])
     doc = doc.astype(np.int64)
-    number, least = _least((run, seed), doc)
+    number, head, least = _least((run, seed), doc)
     smaller = least[number] < doc
-    by_seed, lowest = _least((seed,), doc)
-    highest = np.full(len(lowest), -(1 << 63), np.int64)
-    np.maximum.at(highest, by_seed, least[number])
-    several = lowest[by_seed] < highest[by_seed]
+    # Runs of one seed are neighbours.
+    of = seed[head]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    differ = np.minimum.reduceat(least, first) < np.maximum.reduceat(least, first) if len(of) else np.zeros(0, bool)
+    several = np.repeat(differ, np.diff(np.append(first, len(of))))[number]
     return _replies(table.column("bucket")[0].as_py(), 0, spans, np.stack([smaller, several & ~smaller], 1))
 
 
@@ -209,7 +218,7 @@ def _answer_windows(table: pa.Table) -> pa.Table:
     """A bit for each window: a smaller document has it."""
     spans, (window, seed, doc) = _gathered(table, [8, 2, 8])
     doc = doc.astype(np.int64)
-    number, least = _least((seed, window), doc)
+    number, _, least = _least((seed, window), doc)
     return _replies(table.column("bucket")[0].as_py(), 1, spans, (least[number] < doc)[:, None])
 
 
@@ -232,11 +241,8 @@ class _Marks:
         t = self.t
         at, run = t.windows(self.edges)
         words = symbols(t.raw, t.length + 16)
-        placed, group = sort_suffixes(words, at, t.length)
-        # Positions are distinct, so the run of each is found again by its position.
-        o = np.argsort(at, kind="stable")
-        back = o[np.searchsorted(at[o], placed)]
-        run = run[back]
+        order, group = sort_suffixes(words, at, t.length)
+        placed, run = at[order], run[order]
         new = np.append(True, group[1:] != group[:-1]) if len(group) else np.zeros(0, bool)
         number = np.cumsum(new) - 1
         doc = t.doc[t.of[run]]

@@ -17,13 +17,9 @@ SYMBOL = 8
 
 def symbols(raw: np.ndarray, pad: int) -> np.ndarray:
     """At each position the next eight bytes as a big-endian number; zeros follow the end."""
-    w = np.zeros(len(raw) + pad + SYMBOL, np.uint64)
-    w[: len(raw)] = raw
-    for step in (1, 2, 4):
-        ahead = np.zeros_like(w)
-        ahead[:-step] = w[step:]
-        w = (w << np.uint64(8 * step)) | ahead
-    return w
+    held = np.zeros(len(raw) + pad + 2 * SYMBOL, np.uint8)
+    held[: len(raw)] = raw
+    return np.ndarray(len(raw) + pad + SYMBOL, ">u8", held, strides=(1,))  # a view; only what is looked up is read
 
 
 class BlindTrie:
@@ -71,24 +67,30 @@ class BlindTrie:
 
 
 def sort_suffixes(words: np.ndarray, at: np.ndarray, depth: int, shallow: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Positions ``at`` in the order of their first ``depth`` bytes, and for each the number of its run of equal
-    ones. ``words`` are the text's ``symbols``, padded by ``depth`` at least."""
+    """The order of the positions ``at`` by their first ``depth`` bytes, and for each in that order the number of its run
+    of equal ones. ``words`` are the text's ``symbols``, padded by ``depth`` at least."""
     n = len(at)
     order, group = np.arange(n), np.zeros(n, np.int64)
     live = np.arange(n)  # places in ``order`` whose group has other members
     shallow = min(shallow, depth)
 
     def symbol(places: np.ndarray, d: int) -> np.ndarray:
-        w = words[at[order[places]] + d]
+        w = words[at[order[places]] + d].astype(np.uint64)
         left = depth - d
         return w if left >= SYMBOL else w & np.uint64(((1 << 64) - 1) ^ ((1 << (64 - 8 * left)) - 1))
 
     d = 0
     while d < shallow and len(live) > 1:
-        key = symbol(live, d)
-        s = np.lexsort((key, group[live]))
-        order[live], key = order[live][s], key[s]
-        g = group[live]
+        key, g = symbol(live, d), group[live]
+        if d:
+            first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            size = np.diff(np.append(first, len(live)))
+            # Groups whose members all agree stay as they are.
+            part = np.flatnonzero(np.repeat(~np.logical_and.reduceat(key == np.repeat(key[first], size), first), size))
+            s = part[np.lexsort((key[part], g[part]))]
+        else:
+            part, s = slice(None), np.argsort(key)
+        order[live[part]], key[part] = order[live[s]], key[s]
         new = np.empty(len(live), bool)
         new[0] = True
         new[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1])
@@ -106,6 +108,16 @@ def sort_suffixes(words: np.ndarray, at: np.ndarray, depth: int, shallow: int =
         for t in tails:
             same &= t == np.repeat(t[first], size)
         mixed = np.flatnonzero(~np.logical_and.reduceat(same, first))
+        # Two that differ need no trie: all such pairs are compared at once.
+        x = first[mixed[size[mixed] == 2]]
+        swap, open_ = np.zeros(len(x), bool), np.ones(len(x), bool)
+        for t in tails:
+            swap |= open_ & (t[x] > t[x + 1])
+            open_ &= t[x] == t[x + 1]
+        group[live[x + 1]] = live[x + 1]
+        x = x[swap]
+        order[live[x]], order[live[x + 1]] = order[live[x + 1]], order[live[x]]
+        mixed = mixed[size[mixed] > 2]
         if len(mixed):
             flat = np.stack(tails, 1).astype(">u8")
             for m in mixed.tolist():
@@ -127,7 +139,7 @@ def sort_suffixes(words: np.ndarray, at: np.ndarray, depth: int, shallow: int =
                     order[places[put : put + len(run)]] = old[run]
                     group[places[put : put + len(run)]] = places[put]
                     put += len(run)
-    return at[order], group
+    return order, group
 
 
 def suffix_array(raw: bytes, shallow: int = 32) -> np.ndarray:
@@ -136,5 +148,5 @@ def suffix_array(raw: bytes, shallow: int = 32) -> np.ndarray:
     # Bytes are spread over two, so that the padding after the end is below every byte.
     wide = np.stack([np.ones(len(k), np.uint8), k], 1).ravel()
     words = symbols(wide, 2 * len(k) + 16)
-    at, _ = sort_suffixes(words, np.arange(0, 2 * len(k), 2), 2 * len(k) + 2, shallow)
-    return at // 2
+    order, _ = sort_suffixes(words, np.arange(0, 2 * len(k), 2), 2 * len(k) + 2, shallow)
+    return order
