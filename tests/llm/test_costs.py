@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from reelspan.llm import rolling, substring_dedup, suffix_sort
+from reelspan.llm import byte_bpe, rolling, substring_dedup, suffix_sort
+from reelspan.llm.queries import vocabulary
 
 
 def test_pairs_are_sorted_without_a_trie(monkeypatch):
@@ -48,3 +49,30 @@ def test_minimisers_are_the_same_in_all_tiles(tile):
             seen.append(w)
     assert seen == [p + a for p, x in zip(t.starts.tolist(), rows, strict=True) for a in range(len(x) - 49)]
     assert int(t.low) == (1 << (tile + 50).bit_length()) - 1
+
+
+def test_chunks_have_the_ids_of_whole_texts():
+    """Ids over all kinds of edges are the library's, new groups and a full memo included, and what stands before marks is encoded once."""
+    tool = byte_bpe.ChunkEncoder(vocabulary("byte_bpe_50k.json"), most=60, group=200)
+    rng = random.Random(3)
+    parts = ["word", "Word", "it's", "'s", "don't.", " ", " ", " ", "\n", "\n", "\n\n", "\t", "\r\n", " ", "　", "é", "ß", "½", "²", "…", "»", "漢字", "\U0001f600", "<|endoftext|>", "<|endoftext", "|>", ".", ",", "_", "###", "12", "é", "\x00", "ẞ,", "ⅷ."]
+    texts = ["", " ", "\n", "a\n", "\na", " \na", "a \n b", "a\n b", "\n\nA.", "foo<|endoftext|>.", "x. <|endoftext|>", "thon.\nEror, thon", *("".join(rng.choices(parts, k=rng.randrange(1, 40))) for _ in range(3000))]
+    got = [np.frombuffer(x, "<u4").tolist() for x in tool.ids(texts)]
+    assert got == [tool.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert tool.ids([]) == []
+
+    fresh, seen = byte_bpe.ChunkEncoder(vocabulary("byte_bpe_50k.json")), []
+    library = fresh.tokenizer
+
+    class Spy:
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+    fresh.tokenizer = Spy()
+    raw = fresh.ids(["a zomblique, zomblique. zomblique\nzomblique### zomblique", "a zomblique;\nzomblique!"])
+    assert [np.frombuffer(x, "<u4").tolist() for x in raw] == [library.encode(x, add_special_tokens=False).ids for x in ("a zomblique, zomblique. zomblique\nzomblique### zomblique", "a zomblique;\nzomblique!")]
+    assert sorted("".join(seen).split("zomblique")) == ["", "\n", " "]  # once after a space, once after a line feed
