@@ -5,26 +5,28 @@ of the few segments beside it that its windows reach, and is scored by itself. A
 has chunks. What a chunk has to know of its video, the segments before it and the end of the timeline, comes from one small row
 for each chunk.
 
-The windows of one anchor are prefixes of one list of segments, in order of their starts. What needs the text is computed once for
-the longest and read off at each prefix; counts are differences of running sums.
+The windows of one anchor are prefixes of one list of segments, in order of their starts. Their signals are computed for many chunks at
+once (``batches``).
 """
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.functions import text as T
+from reelspan.operators import batches as B
 from reelspan.operators.select import select_moments
-from reelspan.settings import AFTER_END_PATTERN, DEFAULTS, EMOTION_WORDS, ENDED_PATTERN, HEAD_PATTERN, HOOK_PHRASES, QUESTION_OPENERS, STARTER_PATTERN, STOP_PATTERN, Settings
+from reelspan.settings import DEFAULTS, EMOTION_WORDS, Settings
 
 CHUNK_S = 600.0
 #: A segment is copied to at most so many chunks: to those of the next 60 million seconds.
 MOST_CHUNKS = 100_000
 #: How far back the segments are looked for that still run when another begins: the first step where none does.
 LOOKBACK = (1, 4, 16, 64, 256, 1024)
-#: Counts of a text that add up when texts are joined by a blank.
-SUMS = ("words", "hits", "figures", "marks", "reactions", "chars", "lows")
 
 
 def timed(segments: DataFrame) -> DataFrame:
@@ -58,6 +60,13 @@ def _dealt(rows: DataFrame, keyed: DataFrame) -> DataFrame:
     return rows.unionByName(keyed, allowMissingColumns=True).repartition(n, "video_id", "chunk")
 
 
+def _copied(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Segments (home: their own chunk) with their copies for the other chunks whose windows reach them, and the chunks' own rows."""
+    own = chunk_of(F.col("start"))
+    reached = F.sequence(F.least(own, chunk_of(F.col("start") - max(settings.lengths()))), F.least(own + MOST_CHUNKS, F.greatest(own, chunk_of(F.col("end")))))
+    return _dealt(rows.select("*", own.alias("home"), F.explode(reached).alias("chunk")), chunks(rows))
+
+
 def candidate_windows(segments: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Every segment start with every length, if it fits the timeline: video_id, timeline_end, anchor (the segment's place in the
     order of start, seg_idx), start_s, len_idx, length, end_s."""
@@ -71,41 +80,10 @@ def candidate_windows(segments: DataFrame, settings: Settings = DEFAULTS) -> Dat
     return found.withColumn("end_s", F.col("start_s") + F.col("length")).where(F.col("end_s") <= F.col("timeline_end") + 1e-9)
 
 
-def _once(rows: DataFrame, *made: Column) -> DataFrame:
-    """rows with columns that are computed once, however often later expressions name them: a generator of one element lies between."""
-    return rows.select("*", F.explode(F.array(F.struct(*made))).alias("_made")).select("*", "_made.*").drop("_made")
-
-
-def _features(rows: DataFrame, lexicon: tuple[str, ...]) -> DataFrame:
-    """What a segment's text adds to the signals of the windows that overlap it."""
-    text = F.col("text")
-    found = rows.withColumn("_c", T.text_counts(text, lexicon)).withColumns({"chars": F.char_length(text), "lows": F.char_length(F.lower(text))})
-    low = F.lower(text)
-    own = F.struct(
-        T.capitals(text).alias("caps"),
-        F.regexp_extract_all(text, F.lit(AFTER_END_PATTERN + STARTER_PATTERN), 1).alias("starters"),
-        F.regexp_extract(text, HEAD_PATTERN + STARTER_PATTERN, 1).alias("lead"),
-        text.rlike(ENDED_PATTERN.replace("$", r"\z")).alias("ended"),
-        text.rlike(r"\S").alias("said"),
-        # Questions: those that begin after an end or a new line, one that begins with the text, and whether what follows begins one.
-        F.regexp_count(low, F.lit(T.opener_pattern(begin=False))).alias("asked"),
-        low.rlike(rf"^[^\S\n]*(?:{'|'.join(QUESTION_OPENERS)})").alias("asks"),
-        low.rlike(r"(?:[.?!]|\n)\s*\z").alias("opens"),
-        # Openers of several words may lie across two segments, and blank segments may hold a new line: such are searched as one text.
-        low.rlike(rf"(?:{'|'.join(sorted({' '.join(o.split(' ')[:k]) for o in QUESTION_OPENERS for k in range(1, o.count(' ') + 1)}))})\z|^\s*\n\s*\z").alias("odd"),
-    )
-    return found.select(*rows.columns, F.struct(*[F.col(f"_c.{n}").cast("long").alias(n) for n in SUMS[:5]], *[F.col(n).cast("long").alias(n) for n in SUMS[5:]]).alias("sums"), own.alias("own"))
-
-
-def anchored(segments: DataFrame, settings: Settings = DEFAULTS, lexicon: tuple[str, ...] | None = None) -> DataFrame:
+def anchored(segments: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """A row for each segment at which a window begins: video_id, chunk (the rows stay dealt by these two), timeline_end, anchor, start_s, inside (start and text of the
-    segments that its longest window overlaps, in order). With a lexicon inside has what the texts add to the signals (own), and there
-    are near (start and running sums of these segments and such between them as have ended before), over (the latter) and base (the sums before near)."""
-    rows, longest = timed(segments), max(settings.lengths())
-    own = chunk_of(F.col("start"))
-    reached = F.sequence(F.least(own, chunk_of(F.col("start") - longest)), F.least(own + MOST_CHUNKS, F.greatest(own, chunk_of(F.col("end")))))
-    copies = rows.select("*", own.alias("home"), F.explode(reached).alias("chunk"))
-    both = _dealt(copies, chunks(rows))
+    segments that its longest window overlaps, in order)."""
+    both, longest = _copied(timed(segments), settings), max(settings.lengths())
     here = Window.partitionBy("video_id", "chunk").orderBy("start", "seg_idx")
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
     is_seg = F.col("start").isNotNull()
@@ -115,26 +93,14 @@ def anchored(segments: DataFrame, settings: Settings = DEFAULTS, lexicon: tuple[
         lo = F.when(F.coalesce(F.lag("passed", k).over(here) <= F.col("start"), F.lit(True)), F.col("pos") - (k - 1)).otherwise(lo)
     hi = F.expr(f"count(start) OVER (PARTITION BY video_id, chunk ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND {longest!r}D FOLLOWING)").cast("int")
     placed = placed.withColumns({"lo": F.greatest(lo, F.lit(0)).cast("int"), "hi": hi})
-    names = ["start", "seg_idx", "end", "text", "home", "turn", "lo", "hi"]
-    if lexicon is not None:
-        placed = _features(placed, lexicon)
-        placed = placed.withColumn("run", F.struct(*[F.sum(f"sums.{n}").over(upto).alias(n) for n in SUMS]))
-        names += ["sums", "run", "own"]
-    item = F.when(is_seg, F.struct(*names))
+    item = F.when(is_seg, F.struct("start", "seg_idx", "end", "text", "home", "turn", "lo", "hi"))
     packed = placed.groupBy("video_id", "chunk").agg(F.sort_array(F.collect_list(item)).alias("segs"), F.max("before").alias("before"), F.max("timeline_end").alias("timeline_end"))
     begins = F.filter("segs", lambda s: (s["home"] == F.col("chunk")) & (s["start"] + min(settings.lengths()) <= F.col("timeline_end") + 1e-9))
 
     def one(s: Column) -> Column:
-        reach = F.slice(F.col("segs"), s["lo"] + 1, s["hi"] - s["lo"])
-        brief = lambda x: F.struct(x["start"].alias("start"), x["text"].alias("text"), *([x["own"].alias("own")] if lexicon is not None else []))
-        inside = lambda found: F.transform(F.filter(found, lambda x: x["end"] > s["start"]), brief)
-        made = [(F.col("before") + s["turn"]).cast("int").alias("anchor"), s["start"].alias("start_s")]
-        if lexicon is None:
-            return F.struct(*made, inside(reach).alias("inside"))
-        near = lambda found: F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["run"].alias("run")))
-        over = lambda found: F.transform(F.filter(found, lambda x: x["end"] <= s["start"]), lambda x: F.struct(x["start"].alias("start"), x["sums"].alias("sums")))
-        before = F.struct(*[F.coalesce(F.get(F.col("segs"), s["lo"] - 1)["run"][n], F.lit(0).cast("long")).alias(n) for n in SUMS])
-        return T.let(reach, lambda found: F.struct(*made, inside(found).alias("inside"), near(found).alias("near"), over(found).alias("over"), before.alias("base")))
+        reach = F.filter(F.slice(F.col("segs"), s["lo"] + 1, s["hi"] - s["lo"]), lambda x: x["end"] > s["start"])
+        inside = F.transform(reach, lambda x: F.struct(x["start"].alias("start"), x["text"].alias("text")))
+        return F.struct((F.col("before") + s["turn"]).cast("int").alias("anchor"), s["start"].alias("start_s"), inside.alias("inside"))
 
     return packed.select("video_id", "chunk", "timeline_end", F.explode(F.transform(begins, one)).alias("a")).select("video_id", "chunk", "timeline_end", "a.*")
 
@@ -191,69 +157,16 @@ def signals(rows: DataFrame, lexicon: tuple[str, ...] = EMOTION_WORDS) -> DataFr
 
 
 def window_signals(segments: DataFrame, settings: Settings = DEFAULTS, lexicon: tuple[str, ...] = EMOTION_WORDS) -> DataFrame:
-    """The candidate windows with the signals of their texts.
-
-    Of an anchor's segments those said (not blank) carry what their text adds to the capitalised terms; a segment's first word begins a
-    sentence if the one said before it in the window has ended one, and a question likewise. Phrases, and in odd cases openers, are found
-    in the longest text and count where they end in the window's."""
-    inside, near, text = F.col("inside"), F.col("near"), F.col("text")
-
-    def said(found: Column) -> Column:
-        def one(s: Column, i: Column) -> Column:
-            own, last = s["own"], F.get(found, i - 1)["own"]
-            starters = F.when(((i == 0) | last["ended"]) & (own["lead"] != ""), F.concat(own["starters"], F.array(own["lead"]))).otherwise(own["starters"])
-            asked = own["asked"] + (((i == 0) | last["opens"]) & own["asks"]).cast("int")
-            return F.struct(s["start"].alias("start"), own["caps"].alias("caps"), starters.alias("starters"), asked.alias("asked"))
-
-        return F.transform(found, one)
-
-    def window(x: Column) -> Column:
-        """The segments of a window and the sums of their counts."""
-        met = F.struct(begun(near, x["end_s"]).alias("met"), F.filter("over", lambda s: s["start"] < x["end_s"]).alias("gone"))
+    """The candidate windows with the signals of their texts."""
+    return _by_batch(segments, settings, lexicon, ", ".join(f"{n} double" for n in SIGNALS))
 
-        def summed(v: Column) -> Column:
-            lost = lambda m: F.when(F.size(v["gone"]) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(v["gone"], F.lit(0).cast("long"), lambda acc, s: acc + s["sums"][m]))
-            total = lambda run: F.struct(*[x[m].alias(m) for m in ("len_idx", "length", "end_s")], (v["met"] - F.size(v["gone"])).alias("n"), *[(run[m] - F.col("base")[m] - lost(m)).alias(m) for m in SUMS])
-            return T.let(F.get(near, v["met"] - 1)["run"], total)
 
-        return T.let(met, summed)
-
-    rows = anchored(segments, settings, lexicon)
-    rows = _once(rows, joined_text(inside).alias("text"), F.transform(_ends(settings), window).alias("wins"), T.let(F.filter(inside, lambda s: s["own"]["said"]), said).alias("said"), F.exists(inside, lambda s: s["own"]["odd"]).alias("odd")).drop("inside", "near", "over", "base")
-    rows = _once(rows, F.lower(text).alias("low"), F.nullif(F.regexp_instr(text, F.lit(STOP_PATTERN)), F.lit(0)).alias("stop"))
-    low = F.col("low")
-    opened = F.when(F.col("odd"), F.transform(F.regexp_extract_all(low, F.lit(rf"\G(?s:.*?){T.opener_pattern()}"), F.lit(0)), lambda m: F.char_length(m)))
-    phrases = F.array(*[F.when(low.contains(p), F.instr(low, p) + (len(p) - 1)) for p in HOOK_PHRASES])
-
-    def length(x: Column, m: str) -> Column:
-        return x[m] + F.greatest(x["n"] - 1, F.lit(0))
-
-    def cut(x: Column) -> Column:
-        """Where the first sentence of a window's text ends: at the first stop, if the white space after it is in the text, or with the text."""
-        return F.when(F.col("stop") < length(x, "chars"), F.col("stop")).otherwise(length(x, "chars")).cast("int")
-
-    def head(c: Column) -> Column:
-        return T.let(F.rtrim(T.strip(F.substring(text, F.lit(1), c)), F.lit(".?!")), lambda f: F.struct(c.alias("cut"), T.hook_quality(f).alias("hook"), T.coherence(f).alias("coherence")))
-
-    rows = _once(rows, opened.alias("opened"), F.filter(phrases, lambda e: e.isNotNull()).alias("phrases"), F.transform(F.array_distinct(F.transform("wins", cut)), head).alias("heads")).drop("text", "low")
-
-    def scored(x: Column) -> Column:
-        own = F.filter("said", lambda s: s["start"] < x["end_s"])
-        flat = lambda v, n: F.flatten(F.transform(v, lambda s: s[n]))
-        found = T.let(own, lambda v: F.struct(F.size(T.unstarted(flat(v, "caps"), flat(v, "starters"))).alias("terms"), F.aggregate(v, F.lit(0), lambda acc, s: acc + s["asked"]).alias("asked")))
-        end = length(x, "lows")
-        reached = F.aggregate("opened", F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), lambda acc, m: F.struct((acc["at"] + m).alias("at"), (acc["n"] + F.when(acc["at"] + m <= end, 1).otherwise(0)).alias("n")))["n"]
-        hits = F.size(F.filter("phrases", lambda e: e <= end))
-
-        def made(v: Column) -> Column:
-            asked = F.when(F.col("odd"), reached).otherwise(v["found"]["asked"])
-            values = (v["head"]["hook"], v["head"]["coherence"], T.sentiment_of(x), T.specificity_of(x["figures"], v["found"]["terms"]), T.curiosity_of(x["marks"] + asked, hits), T.laughter_of(x["reactions"]))
-            return F.struct(*[x[m].alias(m) for m in ("len_idx", "length", "end_s")], *[m.alias(n) for n, m in zip(SIGNALS, values, strict=True)])
-
-        return T.let(F.struct(F.get(F.filter("heads", lambda h: h["cut"] == cut(x)), F.lit(0)).alias("head"), found.alias("found")), made)
-
-    kept = ["video_id", "chunk", "timeline_end", "anchor", "start_s"]
-    return rows.select(*kept, F.explode(F.transform("wins", scored)).alias("w")).select(*kept, "w.*")
+def _by_batch(segments: DataFrame, settings: Settings, lexicon: tuple[str, ...], values: str, finish=None) -> DataFrame:
+    """Windows with ``values``, which ``finish`` makes of their signals (see ``batches``)."""
+    rows = timed(segments)
+    sorted_ = _copied(rows, settings).sortWithinPartitions("video_id", "chunk", "start", "seg_idx").select("video_id", "chunk", "home", "start", "end", "text", "before", "timeline_end")
+    kind = rows.schema["video_id"].dataType.simpleString()
+    return sorted_.mapInArrow(B.scorer(settings.lengths(), tuple(lexicon), finish), f"video_id {kind}, chunk long, timeline_end double, anchor int, start_s double, len_idx int, length double, end_s double, {values}")
 
 
 def content_score(settings: Settings = DEFAULTS, audio: bool = False) -> Column:
@@ -271,10 +184,19 @@ def audio_score(settings: Settings = DEFAULTS) -> Column:
     return T.clamp(F.col("audio_energy") * w.audio_energy + F.col("audio_laughter") * w.laughter + F.col("audio_pause") * w.dramatic_pause)
 
 
-def scored_windows(segments: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """video_id, chunk, anchor, len_idx, start_s, end_s, score by the transcript alone."""
-    found = window_signals(segments, settings)
-    return found.select("video_id", "chunk", "anchor", "len_idx", "start_s", "end_s", "timeline_end", F.round(content_score(settings), 9).alias("score"))
+def scored_windows(segments: DataFrame, settings: Settings = DEFAULTS, least: float | None = None) -> DataFrame:
+    """video_id, chunk, anchor, len_idx, start_s, end_s, timeline_end, score by the transcript alone; with ``least`` only those that score as much."""
+    found = _by_batch(segments, settings, EMOTION_WORDS, "score double", partial(_scored, settings, least))
+    return found.select("video_id", "chunk", "anchor", "len_idx", "start_s", "end_s", "timeline_end", "score")
+
+
+def _scored(settings: Settings, least: float | None, made: dict) -> dict:
+    """Columns of windows with ``content_score``, rounded, in place of the signals."""
+    w = settings.weights
+    total = made["hook"] * w.hook + made["coherence"] * w.coherence + made["sentiment"] * w.sentiment + made["specificity"] * w.specificity + made["curiosity"] * w.curiosity
+    score = B.rounded(np.clip(total + 0.0 + made["laughter"] * w.laughter + 0.0, 0.0, 1.0), 9)
+    kept = np.flatnonzero(score >= least) if least is not None else slice(None)
+    return {n: v if n == "video_id" else v[kept] for n, v in made.items() if n not in SIGNALS} | {"score": score[kept]}
 
 
 def selected(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

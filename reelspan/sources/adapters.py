@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelspan.functions import text as T
+from reelspan.operators.batches import sentences
 
 SLOT_S = 0.5
 
@@ -16,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _timed(rows: DataFrame) -> DataFrame:
     """segments from (video_id, seg_idx, text): half a second for each word, end to end."""
-    length = F.size(T.tokens(F.col("text"))) * SLOT_S
+    length = F.regexp_count("text", F.lit(r"\S+")) * SLOT_S
     upto = Window.partitionBy("video_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, 0)
     timed = rows.withColumn("length", length).withColumn("end", F.sum("length").over(upto))
     return timed.select("video_id", "seg_idx", (F.col("end") - F.col("length")).alias("start"), "end", "text")
@@ -24,8 +25,9 @@ def _timed(rows: DataFrame) -> DataFrame:
 
 def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sentence of a document is a segment."""
-    docs = table(spark, sf_dir, "documents")
-    return _timed(docs.select(F.col("doc_id").alias("video_id"), F.posexplode(F.split(T.strip(F.col("text")), T.SENTENCE_END)).alias("seg_idx", "text")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.mapInArrow(sentences, f"video_id {docs.schema['doc_id'].dataType.simpleString()}, seg_idx int, first long, last long, text string")
+    return found.select("video_id", "seg_idx", (F.col("first") * SLOT_S).alias("start"), (F.col("last") * SLOT_S).alias("end"), "text")
 
 
 def conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,60 @@ def test_chunks_change_nothing(spark, seed):
     assert W.window_signals(segs.where("video_id = 9")).count() == 0
 
 
+WIDE = ["Café Paris 5é 7", "RéRo Ana\u0301 Bo", "_Ana 5_ Eve", "I lo\u017ft", "\u212anow. \u0130s it", "the truth", "No one talks. No  one KNOWS", "x\u0301Bob 12\u0661", "²5 Ⅷ9 Ab²", "so... ", "Well ...", "And?! \u00a0Ed", "as i said", "li\u212ae i mentioned", "here's\nwhy", "here's why", "\u0301Ana", "80%. $,", "1.5% 2.%", "most people", "Anna", "[LAUGHS] Ed", "Hmm. Therefore we", "because", "é. who", "I", "quit", "nobody talks about", "unbelievable o'clock wild", "\u2028who", "\x1cwhy \x85", "Zoë", "\U0001f600Bob", "Bob\U0001f600.", "a" * 30 + ". It"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_batches_read_texts_as_expressions_do(spark, seed):
+    """Letters, digits and marks of other alphabets at the edges of words, folded letters, hooks over segments; groups over batches of rows."""
+    r = random.Random(seed)
+    rows = [(v, i, i * 2.0, i * 2.0 + 2.0, " ".join(r.choice(WIDE if r.random() < 0.8 else PARTS) for _ in range(r.choice([1, 1, 2, 4]))) + r.choice(["", ".", "?!", " "])) for v in range(12) for i in range(r.choice([25, 60, 340]))]
+    segs = spark.createDataFrame(rows, SEG).repartition(3)
+    key = lambda x: (x.video_id, x.anchor, x.length)
+    texts = W.window_texts(segs).cache()
+    plain = {key(x): x for x in W.signals(texts).withColumn("score", F.round(W.content_score(), 9)).collect()}
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        found = {key(x): x for x in W.window_signals(segs).collect()}
+        scores = {(x.video_id, x.anchor, x.len_idx): x.score for x in W.scored_windows(segs).collect()}
+        best = {(x.video_id, x.anchor, x.len_idx): x.score for x in W.scored_windows(segs, least=0.4).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert found.keys() == plain.keys()
+    for k, x in plain.items():
+        assert [found[k][n] for n in W.SIGNALS] == [x[n] for n in W.SIGNALS], (k, x.text)
+    lengths = Settings().lengths()
+    assert scores == {(v, a, lengths.index(n)): x.score for (v, a, n), x in plain.items()}
+    assert best == {k: s for k, s in scores.items() if s >= 0.4} and 0 < len(best) < len(scores)
+
+
+def test_sentences_are_those_of_the_expression(spark):
+    """A document's segments as the pattern splits them, also of blank, missing and long texts."""
+    from reelspan.functions import text as T
+    from reelspan.operators.batches import sentences
+
+    r = random.Random(5)
+    docs = [(i, None if i == 3 else "".join(r.choice(["a", "É", ".", "?", "!", " ", "\n", "\t", "\x0b", "\x1c", "\u00a0", "W"]) for _ in range(r.choice([0, 1, 5, 40, 400])))) for i in range(400)] + [(400, "Go on. " * 700_000), (401, " \n "), (None, "No id. ")]
+    df = spark.createDataFrame(docs, "id long, text string").repartition(3)
+    want = df.select("id", F.posexplode(F.split(T.strip(F.col("text")), T.SENTENCE_END)).alias("seg_idx", "text")).withColumn("n", F.size(T.tokens(F.col("text"))))
+    got = df.mapInArrow(sentences, "id long, seg_idx int, first long, last long, text string").selectExpr("id", "seg_idx", "text", "int(last - first) AS n", "first")
+    assert got.drop("first").exceptAll(want).count() == 0 and want.exceptAll(got.drop("first")).count() == 0
+    assert got.where("id = 400").agg(F.max("first")).first()[0] == 2 * 699_999
+
+
+def test_many_windows_are_scored_in_time(spark):
+    """270,000 windows, for which the expressions took 16 s on four cores."""
+    import time
+
+    text = F.concat_ws(" ", F.array(*[F.concat(F.lit("Thing"), (F.col("id") * k % 97).cast("string"), F.lit(" went by")) for k in (3, 5, 7)]))
+    segs = spark.range(48_000).select(F.floor(F.col("id") / 200).alias("video_id"), (F.col("id") % 200).cast("int").alias("seg_idx"), (F.col("id") % 200 * 4).cast("double").alias("start"), (F.col("id") % 200 * 4 + 4).cast("double").alias("end"), F.concat(text, F.lit(". ")).alias("text"))
+    W.window_signals(segs.where("video_id < 4")).count()
+    began = time.time()
+    assert W.window_signals(segs).agg(F.count("*"), F.sum("specificity")).first()[0] > 270_000
+    assert time.time() - began < 10
+
+
 def test_a_long_video_spreads(spark):
     """One video with a third of all segments is scored by many tasks, none with three times the median of windows."""
     rows = spark.range(60_000).select(F.when(F.col("id") < 20_000, 0).otherwise(F.col("id") % 200 + 1).alias("video_id"), F.col("id").cast("int").alias("seg_idx"), F.when(F.col("id") < 20_000, F.col("id")).otherwise(F.floor(F.col("id") / 200)).cast("double").alias("start"))
