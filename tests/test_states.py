@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from reelspan.settings import STAGES, TRANSITIONS
@@ -34,6 +35,40 @@ def test_transitions():
         assert states.applied(held, None, "queued")[3] == refused + 1
 
 
+def test_jobs_of_a_share_at_once():
+    """As the events one by one: many jobs, null ids and numbers, repeated and unknown ones, states that the table doesn't know; large numbers."""
+    import pandas as pd
+
+    r = random.Random(4)
+    held, want = states.HELD.empty_table(), {}
+    start = [(7, "editing", "detecting", 2), (None, "odd", None, 0), (2**60 + 1, "", "gone", 1), (9, None, None, 0)]
+    held = pa.Table.from_pylist([{"id": i, "state": s, "last_stage_completed": x, "retry_count": n, "refused": 0, "number": None} for i, s, x, n in start], states.HELD)
+    want = {i: (s, x, n, 0, None) for i, s, x, n in start}
+    for _ in range(6):
+        events = [(r.choice([None, 7, 9, 2**60, 2**60 + 1, *range(20)]), r.choice([None, *range(8), 2**60 + r.randrange(3)]), r.choice([*TRANSITIONS, *list(STAGES), "nonsense", "", None])) for _ in range(r.choice([1, 150]))]
+        frame = pd.DataFrame({"id": [i or 0 for i, _, _ in events], "no_id": [i is None for i, _, _ in events], "number": [n or 0 for _, n, _ in events], "no_number": [n is None for _, n, _ in events], "state": [s for _, _, s in events]})
+        held, named = states.applied_all(held, frame)
+        for i, n, to in sorted(events, key=lambda e: (e[1] is None, e[1] or 0, e[2] or "")):
+            want[i] = states.applied(want.get(i), n, to)
+        rows = held.to_pylist()
+        assert {x["id"]: tuple(x.values())[1:] for x in rows} == want and len(rows) == len(want)
+        assert {x["id"] for x, k in zip(rows, named.tolist(), strict=True) if k} == {i for i, _, _ in events}
+
+
+def test_many_jobs_are_followed_in_time(spark, tmp_path):
+    """Three batches of 200,000 jobs: a call by job took more than two minutes for one."""
+    import time
+
+    spark.range(10).selectExpr("id", "0L AS number", "'queued' AS state").write.parquet(f"file://{tmp_path}/events")
+    began = time.time()
+    for number, state in enumerate(("queued", "downloading", "detecting")):
+        spark.range(200_000).selectExpr("id", f"{number}L AS number", f"'{state}' AS state").write.mode("append").parquet(f"file://{tmp_path}/events")
+        states.follow(spark, f"file://{tmp_path}/events", f"file://{tmp_path}/checkpoint", f"file://{tmp_path}/sink").awaitTermination()
+    took = time.time() - began
+    found = states.latest(spark, f"file://{tmp_path}/sink").groupBy("state", "last_stage_completed", "refused", "number").count().collect()
+    assert [tuple(x) for x in found] == [("detecting", "downloading", 0, 2, 200_000)] and took < 90
+
+
 def test_states_go_on_after_a_restart(spark, tmp_path):
     got = feed(spark, tmp_path, [(1, 1, "downloading"), (1, 0, "queued"), (2, 0, "queued"), (2, 1, "editing"), (3, 5, "failed"), (None, 0, "queued")])
     assert got == {1: ("downloading", None, 0, 0), 2: ("queued", None, 0, 1), 3: (None, None, 0, 1), None: ("queued", None, 0, 0)}
