@@ -292,7 +292,19 @@ def rounded(x: np.ndarray, digits: int) -> np.ndarray:
     return out
 
 
-class Lists:
+class Each:
+    """Each row as a list of its own, with one window."""
+
+    def __init__(self, n: int) -> None:
+        self.anchor = self.rows = self.of = self.begin = np.arange(n)
+        self.ptr, self.count, self.apart = np.arange(n + 1), np.ones(n, np.int64), np.zeros(n, bool)
+        self.window = (self.rows, np.zeros(n, np.int64))
+
+    def total(self, values: np.ndarray) -> np.ndarray:
+        return values
+
+
+class Lists(Each):
     """For each anchor (a row) of whole groups of segments the rows that its longest window overlaps, and how many of them each window has."""
 
     def __init__(self, group: np.ndarray, start: np.ndarray, end: np.ndarray, own: np.ndarray, last: np.ndarray, lengths: list[float]) -> None:
@@ -343,7 +355,7 @@ class Lists:
         return run[self.begin + self.count] - run[self.begin]
 
 
-def window_values(texts: pa.Array, lists: Lists, lexicon: tuple[str, ...]) -> dict[str, np.ndarray]:
+def window_values(texts: pa.Array, lists: Each, lexicon: tuple[str, ...]) -> dict[str, np.ndarray]:
     """The signals of each window of ``lists``."""
     t = Texts(texts)
     low = t
@@ -424,7 +436,7 @@ def window_values(texts: pa.Array, lists: Lists, lexicon: tuple[str, ...]) -> di
     return {"hook": hook, "coherence": coherence, "sentiment": sentiment, "specificity": np.minimum(1.0, figures / 3.0), "curiosity": curiosity, "laughter": np.minimum(1.0, out["reactions"] / 2.0)}
 
 
-def _phrases(t: Texts, lists: Lists) -> np.ndarray:
+def _phrases(t: Texts, lists: Each) -> np.ndarray:
     """For each entry how many phrases end there for the first time in the list's joined text."""
     found = np.zeros(len(lists.rows), np.int64)
     blob, held = np.where(t.buf == MARK, 32, t.low).astype(np.uint8).tobytes(), []
@@ -480,6 +492,77 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> It
         yield grouped(pa.Table.from_batches(held))
 
 
+def contenders(group: np.ndarray, start: np.ndarray, end: np.ndarray, begins: np.ndarray, ends: np.ndarray, k: int, longest: float) -> np.ndarray:
+    """Of windows in order of group and rank those that the greedy walk may keep, as ``select.contenders`` finds them for one chunk;
+    begins and ends: of each window's chunk, infinite where no chunk lies beside it."""
+    kept = []
+    off = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)).tolist()
+    for i, j in zip(off[:-1], off[1:], strict=True):
+        a, b, left, sure, held = start[i:j], end[i:j], np.arange(j - i), 0, []
+        edge = (a - longest < begins[i]) | (b > ends[i])
+        while len(left) and sure < k:
+            c = int(left[0])
+            kept.append(i + c)
+            left = left[1:]
+            if edge[c] or any(a[c] < b[h] and b[c] > a[h] for h in held):
+                held.append(c)
+                left = left[(a[left] > a[c]) | (b[left] < b[c])]
+            else:
+                sure += 1
+                left = left[(a[left] >= b[c]) | (b[left] <= a[c])]
+    return np.array(kept, np.int64)
+
+
+#: Kinds of rows beside segments: start and the values a and b.
+FRAME, PAUSE, CLUSTER, SECOND, PAIR = range(1, 6)  # energy, laughter; none; count; comments, sponsored ones; the same, of start and end
+
+
+def beside(table: pa.Table, group: np.ndarray, of: np.ndarray, start: np.ndarray, end: np.ndarray, pause_s: float, reach_s: float) -> dict[str, np.ndarray]:
+    """For windows in order of their groups (of) what the rows of a kind in their group say: frames in [start, end), pauses from ``pause_s``
+    before the start on, the share of the largest cluster, confidence, and the share of sponsored comments up to ``reach_s`` beside the window."""
+    names = ("audio_energy", "audio_laughter", "audio_pause", "social", "confidence", "sponsored")
+    out = {n: np.zeros(len(of)) for n in names}
+    is_one = table.column("kind").is_valid().to_numpy()
+    rows = table.select(["kind", "start", "end", "a", "b"]).filter(pa.array(is_one))
+    off = np.append(0, np.cumsum(np.add.reduceat(is_one.astype(np.int64), group[:-1])))
+    kind, at, to, a, b = (pc.fill_null(rows.column(n), 0).to_numpy() for n in rows.column_names)
+    heads = table.take(group[:-1])
+    most, sure = (pc.fill_null(heads.column(n), 0).to_numpy() for n in ("max_count", "confidence"))
+    out["confidence"] = sure[of]
+    groups = np.flatnonzero(np.diff(off) > 0)
+    for g, i, j in zip(groups.tolist(), np.searchsorted(of, groups).tolist(), np.searchsorted(of, groups, "right").tolist(), strict=True):
+        if i == j:
+            continue
+        s, e, own = start[i:j], end[i:j], slice(off[g], off[g + 1])
+        some = lambda k, own=own: tuple(x[own][kind[own] == k] for x in (at, to, a, b))
+        t, _, energy, laughter = some(FRAME)
+        lo, hi = np.searchsorted(t, s), np.searchsorted(t, e)
+        for n, v in (("audio_energy", energy), ("audio_laughter", laughter)):
+            run = np.append(0.0, np.cumsum(v))
+            out[n][i:j] = np.clip(np.where(hi > lo, rounded((run[hi] - run[lo]) / np.maximum(hi - lo, 1), 12), 0.0), 0.0, 1.0)
+        t = some(PAUSE)[0]
+        out["audio_pause"][i:j] = np.minimum(1.0, (np.searchsorted(t, e) - np.searchsorted(t, s - pause_s)) / 3.0)
+        t, _, count, _ = some(CLUSTER)
+        if len(t) and most[g] > 0:
+            best = np.zeros(j - i)
+            for centre, n in zip(t.tolist(), count.tolist(), strict=True):
+                best = np.where((centre >= s) & (centre <= e), np.maximum(best, n), best)
+            out["social"][i:j] = np.minimum(1.0, best / most[g])
+        t, _, n, sponsored = some(SECOND)
+        low, high = s - reach_s, e + reach_s
+        lo, hi = np.searchsorted(t, low), np.searchsorted(t, high, "right")
+        near = [run[hi] - run[lo] for run in (np.append(0.0, np.cumsum(v)) for v in (n, sponsored))]
+        t, u, n, sponsored = some(PAIR)
+        if len(t):  # of a comment that names several seconds only one counts
+            lo, hi = np.searchsorted(t, low), np.searchsorted(t, high, "right")
+            for k in np.flatnonzero(hi > lo).tolist():
+                again = u[lo[k] : hi[k]] <= high[k]
+                near[0][k] -= n[lo[k] : hi[k]][again].sum()
+                near[1][k] -= sponsored[lo[k] : hi[k]][again].sum()
+        out["sponsored"][i:j] = np.divide(near[1], near[0], out=np.zeros(j - i), where=near[0] != 0)
+    return out
+
+
 def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For ``mapInArrow``: a row for each sentence of rows (id, text): id, its place, its begin and end in words, the text. A text
     without words is one empty sentence."""
@@ -514,13 +597,16 @@ def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = until
 
 
-def scorer(lengths: list[float], lexicon: tuple[str, ...], finish: Callable[[dict], dict] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For ``mapInArrow``: windows with their signals from rows (video_id, chunk, home, start, end, text, before, timeline_end) in order, of which
-    each group's first, without a start, has the last two. ``finish`` gets the columns and says which to return."""
+def scorer(lengths: list[float], lexicon: tuple[str, ...], finish: Callable[[dict], dict] | None = None, reach: tuple[float, float] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow``: windows with their signals from rows (video_id, chunk, home, start, end, text, before, timeline_end, prior, next) in
+    order, of which each group's first, without a start, has the last four (prior, next: whether segments begin in the chunks beside). ``finish`` gets the columns and says which to return. With ``reach`` (the last
+    arguments of ``beside``) there are rows of a kind too, and columns kind, a, b, max_count, confidence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in whole_groups(batches, ("video_id", "chunk")):
             is_seg = table.column("start").is_valid().to_numpy()
+            if reach:
+                is_seg &= table.column("kind").is_null().to_numpy()
             heads = table.take(group[:-1])
             sizes = np.add.reduceat(is_seg.astype(np.int64), group[:-1])
             segs = table.filter(pa.array(is_seg)).combine_chunks()
@@ -532,7 +618,7 @@ def scorer(lengths: list[float], lexicon: tuple[str, ...], finish: Callable[[dic
             last = np.array([-np.inf if x is None else x for x in whole["timeline_end"]])[which]
             start, end, home, chunk = (segs.column(n).to_numpy() for n in ("start", "end", "home", "chunk"))
             own = home == chunk
-            group = np.append(0, np.cumsum(sizes))
+            all_groups, group = group, np.append(0, np.cumsum(sizes))
             turn = np.cumsum(own) - 1
             turn = turn - (np.append(0, np.cumsum(own))[group[:-1]])[which]
             lists = Lists(np.append(group[:-1][sizes > 0], len(start)), start, end, own, last, lengths)
@@ -543,11 +629,27 @@ def scorer(lengths: list[float], lexicon: tuple[str, ...], finish: Callable[[dic
             text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
             values = window_values(text, lists, lexicon)
             row, k = lists.anchor[lists.window[0]], lists.window[1]
-            made = {"video_id": segs.column("video_id"), "row": row, "chunk": chunk[row], "timeline_end": last[row], "anchor": (before + turn)[row].astype(np.int32), "start_s": start[row], "len_idx": k.astype(np.int32), "length": np.array(lengths)[k], "end_s": lists.until[lists.window], **values}
+            near = {n: pc.fill_null(heads.column(n), True).to_numpy()[which[row]] for n in ("prior", "next")}
+            made = {"video_id": segs.column("video_id"), "row": row, "group": which[row], **near, "chunk": chunk[row], "timeline_end": last[row], "anchor": (before + turn)[row].astype(np.int32), "start_s": start[row], "len_idx": k.astype(np.int32), "length": np.array(lengths)[k], "end_s": lists.until[lists.window], **values}
+            if reach:
+                made |= beside(table, all_groups, which[row], made["start_s"], made["end_s"], *reach)
             made = finish(made) if finish else made
+            made = {n: v for n, v in made.items() if n not in ("group", *near)}
             video = made.pop("video_id").take(pa.array(made.pop("row")))
             video = video.combine_chunks() if isinstance(video, pa.ChunkedArray) else video
             for b in pa.table({"video_id": video, **{m: pa.array(v) for m, v in made.items()}}).combine_chunks().to_batches(max_chunksize=65_536):
                 yield b
 
     return run
+
+
+def text_scorer(names: tuple[str, ...], lexicon: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow``: rows with the signals of their column text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                values = window_values(pc.fill_null(batch.column("text"), ""), Each(batch.num_rows), lexicon)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(values[n]) for n in names)], [*batch.schema.names, *names])
+
+    return run

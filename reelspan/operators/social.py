@@ -76,16 +76,23 @@ def video_totals(found: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return totals.select("video_id", "max_count", confidence(F.col("mentions"), settings).alias("confidence"))
 
 
-def social_parts(comments: DataFrame, found: DataFrame, keywords: tuple[str, ...], span: float) -> DataFrame:
-    """What windows need of stretches of ``span`` seconds, in rows of bounded size: video_id, part, and of this stretch and the next
-    clusters (center_s, count), seconds (t, n and sponsored mentions) and pairs (t, u, n, sponsored: seconds that a comment names one
-    after the other). However many comments there are, a stretch has no more seconds than its length and no more pairs than its square."""
+def named_seconds(comments: DataFrame, keywords: tuple[str, ...], span: float) -> tuple[DataFrame, DataFrame]:
+    """Seconds (video_id, t, n, sponsored) and pairs of seconds at most ``span`` apart that a comment names one after the other
+    (video_id, t, u, n, sponsored): the comments that name them, and those of them that name a sponsor."""
     own = comments.select("video_id", F.array_sort(F.array_distinct("timestamps")).alias("ts"), T.contains_any(F.col("text"), keywords).cast("int").alias("s")).where(F.size("ts") > 0)
     own = own.groupBy("video_id", "ts", "s").agg(F.count("*").alias("n"))
     tally = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("s")).alias("sponsored")]
     seconds = own.select("video_id", "n", "s", F.explode("ts").alias("t")).groupBy("video_id", "t").agg(*tally)
     steps = F.transform(F.slice("ts", F.lit(2), F.size("ts")), lambda u, i: F.struct(F.get(F.col("ts"), i).alias("t"), u.alias("u")))
     pairs = own.select("video_id", "n", "s", F.explode(steps).alias("p")).select("video_id", "n", "s", "p.*").where(F.col("u") - F.col("t") <= span).groupBy("video_id", "t", "u").agg(*tally)
+    return seconds, pairs
+
+
+def social_parts(comments: DataFrame, found: DataFrame, keywords: tuple[str, ...], span: float) -> DataFrame:
+    """What windows need of stretches of ``span`` seconds, in rows of bounded size: video_id, part, and of this stretch and the next
+    clusters (center_s, count), seconds (t, n and sponsored mentions) and pairs (t, u, n, sponsored: seconds that a comment names one
+    after the other). However many comments there are, a stretch has no more seconds than its length and no more pairs than its square."""
+    seconds, pairs = named_seconds(comments, keywords, span)
 
     def placed(rows: DataFrame, at: str, name: str, fields: list[str]) -> DataFrame:
         part = F.floor(F.col(at) / span)

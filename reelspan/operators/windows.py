@@ -16,6 +16,7 @@ from functools import partial
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from reelspan.functions import text as T
 from reelspan.operators import batches as B
@@ -46,11 +47,13 @@ def chunk_of(t: Column) -> Column:
 
 
 def chunks(rows: DataFrame) -> DataFrame:
-    """A row for each chunk of a video in which a segment begins: video_id, chunk, before (segments of earlier chunks), timeline_end."""
+    """A row for each chunk of a video in which a segment begins: video_id, chunk, before (segments of earlier chunks), timeline_end, and
+    whether segments begin in the chunks beside (prior, next)."""
     own = rows.groupBy("video_id", chunk_of(F.col("start")).alias("chunk")).agg(F.count("*").alias("n"), F.max("end").alias("last"))
     line = Window.partitionBy("video_id")
     before = F.coalesce(F.sum("n").over(line.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return own.select("video_id", "chunk", before.alias("before"), F.max("last").over(line).alias("timeline_end"))
+    beside = [F.coalesce(step("chunk").over(line.orderBy("chunk")) == F.col("chunk") + d, F.lit(False)).alias(n) for n, step, d in (("prior", F.lag, -1), ("next", F.lead, 1))]
+    return own.select("video_id", "chunk", before.alias("before"), F.max("last").over(line).alias("timeline_end"), *beside)
 
 
 def _dealt(rows: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -60,11 +63,18 @@ def _dealt(rows: DataFrame, keyed: DataFrame) -> DataFrame:
     return rows.unionByName(keyed, allowMissingColumns=True).repartition(n, "video_id", "chunk")
 
 
-def _copied(rows: DataFrame, settings: Settings) -> DataFrame:
-    """Segments (home: their own chunk) with their copies for the other chunks whose windows reach them, and the chunks' own rows."""
-    own = chunk_of(F.col("start"))
-    reached = F.sequence(F.least(own, chunk_of(F.col("start") - max(settings.lengths()))), F.least(own + MOST_CHUNKS, F.greatest(own, chunk_of(F.col("end")))))
-    return _dealt(rows.select("*", own.alias("home"), F.explode(reached).alias("chunk")), chunks(rows))
+def _copied(rows: DataFrame, settings: Settings, beside: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """Segments (home: their own chunk) with their copies for the other chunks whose windows reach them, and the chunks' own rows; likewise
+    the rows beside them, and the videos' totals with the chunks' rows."""
+    own, longest = chunk_of(F.col("start")), max(settings.lengths())
+    reached = F.sequence(F.least(own, chunk_of(F.col("start") - longest)), F.least(own + MOST_CHUNKS, F.greatest(own, chunk_of(F.col("end")))))
+    copies, keyed = rows.select("*", own.alias("home"), F.explode(reached).alias("chunk")), chunks(rows)
+    if beside is not None and totals is not None:
+        reach = max(settings.pause_min_s, settings.proximity_s) + 1.0
+        near = F.sequence(chunk_of(F.col("start") - (longest + reach)), chunk_of(F.col("start") + reach))
+        copies = copies.unionByName(beside.where("video_id IS NOT NULL AND start IS NOT NULL").select("*", F.explode(near).alias("chunk")), allowMissingColumns=True)
+        keyed = keyed.join(totals, "video_id", "left")
+    return _dealt(copies, keyed)
 
 
 def candidate_windows(segments: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -156,17 +166,27 @@ def signals(rows: DataFrame, lexicon: tuple[str, ...] = EMOTION_WORDS) -> DataFr
     return found.select("*", *[x.alias(n) for n, x in zip(SIGNALS, made, strict=True)]).drop("_head")
 
 
+def text_signals(rows: DataFrame, lexicon: tuple[str, ...] = EMOTION_WORDS) -> DataFrame:
+    """The signals of column ``text``, as ``signals``, by batches."""
+    kind = T_.StructType([*rows.schema.fields, *[T_.StructField(n, T_.DoubleType()) for n in SIGNALS]])
+    return rows.mapInArrow(B.text_scorer(SIGNALS, tuple(lexicon)), kind)
+
+
 def window_signals(segments: DataFrame, settings: Settings = DEFAULTS, lexicon: tuple[str, ...] = EMOTION_WORDS) -> DataFrame:
     """The candidate windows with the signals of their texts."""
     return _by_batch(segments, settings, lexicon, ", ".join(f"{n} double" for n in SIGNALS))
 
 
-def _by_batch(segments: DataFrame, settings: Settings, lexicon: tuple[str, ...], values: str, finish=None) -> DataFrame:
-    """Windows with ``values``, which ``finish`` makes of their signals (see ``batches``)."""
+def _by_batch(segments: DataFrame, settings: Settings, lexicon: tuple[str, ...], values: str, finish=None, beside: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """Windows with ``values``, which ``finish`` makes of their signals (see ``batches``). beside: rows (video_id, kind, start, end, a, b) that the windows
+    need too; totals(video_id, max_count, confidence)."""
     rows = timed(segments)
-    sorted_ = _copied(rows, settings).sortWithinPartitions("video_id", "chunk", "start", "seg_idx").select("video_id", "chunk", "home", "start", "end", "text", "before", "timeline_end")
+    both, reach, more = _copied(rows, settings, beside, totals), None, []
+    if beside is not None:
+        reach, more = (settings.pause_min_s, settings.proximity_s), ["kind", "a", "b", "max_count", "confidence"]
+    sorted_ = both.sortWithinPartitions("video_id", "chunk", "start", "seg_idx").select("video_id", "chunk", "home", "start", "end", "text", "before", "timeline_end", "prior", "next", *more)
     kind = rows.schema["video_id"].dataType.simpleString()
-    return sorted_.mapInArrow(B.scorer(settings.lengths(), tuple(lexicon), finish), f"video_id {kind}, chunk long, timeline_end double, anchor int, start_s double, len_idx int, length double, end_s double, {values}")
+    return sorted_.mapInArrow(B.scorer(settings.lengths(), tuple(lexicon), finish, reach), f"video_id {kind}, chunk long, timeline_end double, anchor int, start_s double, len_idx int, length double, end_s double, {values}")
 
 
 def content_score(settings: Settings = DEFAULTS, audio: bool = False) -> Column:
@@ -184,19 +204,39 @@ def audio_score(settings: Settings = DEFAULTS) -> Column:
     return T.clamp(F.col("audio_energy") * w.audio_energy + F.col("audio_laughter") * w.laughter + F.col("audio_pause") * w.dramatic_pause)
 
 
-def scored_windows(segments: DataFrame, settings: Settings = DEFAULTS, least: float | None = None) -> DataFrame:
-    """video_id, chunk, anchor, len_idx, start_s, end_s, timeline_end, score by the transcript alone; with ``least`` only those that score as much."""
-    found = _by_batch(segments, settings, EMOTION_WORDS, "score double", partial(_scored, settings, least))
+def scored_windows(segments: DataFrame, settings: Settings = DEFAULTS, least: float | None = None, beside: DataFrame | None = None, totals: DataFrame | None = None, thin: bool = False) -> DataFrame:
+    """video_id, chunk, anchor, len_idx, start_s, end_s, timeline_end, score; with ``least`` only those that score as much. The score is
+    that of the transcript alone, or with the audio and comments in ``beside`` (see ``_by_batch``) that of all. ``thin`` leaves those that the
+    greedy walk may keep."""
+    found = _by_batch(segments, settings, EMOTION_WORDS, "score double", partial(_scored, settings, least, thin), beside, totals)
     return found.select("video_id", "chunk", "anchor", "len_idx", "start_s", "end_s", "timeline_end", "score")
 
 
-def _scored(settings: Settings, least: float | None, made: dict) -> dict:
+def _scored(settings: Settings, least: float | None, thin: bool, made: dict) -> dict:
     """Columns of windows with ``content_score``, rounded, in place of the signals."""
     w = settings.weights
     total = made["hook"] * w.hook + made["coherence"] * w.coherence + made["sentiment"] * w.sentiment + made["specificity"] * w.specificity + made["curiosity"] * w.curiosity
-    score = B.rounded(np.clip(total + 0.0 + made["laughter"] * w.laughter + 0.0, 0.0, 1.0), 9)
-    kept = np.flatnonzero(score >= least) if least is not None else slice(None)
-    return {n: v if n == "video_id" else v[kept] for n, v in made.items() if n not in SIGNALS} | {"score": score[kept]}
+    audio = "audio_energy" in made
+    total = total + (made["audio_energy"] * w.audio_energy if audio else 0.0)
+    total = total + (np.maximum(made["laughter"], made["audio_laughter"]) if audio else made["laughter"]) * w.laughter
+    score = np.clip(total + (made["audio_pause"] * w.dramatic_pause if audio else 0.0), 0.0, 1.0)
+    if audio:  # without comments the confidence is 0
+        multiplier = np.where(made["sponsored"] > settings.sponsor_ratio, settings.sponsor_multiplier, 1.0)
+        score = np.clip((made["social"] * made["confidence"] + score * (1.0 - made["confidence"])) * multiplier, 0.0, 1.0)
+    score = B.rounded(score, 9)
+    kept = np.flatnonzero(score >= least) if least is not None else np.arange(len(score))
+    if thin:
+        kept = kept[np.lexsort(tuple(x[kept] for x in (made["len_idx"], made["anchor"], made["start_s"], -score, made["group"])))]
+        begin = made["chunk"][kept] * CHUNK_S
+        begins, ends = np.where(made["prior"][kept], begin, -np.inf), np.where(made["next"][kept], begin + CHUNK_S, np.inf)
+        kept = kept[B.contenders(made["group"][kept], made["start_s"][kept], made["end_s"][kept], begins, ends, settings.top_k, max(settings.lengths()))]
+    names = ("video_id", "chunk", "timeline_end", "anchor", "start_s", "len_idx", "length", "end_s")
+    return {n: made[n] if n == "video_id" else made[n][kept] for n in names} | {"row": made["row"][kept], "score": score[kept]}
+
+
+def best(segments: DataFrame, settings: Settings = DEFAULTS, beside: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """The ``top_k`` best disjoint windows of each video that score ``min_clip_score`` at least."""
+    return select_moments(scored_windows(segments, settings, settings.min_clip_score, beside, totals, thin=True), settings.top_k)
 
 
 def selected(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

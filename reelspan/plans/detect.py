@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspan.operators import audio as A
+from reelspan.operators import batches as B
 from reelspan.operators import quality as Q
 from reelspan.operators import refine as R
 from reelspan.operators import social as C
@@ -29,16 +32,40 @@ def _content(found: DataFrame, frames: DataFrame | None, gaps: DataFrame | None,
     return found.withColumn("content", W.content_score(settings, frames is not None))
 
 
+def _beside(comments: DataFrame | None, frames: DataFrame | None, gaps: DataFrame | None, settings: Settings) -> tuple[DataFrame, DataFrame] | tuple[None, None]:
+    """Audio and comments as rows beside the segments (``windows.scored_windows``), and the totals of the videos with comments."""
+    parts, totals = [], None
+
+    def rows(found: DataFrame, kind: int, at: str, a: str | None = None, b: str | None = None, end: str | None = None) -> None:
+        value = lambda c: F.col(c).cast("double") if c else F.lit(0.0)
+        parts.append(found.select("video_id", F.lit(kind).alias("kind"), value(at).alias("start"), value(end).alias("end"), value(a).alias("a"), value(b).alias("b")))
+
+    if frames is not None and gaps is not None:
+        rows(A.normalised(frames).withColumn("laughter", F.col("energy") * F.col("zcr")), B.FRAME, "t", "energy", "laughter")
+        rows(gaps, B.PAUSE, "mid")
+    if comments is not None:
+        found = C.clusters(comments, settings)
+        seconds, pairs = C.named_seconds(comments, settings.sponsor_keywords, max(settings.lengths()) + 2 * settings.proximity_s)
+        rows(found, B.CLUSTER, "center_s", "count")
+        rows(seconds, B.SECOND, "t", "n", "sponsored")
+        rows(pairs, B.PAIR, "t", "n", "sponsored", "u")
+        totals = C.video_totals(found, settings)
+    if not parts:
+        return None, None
+    if totals is None:
+        totals = parts[0].select("video_id", F.lit(0.0).alias("max_count"), F.lit(0.0).alias("confidence")).limit(0)
+    return reduce(DataFrame.unionByName, parts), totals.select("video_id", F.col("max_count").cast("double").alias("max_count"), "confidence")
+
+
 def detect(segments: DataFrame, comments: DataFrame | None = None, frames: DataFrame | None = None, settings: Settings = DEFAULTS, max_clips: int | None = None, durations: DataFrame | None = None) -> DataFrame:
     """video_id, rank, start_s, end_s, score: at most ``max_clips`` disjoint moments of each video, best first. Videos with
     audio but no segment are found by their audio (``detect_audio``)."""
     k = settings.max_clips if max_clips is None else max_clips
     lines = W.timeline(segments)
     gaps = A.silence_gaps(frames, settings) if frames is not None else None
-    first = _fused(_content(W.window_signals(segments, settings), frames, gaps, settings), comments, settings)
-    chosen = W.selected(first.where(F.col("score") >= settings.min_clip_score), settings)
+    chosen = W.best(segments, settings, *_beside(comments, frames, gaps, settings))
     refined = W.texts_inside(R.refine(chosen.drop("score").withColumnRenamed("rank", "turn"), lines, settings))
-    again = _fused(_content(W.signals(refined).drop("segs", "text"), frames, gaps, settings), comments, settings)
+    again = _fused(_content(W.text_signals(refined.drop("segs")).drop("text"), frames, gaps, settings), comments, settings)
     found = select_moments(again, max(0, k), "turn").select("video_id", "rank", "start_s", "end_s", "score")
     if frames is None:
         return found

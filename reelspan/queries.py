@@ -163,8 +163,7 @@ src AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC,
 @query(O.sql(_PICKED + "," + O.greedy("src", 6, "nms"), "SELECT s.video_id, row_number() OVER (PARTITION BY s.video_id ORDER BY s.n)::INTEGER AS rank, s.start_s, s.end_s, round(s.score, 6) AS score FROM nms JOIN src s USING (video_id, n)", True))
 def top_moments(spark, sf_dir):
     """The best six disjoint windows of each document by its transcript."""
-    rows = W.scored_windows(X.document_segments(spark, sf_dir), CORPUS, CORPUS.min_clip_score)
-    return W.selected(rows, CORPUS).select("video_id", "rank", "start_s", "end_s", r6("score").alias("score"))
+    return W.best(X.document_segments(spark, sf_dir), CORPUS).select("video_id", "rank", "start_s", "end_s", r6("score").alias("score"))
 
 
 _REFINED = _PICKED + "," + O.greedy("src", 6, "nms") + f""",
@@ -182,8 +181,7 @@ ref AS (SELECT video_id, n, anchor, len_idx, start_s AS raw_start_s, end_s AS ra
 def _refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = X.document_segments(spark, sf_dir)
     lines = W.timeline(segments)
-    rows = W.scored_windows(segments, CORPUS, CORPUS.min_clip_score)
-    return R.refine(W.selected(rows, CORPUS), lines, CORPUS)
+    return R.refine(W.best(segments, CORPUS), lines, CORPUS)
 
 
 @query(O.sql(_REFINED, "SELECT video_id, raw_start_s, raw_end_s, start_s, end_s FROM ref", True))
