@@ -43,7 +43,8 @@ def timeline(segments: DataFrame) -> DataFrame:
 
 
 def chunk_of(t: Column) -> Column:
-    return F.floor(t / CHUNK_S)
+    """The chunk of a time; what begins before 0 is in the first, so that the segments after 0 need no copies for a chunk before it."""
+    return F.greatest(F.floor(t / CHUNK_S), F.lit(0).cast("long"))
 
 
 def chunks(rows: DataFrame) -> DataFrame:

@@ -47,6 +47,17 @@ def test_best_windows_are_those_of_the_greedy_walk(spark):
         assert got == want and len(got) >= 4 * min(k, 2) - 2
 
 
+def test_times_before_zero(spark):
+    """Segments that begin before 0 are windows' too, and none is copied for a chunk before the first."""
+    segs = spark.createDataFrame([(1, i, i * 5.0 - 700, i * 5.0 - 695, f"Part {i}. ") for i in range(300)], SEG)
+    plain = {(x.anchor, x.len_idx): [x[n] for n in W.SIGNALS] for x in W.signals(W.window_texts(segs)).collect()}
+    assert {(x.anchor, x.len_idx): [x[n] for n in W.SIGNALS] for x in W.window_signals(segs).collect()} == plain and len(plain) > 1700
+    own = Settings().overlay({"min_clip_score": 0.2})
+    assert {tuple(x) for x in W.best(segs, own).collect()} == {tuple(x) for x in select_moments(W.scored_windows(segs, own, 0.2), 6).collect()}
+    copies = W._copied(W.timed(segs.where("start >= 0 AND start < 500")), own).where("start IS NOT NULL")
+    assert copies.count() == 100
+
+
 def test_texts_by_rows(spark):
     segs, _, _ = made(spark, 3)
     rows = segs.unionByName(spark.createDataFrame([(9, 0, 0.0, 0.0, ""), (9, 1, 0.0, 0.0, " \n "), (9, 2, 0.0, 0.0, "is it\nAnna. Who is"), (9, 3, 1.0, 2.0, "So?! Anna")], SEG))
